@@ -83,11 +83,15 @@ def chunks(off: np.ndarray, size: int = 1 << 18):
         i = j
 
 
-def word_spans(b: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Separators where punctuation counts as such too: all ASCII but letters and digits.
+NOT_LETTER = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_spans(b: np.ndarray, cut: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of b; a word ends at a separator or at a text's end (cut: offsets)."""
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    s = IS_SPACE[b]
+    s = between[b]
     first = np.empty(len(b), bool)
     first[0] = True
     first[1:] = s[:-1]
@@ -101,11 +105,11 @@ def word_spans(b: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first & word), np.flatnonzero(last & word) + 1
 
 
-def words(data: np.ndarray, off: np.ndarray, value: np.ndarray = VALUE_LOWER):
+def words(data: np.ndarray, off: np.ndarray, value: np.ndarray = VALUE_LOWER, between: np.ndarray = IS_SPACE):
     """Yields (first text, last text + 1, word hashes, words up to each text) for runs of texts."""
     for i, j in chunks(off):
         b, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
-        start, end = word_spans(b, cut)
+        start, end = word_spans(b, cut, between)
         h = span_hash(prefix(b, value), start, end) if len(start) else np.zeros(0, np.uint64)
         yield i, j, h, np.searchsorted(start, cut)
 

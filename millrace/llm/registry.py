@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import media, packing, sentence
+from . import fingerprint, media, packing, quality, secrets, sentence, toxicity
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": sentence.op4_sentencepiece,
     "op6_media": media.op6_media,
+    "op7_quality": quality.op7_quality,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
     "op10_packing": packing.op10_packing,
 }
 
