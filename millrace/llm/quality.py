@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import hashing as H
 from .base import documents, keyed_text, ship
@@ -136,7 +136,7 @@ def score(df: DataFrame, model: Ordinal, tail: int = TAIL) -> DataFrame:
             p = np.concatenate([np.zeros((0, len(m.thresholds))), *(m.above(x) for _, _, x in features(data, off))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.sum(axis=1)), pa.array(p[:, tail - 1])], [*names, "expected_grade", "tail_probability"])
 
-    schema = StructType(df.schema.fields).add("expected_grade", "double").add("tail_probability", "double")
+    schema = StructType([*df.schema.fields, StructField("expected_grade", DoubleType()), StructField("tail_probability", DoubleType())])
     return df.mapInArrow(run, schema)
 
 
