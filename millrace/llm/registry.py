@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, media, packing, quality, secrets, sentence, toxicity
+from . import fingerprint, jaccard, media, packing, quality, secrets, sentence, toxicity
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_media": media.op6_media,
     "op7_quality": quality.op7_quality,
     "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_packing": packing.op10_packing,
 }
 
