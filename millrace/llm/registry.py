@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, media, packing, quality, secrets, sentence, toxicity
+from . import fingerprint, jaccard, media, packing, quality, secrets, sentence, suffix, toxicity
 
 QUERIES = {
+    "op1_suffix": suffix.op1_suffix,
     "op2_secrets": secrets.op2_secrets,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": sentence.op4_sentencepiece,
