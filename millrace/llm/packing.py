@@ -33,6 +33,8 @@ END = 1
 #: Words whose ids a Python worker keeps; beyond it the store is emptied and fills again.
 KEEP = 1_000_000
 SPECIAL = "<|endoftext|>"
+#: Signs that often end a word.
+SIGNS = ".,;:!?"
 
 
 class Tokenizer:
@@ -46,21 +48,34 @@ class Tokenizer:
 
         self.lib = Library.from_file(path)
         self.ids: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, missing: set[str]) -> None:
+        """Encodes words with a space in front. The pattern splits letters and digits from the signs
+        after them, so signs at a word's end are looked up apart."""
+        cut = {x: len(x.rstrip(SIGNS)) for x in missing}
+        ends = {x: k for x, k in cut.items() if k < len(x) and k and x[k - 1].isalnum()}
+        stems = {x[:k] for x, k in ends.items()} | (missing - ends.keys())
+        stems = list(stems - self.ids.keys())
+        tails = list({x[k:] for x, k in ends.items()} - self.tails.keys())
+        self.ids.update(zip(stems, self.library([" " + x for x in stems]), strict=True))
+        self.tails.update(zip(tails, self.library(tails), strict=True))
+        self.ids.update((x, self.ids[x[:k]] + self.tails[x[k:]]) for x, k in ends.items())
+
     def batch(self, texts: list[str]) -> list[bytes]:
         plain = [bool(x) and "  " not in x and SPECIAL not in x and x[0] != " " and x[-1] != " " for x in texts]
         cut = [(" " + x).split(" ") if ok else None for x, ok in zip(texts, plain, strict=True)]
         if len(self.ids) > KEEP:
             self.ids.clear()
+            self.tails.clear()
         missing: set[str] = set()
         for p in filter(None, cut):
             missing.update(filterfalse(self.ids.__contains__, p[2:]))
         if missing:
-            words = list(missing)
-            self.ids.update(zip(words, self.library([" " + x for x in words]), strict=True))
+            self.learn(missing)
         whole = iter(self.library([p[1] if ok else x for x, p, ok in zip(texts, cut, plain, strict=True)]))
         get = self.ids.__getitem__
         return [first + b"".join(map(get, p[2:])) if ok else first for first, p, ok in zip(whole, cut, plain, strict=True)]
