@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, media, packing, quality, secrets, sentence, suffix, toxicity
+from . import fingerprint, jaccard, katz, media, packing, quality, secrets, sentence, suffix, toxicity
 
 QUERIES = {
     "op1_suffix": suffix.op1_suffix,
     "op2_secrets": secrets.op2_secrets,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": sentence.op4_sentencepiece,
+    "op5_katz": katz.op5_katz,
     "op6_media": media.op6_media,
     "op7_quality": quality.op7_quality,
     "op8_fingerprints": fingerprint.op8_fingerprints,
