@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, keyed_text, stored, tokenizer_path
+from .base import documents, keyed_text, ship, stored, tokenizer_path
 
 WINDOW = 2048
 END = 1
@@ -248,3 +248,8 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+    ship(spark)
+    return pack_documents(docs, path)

@@ -161,3 +161,14 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "doc_id", of("assign"), of("access"), of("hex"), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("markov").cast("long").alias("n_markov")
     )
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks the spans found in docs' texts; null texts stay null, n_chars follows."""
+    d = docs.select(F.struct(*docs.columns).alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
+    d = redact(scan(d, train(labelled_sample(spark))))
+    text = F.when(F.col("__doc.text").isNotNull(), F.col("text"))
+    parts = {c: F.col(f"__doc.{c}") for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        parts["n_chars"] = F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("__doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return d.select(*(parts[c].alias(c) for c in docs.columns))
