@@ -319,9 +319,9 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays: that of the least doc_id, of equal ones the first row."""
     ship(spark)
-    d = docs.withColumn(ROW, F.monotonically_increasing_id())
+    d = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
     found = join(d.select(ROW, "doc_id", F.coalesce("text", F.lit("")).alias("text")), n, percent)
     group = F.struct(F.when(F.col("size") > 0, F.lit(-1)).otherwise(F.col(ROW)), "component_id")
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("r"))
     keep = first.select(F.col(f"r.{ROW}").alias(ROW))
-    return d.join(keep, ROW, "left_semi").drop(ROW)
+    return d.join(keep, ROW, "left_semi").select("doc.*")

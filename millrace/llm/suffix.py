@@ -347,18 +347,17 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = LENGTH) -> DataFrame:
     """Takes the repeated bytes out of every text. A character cut in two goes; n_chars follows."""
     ship(spark)
-    d = docs.withColumn(ROW, F.monotonically_increasing_id())
+    d = docs.select(F.struct(*docs.columns).alias("doc"), "text").withColumn(ROW, F.monotonically_increasing_id())
     found = spans(d.select(ROW, F.coalesce("text", F.lit("")).alias("text")), length)
 
     def run(batches):
         for b in batches:
             kept = [x if x is None or not s else rest(x.encode(), merged(s)).decode("utf-8", "ignore") for x, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(kept, pa.string())], ["rest", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(kept, pa.string())], ["doc", "text"])
 
-    others = [c for c in d.columns if c != "text"]
-    joined = d.join(found, ROW, "left").select(F.struct(*others).alias("rest"), "text", "spans")
-    schema = joined.select("rest", "text").schema
-    done = joined.mapInArrow(run, schema).select("rest.*", "text")
+    joined = d.join(found, ROW, "left").select("doc", "text", "spans")
+    done = joined.mapInArrow(run, joined.select("doc", "text").schema)
+    parts = {c: F.col("doc")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+        parts["n_chars"] = F.when(F.col("text").isNull(), F.col("doc.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*(parts[c].alias(c) for c in docs.columns))

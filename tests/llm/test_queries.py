@@ -1,0 +1,350 @@
+"""Every query against a direct version, on rows that hold the hard cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from millrace.llm import fingerprint, jaccard, katz, media, packing, quality, registry, secrets, suffix, toxicity
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from .conftest import hard_rows
+
+ROWS = [(x[0], x[1] or "") for x in hard_rows()]
+sha = lambda b: hashlib.sha256(b).hexdigest()
+key = lambda t: tuple((x is not None, x) for x in t)
+
+
+def got(spark, name, at, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, at).collect()), key=key)
+
+
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_empty_tables_give_empty_results(spark, empty, name):
+    assert registry.QUERIES[name](spark, empty).count() == 0
+
+
+def test_empty_pipeline(spark, empty):
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def removed(texts, length):
+    count = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    for b in texts:
+        f = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                f[i : i + length] = True
+        yield f
+
+
+def test_suffix(spark, hard):
+    raw = [t.encode() for _, t in ROWS]
+    want = [(d, len(b), int(f.sum()), len(suffix.runs(f)), sha(bytes(np.frombuffer(b, np.uint8)[~f]))) for (d, _), b, f in zip(ROWS, raw, removed(raw, suffix.LENGTH), strict=True)]
+    assert got(spark, "op1_suffix", hard, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("files", [False, True])
+def test_suffix_build(files, monkeypatch):
+    if files:
+        monkeypatch.setattr(suffix, "EXTERNAL", 1)
+    r = np.random.default_rng(0)
+    for _ in range(20):
+        strings = [bytes(r.choice(list(b"abc"), r.integers(1, 30))) for _ in range(r.integers(1, 10))]
+        n = int(r.integers(3, 8))
+        count = Counter(s[i : i + n] for s in strings for i in range(len(s) - n + 1))
+        assert [x.tolist() for x in suffix.repeats(strings, n)] == [[count[s[i : i + n]] > 1 for i in range(len(s) - n + 1)] for s in strings]
+
+
+def test_suffix_splits_hot_anchors(spark, hard, monkeypatch):
+    want = got(spark, "op1_suffix", hard, "doc_id", "n_removed", "kept_sha256")
+    monkeypatch.setattr(suffix, "SPLIT", 1)
+    assert got(spark, "op1_suffix", hard, "doc_id", "n_removed", "kept_sha256") == want
+
+
+BASE = [
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+]
+
+
+def base_spans(text):
+    out = [(m.start(), k, m.end(), n) for k, (n, p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m)]
+    return [f"{n}:{s}:{e}" for s, _, e, n in sorted(out)]
+
+
+def test_secrets(spark, hard):
+    want = sorted(((d, sha(",".join(base_spans(t)).encode())) for d, t in ROWS), key=key)
+    assert got(spark, "op2_secrets", hard, "doc_id", "base_sha256") == want
+    for d, spans in got(spark, "op2_secrets", hard, "doc_id", "spans"):
+        text = dict(ROWS)[d]
+        assert set(base_spans(text)) <= set(spans.split(",")) or not base_spans(text)
+    found = dict(got(spark, "op2_secrets", hard, "doc_id", "n_markov"))
+    assert found[16] == 1 and found[18] == 0
+
+
+def test_secret_models_tell_random_from_plain(spark):
+    sample = secrets.labelled_sample(spark, 800)
+    assert secrets.train(sample) == secrets.train(sample.orderBy(F.desc("token")))
+    texts = [(k, t) for k, t in enumerate(["see get_user_account_name_2024_table now", "see Zq8vR2mK5xT9wL3nB7cY1dF4gH6jP0sA now"])]
+    d = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string"), secrets.train(sample))
+    assert [r[0] for r in d.orderBy("doc_id").select(F.size("markov")).collect()] == [0, 1]
+
+
+def test_toxicity(spark, hard):
+    rows = got(spark, "op3_toxicity", hard, "doc_id", "held_out", "score", "predicted")
+    assert len(rows) == len(ROWS)
+    for d, held, s, p in rows:
+        assert held == (d is not None and zlib.crc32(str(d).encode()) % 3 == 1) and 0 <= s <= 1 and p == (s >= 0.7)
+
+
+def test_toxicity_learns_words():
+    r = np.random.default_rng(1)
+    from millrace.llm import hashing as H
+    import pyarrow as pa
+
+    plain = ["w%d" % k for k in range(300)]
+    texts, label = [], []
+    for k in range(600):
+        w = list(r.choice(plain, 40))
+        if k % 3 == 0:
+            w[int(r.integers(40))] = "vile" + str(r.choice(list("abc")))
+        texts.append(" ".join(w))
+        label.append(float(k % 3 == 0))
+    data, off = H.buffers(pa.array(texts))
+    ids = [x[at[k] : at[k + 1]] for i, j, x, at in toxicity.buckets(data, off) for k in range(j - i)]
+    label = np.array(label)
+    net = toxicity.fit(ids[:400], label[:400], epochs=6)
+    toxicity.calibrate(net, ids[400:500], label[400:500], np.array(["en"] * 100))
+    z = np.array([net.logits(x, np.array([0, len(x)]), net.lookups())[0] for x in ids[500:]])
+    assert ((1 / (1 + np.exp(-z)) >= 0.7) == label[500:]).mean() > 0.97 and "en" in net.by_language
+
+
+def test_sentencepiece(spark, hard):
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for d, t in ROWS:
+        ids = lib.encode(t)
+        want.append((d, len(ids), sha(",".join(map(str, ids)).encode()), sha(lib.decode(ids).encode())))
+    assert got(spark, "op4_sentencepiece", hard, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=key)
+
+
+def direct_katz(rows):
+    tok = [(d, [*words(t), "</s>"], d is not None and zlib.crc32(str(d).encode()) % 10 == 0) for d, t in rows]
+    c = Counter(w for _, x, h in tok if not h for w in x)
+    n, v = sum(c.values()), len(c)
+    least = max(2, math.ceil(katz.THETA * n))
+    cls = lambda w: w if c[w] >= least or w == "</s>" else "<o>"
+    pairs = Counter()
+    for _, x, h in tok:
+        if not h:
+            pairs.update(zip(["<s>", *map(cls, x)], map(cls, x), strict=False))
+    other = {w: k for w, k in c.items() if cls(w) == "<o>"}
+    size = sum(other.values()) + 1
+    hist = lambda p: size if p == "<o>" else sum(not h for *_, h in tok) if p == "<s>" else c[p]
+    share = lambda x: (size if x == "<o>" else c[x]) / (n + 1)
+    of = lambda vals: katz.discounts([float(sum(k == r for k in vals)) for r in range(1, katz.CUT + 2)])
+    pd, wd = of(list(pairs.values())), of(list(other.values()))
+    star = lambda k, ds: ds[k - 1] * k if k <= katz.CUT else k - katz.DELTA
+    kept, seen = Counter(), Counter()
+    for (p, x), k in pairs.items():
+        kept[p] += star(k, pd)
+        seen[p] += share(x)
+    left = 1 - sum(star(k, wd) for k in other.values()) / size
+
+    def p(h, x):
+        if (h, x) in pairs:
+            return star(pairs[h, x], pd) / hist(h)
+        return share(x) * ((1 - kept[h] / hist(h)) / (1 - seen[h]) if h in kept else 1)
+
+    inside = lambda w: 1 if cls(w) != "<o>" else star(c[w], wd) / size if c[w] else left
+    for h in ("<s>", "<o>"):
+        assert abs(sum(p(h, x) for x in {*map(cls, c), "<o>"}) - 1) < 1e-9
+    for d, x, h in tok:
+        yield d, h, len(x), sum(w in c for w in x), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), sum(math.log10(p(a, cls(w)) * inside(w)) for a, w in zip(["<s>", *map(cls, x)], x, strict=False))
+
+
+def test_katz(spark, hard):
+    have = got(spark, "op5_katz", hard, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    want = sorted(direct_katz(ROWS), key=key)
+    assert [x[:5] for x in have] == [x[:5] for x in want]
+    for a, b in zip(have, want, strict=True):
+        assert a[5:] == pytest.approx(b[5:], abs=1e-6)
+
+
+def test_media(spark, hard):
+    want = []
+    for d, t in ROWS:
+        b = t.encode()
+        payload = media.pad(b)
+        png = media.encode(payload)
+        assert media.decode(png).tobytes() == payload
+        want.append((d, len(b), len(payload), sha(payload), zlib.crc32(payload[-16:]), len(png), sha(png)))
+    assert got(spark, "op6_media", hard, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256") == sorted(want, key=key)
+
+
+def test_media_filters_and_damage():
+    r = np.random.default_rng(2)
+    image = r.integers(0, 256, (9, 12), dtype=np.uint8)
+
+    def filtered(kind):
+        out = np.zeros((9, 13), np.uint8)
+        for y in range(9):
+            for x in range(12):
+                a = int(image[y, x - 3]) if x >= 3 else 0
+                b = int(image[y - 1, x]) if y else 0
+                c = int(image[y - 1, x - 3]) if y and x >= 3 else 0
+                near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+                out[y, 0], out[y, x + 1] = kind, (int(image[y, x]) - [0, a, b, (a + b) // 2, near][kind]) % 256
+        return out
+
+    for kind in range(5):
+        assert (media.unfilter(filtered(kind), 3) == image).all()
+    png = bytearray(media.encode(media.pad(b"abc")))
+    png[50] ^= 1
+    with pytest.raises(ValueError):
+        media.decode(bytes(png))
+
+
+def test_quality(spark, hard):
+    rows = got(spark, "op7_quality", hard, "doc_id", "expected_grade", "tail_probability", "selected")
+    assert len(rows) == len(ROWS) and all(0 <= e <= 2 and 0 <= t <= 1 and s == (t >= quality.KEEP) for _, e, t, s in rows)
+
+
+def test_ordinal_fit_orders_grades():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 5)).astype(np.float32)
+    z = x @ np.array([2.0, -1.0, 0, 0, 0]) + r.logistic(size=600) * 0.2
+    grade = (z > -0.5).astype(int) + (z > 1)
+    m = quality.fit(x, grade)
+    assert m.thresholds[0] < m.thresholds[1]
+    assert ((m.above(x).sum(axis=1).round()) == grade).mean() > 0.85
+
+
+def test_fingerprints(spark, hard):
+    order = sorted(ROWS, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = []
+    for k, (d, t) in enumerate(order):
+        half, after = len(t) // 2, order[(k + 1) % len(order)][1]
+        want.append((d, len(t), sha((t[: len(t) - half] + after[:half]).encode())))
+    assert got(spark, "op8_fingerprints", hard, "doc_id", "n_chars", "edited_sha256") == sorted(want, key=key)
+    prints = {}
+    for d, f in got(spark, "op8_fingerprints", hard, "doc_id", "fingerprint"):
+        if d is not None:
+            assert prints.setdefault(dict(ROWS)[d], f) == f
+
+
+def test_sketches_merge_and_estimate(spark):
+    a, b = " ".join(f"w{k}" for k in range(900)), " ".join(f"w{k}" for k in range(450, 1400))
+    d = spark.createDataFrame([(1, a), (1, b)], "doc_id long, text string").withColumn("s", fingerprint.sketch(F.col("text")))
+    rows = [r["s"] for r in d.collect()]
+    whole = fingerprint.merge_all(d, "doc_id", "s").first()["s"]
+    assert whole == sorted(set(rows[0]) | set(rows[1]))[: fingerprint.K]
+    p = spark.createDataFrame([(rows[0], rows[1])], "a array<bigint>, b array<bigint>")
+    j, c, n = p.select(fingerprint.resemblance(F.col("a"), F.col("b")), fingerprint.containment(F.col("a"), F.col("b")), fingerprint.distinct_count(F.col("a"))).first()
+    assert abs(j - 446 / 1396) < 0.15 and abs(c - 446 / 896) < 0.2 and abs(n / 896 - 1) < 0.3
+
+
+def linked_groups(rows, n, percent):
+    sets = [frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset()) for w in (words(t) for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def test_jaccard(spark, hard):
+    sets, group = linked_groups(ROWS, 4, 85)
+    least = {}
+    for (d, _), g in zip(ROWS, group, strict=True):
+        if d is not None:
+            least[g] = min(d, least.get(g, d))
+    want = [(d, len(s), least.get(g)) for (d, _), s, g in zip(ROWS, sets, group, strict=True)]
+    assert got(spark, "op9_jaccard", hard, "doc_id", "n_shingles", "component_id") == sorted(want, key=key)
+
+
+def test_jaccard_many_near_copies(spark):
+    r = np.random.default_rng(4)
+    seeds = [[f"s{k}w{i}" for i in range(60)] for k in range(6)]
+    rows = []
+    for d in range(240):
+        w = list(seeds[d % 6])
+        for _ in range(int(r.integers(0, 5))):
+            w[int(r.integers(60))] = f"x{r.integers(4)}"
+        rows.append((d, " ".join(w[: int(r.integers(50, 61))])))
+    _, group = linked_groups(rows, 4, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.col("doc_id"))
+    have = {x["doc_id"]: x["component_id"] for x in jaccard.join(df, 4, 85).collect()}
+    assert have == {d: group[d] for d in range(240)}
+
+
+def test_packing(spark, hard):
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [(d, [*lib.encode(t, add_special_tokens=False).ids, 1]) for d, t in ROWS]
+    want = sorted(((d, s, len(p), zlib.crc32(np.asarray(p, "<u4").tobytes()), len(x)) for d, x in ids for s in range(0, len(x), 2048) for p in [x[s : s + 2048]]), key=key)
+    rows = registry.QUERIES["op10_packing"](spark, hard).collect()
+    assert sorted(((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows), key=key) == want
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_plan_uses_every_piece_once_with_little_padding():
+    r = np.random.default_rng(6)
+    hist = np.bincount(np.minimum(2048, r.lognormal(6, 1, 20_000).astype(int) + 1), minlength=2049)
+    used, padding = np.zeros_like(hist), 0
+    for lengths, times in packing.plan(hist):
+        total = sum(lengths)
+        assert total <= 2048
+        padding += 0 if total & (total - 1) == 0 else (2048 - total) * times
+        for v in lengths:
+            used[v] += times
+    assert (used == hist).all() and padding < 0.01 * (hist * np.arange(2049)).sum()
+
+
+def test_pipeline_stages(spark, hard):
+    docs = spark.read.parquet(f"{hard}/documents.parquet")
+    columns = docs.columns
+    poor = corpus_pipeline.drop_poor(spark, docs, hard)
+    assert poor.columns == columns and poor.count() <= docs.count()
+    once = corpus_pipeline.drop_near_copies(spark, docs, hard)
+    sets, group = linked_groups(ROWS, 5, 80)
+    assert once.columns == columns and once.count() == len(set(group))
+    cut = corpus_pipeline.cut_repeats(spark, docs, hard)
+    raw = [t.encode() for _, t in ROWS]
+    want = sorted(bytes(np.frombuffer(b, np.uint8)[~f]).decode("utf-8", "ignore") for b, f in zip(raw, removed(raw, suffix.LENGTH), strict=True))
+    assert cut.columns == columns and sorted(r["text"] or "" for r in cut.collect()) == want
+    masked = corpus_pipeline.mask_secrets(spark, docs, hard)
+    assert masked.columns == columns
+    texts = [r["text"] for r in masked.collect()]
+    assert len(texts) == len(ROWS) and "[SECRET] and [SECRET]" in texts and None in texts
+    packed = corpus_pipeline.pack(spark, docs, hard)
+    assert packed.groupBy("doc_id").count().count() > 0
+    assert corpus_pipeline.run(spark, hard).count() > 0
