@@ -624,3 +624,10 @@ CASE WHEN regexp_matches(t, '(^|[^0-9])5 *m') THEN '5m' WHEN regexp_matches(t, '
 def classify(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr(_TITLE).alias("title"))
     return p.groupBy(S.classify_asset(F.col("title")).alias("asset"), S.classify_duration(F.col("title")).alias("duration")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_regime_variants")
+def regime_variants(spark, sf_dir):
+    from .plans import regimes
+
+    return regimes.comparison(spark, sf_dir)
