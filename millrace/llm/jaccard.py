@@ -36,7 +36,7 @@ from .components import components
 #: Parts beyond the most that can differ.
 SPARE = 3
 #: Tile keys gathered by a task before they are written out.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Text bytes for each group that tile keys are dealt into, and for each group of components.
 TILE_BYTES, TEXT_BYTES = 16 << 20, 24 << 20
 

@@ -33,7 +33,7 @@ from .base import documents, keyed_text, ship, stored, tokenizer_path
 WINDOW = 2048
 END = 1
 #: Words whose ids a Python worker keeps; beyond it the store is emptied and fills again.
-KEEP = 1_000_000
+KEEP = 400_000
 SPECIAL = "<|endoftext|>"
 #: Signs that often end a word.
 SIGNS = ".,;:!?"
