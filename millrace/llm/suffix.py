@@ -262,6 +262,7 @@ def _build_group(length: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("build")
         key, once = t.column("build").to_numpy(), t.column("once").to_numpy()
+        names = np.stack([t.column("anchor").to_numpy(), t.column("seg").to_numpy()], 1)
         strings = t.column("bytes").to_pylist()
         start = np.flatnonzero(np.r_[True, np.diff(key) != 0])
         end = np.r_[start[1:], len(key)]
@@ -271,8 +272,9 @@ def _build_group(length: int):
             j = k + 1
             while j < len(start) and end[j] - start[k] <= BATCH:
                 j += 1
-            lo, hi = start[k], end[j - 1]
-            for i, flags in zip(range(lo, hi), repeats(strings[lo:hi], length), strict=True):
+            # A segment of a split anchor is in two builds; where a batch holds both, one copy stands for it.
+            batch = start[k] + np.sort(np.unique(names[start[k] : end[j - 1]], axis=0, return_index=True)[1])
+            for i, flags in zip(batch, repeats([strings[i] for i in batch], length), strict=True):
                 if once[i]:
                     for s, e in covered(flags, length):
                         take.append(i)

@@ -73,6 +73,19 @@ def test_suffix_splits_hot_anchors(spark, hard, monkeypatch):
     assert got(spark, "op1_suffix", hard, "doc_id", "n_removed", "kept_sha256") == want
 
 
+def test_suffix_keeps_a_short_line_in_thousands_of_contexts(spark, tmp_path):
+    r = np.random.default_rng(8)
+    line = bytes(r.integers(97, 123, 190, dtype=np.uint8))
+    around = r.integers(97, 123, (6_000, 2, 150), dtype=np.uint8)
+    rows = [(k, (bytes(a) + line + bytes(b)).decode()) for k, (a, b) in enumerate(around)]
+    most = Counter(a for _, t in rows for a in {int(x) for x in next(suffix.segments(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), suffix.LENGTH))[3]})
+    assert most.most_common(1)[0][1] > suffix.SPLIT
+    rows.append((len(rows), "x" * 20 + rows[0][1][40:300] + "y" * 20))  # one passage that does repeat
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    lost = {r["doc_id"]: r["n_removed"] for r in suffix.op1_suffix(spark, str(tmp_path)).where("n_removed > 0").collect()}
+    assert lost == {0: 260, len(rows) - 1: 260}
+
+
 BASE = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
