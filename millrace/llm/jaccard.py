@@ -292,7 +292,8 @@ def _exact(n: int, percent: int):
 
 
 def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(row id, doc_id, size, component_id) of (row id, doc_id, text)."""
+    """(row id, doc_id, size, label, component_id) of (row id, doc_id, text). Linked rows share a label,
+    whatever their doc_ids; it is null where the set is empty."""
     total = text_bytes(docs)
     tile_groups, text_groups = groups_for(total, TILE_BYTES), groups_for(total, TEXT_BYTES)
     d = stored(_describe(docs, n, percent, tile_groups), "described")
@@ -309,7 +310,7 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     labels = stored(dealt.groupBy("group").applyInArrow(lambda t: _exact(n, percent)(t), "entity long, label long"), "labels")
     d = doc.join(labels, "entity", "left").select(ROW, "doc_id", "size", F.coalesce("label", "entity").alias("label"))
     least = d.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return d.join(least, "label", "left").select(ROW, "doc_id", "size", F.coalesce("least", "doc_id").alias("component_id"))
+    return d.join(least, "label", "left").select(ROW, "doc_id", "size", "label", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +322,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5, percent
     ship(spark)
     d = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
     found = join(d.select(ROW, "doc_id", F.coalesce("text", F.lit("")).alias("text")), n, percent)
-    group = F.struct(F.when(F.col("size") > 0, F.lit(-1)).otherwise(F.col(ROW)), "component_id")
+    group = F.struct(F.when(F.col("label").isNull(), F.col(ROW)).otherwise(F.lit(-1)), "label")
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("r"))
     keep = first.select(F.col(f"r.{ROW}").alias(ROW))
     return d.join(keep, ROW, "left_semi").select("doc.*")

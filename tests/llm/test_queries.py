@@ -312,6 +312,12 @@ def test_jaccard_many_near_copies(spark):
     assert have == {d: group[d] for d in range(240)}
 
 
+def test_near_copies_are_told_by_text_not_by_doc_id(spark):
+    rows = [(None, "one text of its own"), (None, "another that nobody shares"), (7, "first under seven here"), (7, "and quite different words"), (None, "shared by two rows without id"), (None, "shared by two rows without id"), (9, ""), (9, None)]
+    kept = jaccard.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(map(tuple, kept)) == Counter({x: 1 for x in rows})
+
+
 def test_packing(spark, hard):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = [(d, [*lib.encode(t, add_special_tokens=False).ids, 1]) for d, t in ROWS]
