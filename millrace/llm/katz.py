@@ -1,7 +1,7 @@
 """Language-model scoring: Katz backoff over words, Good-Turing discounts, exact normalisation.
 
-Classes are the words whose training count is THETA of all training tokens or more (and two at
-least), the text's end, and one class of all other words. P(class | previous class) is a bigram model
+Classes are the words that training has LEAST times or more, the text's end, and one class of all
+other words. P(class | previous class) is a bigram model
 that backs off to class frequencies; a word of the class of others takes its share of that class
 from Good-Turing discounted counts, with the mass left over for unknown words. So
 
@@ -10,10 +10,12 @@ from Good-Turing discounted counts, with the mass left over for unknown words. S
     alpha(v) = (1 - sum of c*(v, .) / c(v)) / (1 - sum of P(x) over the x seen after v),
 
 and every distribution sums to one. Counts c up to CUT are discounted after Good and Turing, larger
-ones by DELTA, so each history keeps some mass. The class list has at most 1 / THETA words, a bound
-that holds for any input; it is the only model part that is broadcast. Counts of bigrams and of
-other words stay in tables dealt by hash: the pairs of a document meet the training counts there, each
-group sums its documents' logarithms, and only sums and counts of counts leave it.
+ones by DELTA, so each history keeps some mass. Only the frequent words are broadcast: those of THETA of
+all training tokens or more, at most 1 / THETA words for any input. Which words these are changes no
+result. Pairs of frequent words are dealt by hash at once. Pairs with a rarer word wait, by chunk of
+documents: rarer words are dealt by hash, counted there, and the counts go back to the chunks that asked;
+then these pairs are dealt too. The pairs of a document meet the training counts in their group, which
+sums its documents' logarithms, and only sums and counts of counts leave it.
 
 Defined results: a null or empty text is its end alone; a null doc_id counts as training; repeated
 rows are learnt from and scored each; without training rows every count is 0 and score is that of a
@@ -32,7 +34,10 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .base import ROW, documents, groups_for, keyed_text, stored, text_bytes
 
+#: Share of the training tokens from which a word counts as frequent.
 THETA = 2e-6
+#: Training count from which a word is a class of its own.
+LEAST = 2
 #: Counts up to this are discounted after Good and Turing.
 CUT = 5
 DELTA = 0.01
@@ -45,6 +50,9 @@ PAIR_GROUPS, WORD_GROUPS = 256, 32
 #: The text's end is a word that no text can hold.
 END = np.uint64(0x5E0FFACE5E0FFACE)
 DOC_BITS = 22
+#: Marks a rarer word's hash beside the ids of frequent ones.
+RARE = np.uint64(1 << 63)
+DEALT = "group int, keys binary, docs binary, n binary, rows binary, held binary, chunk long"
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -72,15 +80,15 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 class Classes:
-    """Hashes of the class words in order, with counts; beyond them OTHER, and START as a history."""
+    """Hashes of the frequent words in order, with counts; beyond them OTHER, and START as a history."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, once: int):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.total, self.distinct, self.starts = total, distinct, starts
         self.other, self.start = len(words), len(words) + 1
         # One more in the class of others keeps a share for it where training has none.
-        self.other_count = total - int(self.counts.sum()) + 1
+        self.other_count = once + 1
         self.history = np.concatenate([self.counts, [self.other_count], [max(starts, 1)]]).astype(np.float64)
         self.share = np.concatenate([self.counts, [self.other_count]]) / (total + 1)
 
@@ -120,7 +128,8 @@ def _base(docs: DataFrame, classes) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, classes, pair_groups: int, word_groups: int) -> DataFrame:
-    """Class pairs (groups from 0) and other words (groups after those) with their documents."""
+    """Pairs of frequent words (groups from 0) and rarer words (groups after those) with their documents;
+    group -1: a chunk's pairs with a rarer word. A chunk is known by its first row id."""
 
     def run(batches):
         c = classes.value
@@ -140,21 +149,31 @@ def _dealt(docs: DataFrame, classes, pair_groups: int, word_groups: int) -> Data
         def flush():
             rows, out_of = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             doc, v, x, h = (np.concatenate([y[k] for y in held]) for k in (2, 3, 4, 5))
+            chunk = int(rows[0].view(np.int64))
+            rare = x == c.other
+            before = np.zeros_like(h)  # START is no rare word, so each text's first pair has none before
+            before[1:] = h[:-1]
+            mixed = rare | (v == c.other)
+            terms = [np.where(i == c.other, w | RARE, i.astype(np.uint64)) for i, w in ((v[mixed], before[mixed]), (x[mixed], h[mixed]))]
+            waiting = (-1, H.planes(np.stack(terms, 1).ravel()), H.planes(doc[mixed].astype(np.uint32)), b"", H.planes(rows), H.planes(out_of.astype(np.uint8)))
+            h, doc_of_word = h[rare], doc[rare]
+            v, x, doc = v[~mixed], x[~mixed], doc[~mixed]
             both = (((v.astype(np.uint64) << np.uint64(21)) | x.astype(np.uint64)) << np.uint64(DOC_BITS)) | doc.astype(np.uint64)
             u, n = np.unique(both, return_counts=True)
             key, d = u >> np.uint64(DOC_BITS), (u & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64)
             group = (H.mix(key.copy()) % np.uint64(pair_groups)).astype(small)
             out = list(pack(group, key, d, n, rows, out_of))
-            other = x == c.other
-            h, doc = h[other], doc[other]
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
+            if len(terms[0]):
+                out.append(waiting)
+            order = np.lexsort((doc_of_word, h))
+            h, doc = h[order], doc_of_word[order]
             if len(h):
                 first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
                 group = (pair_groups + h[first] % np.uint64(word_groups)).astype(small)
                 out += pack(group, h[first], doc[first], np.diff(first, append=len(h)), rows, out_of)
             kinds = [pa.int32()] + [pa.binary()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(y, k) for y, k in zip(zip(*out, strict=True), kinds, strict=True)], ["group", "keys", "docs", "n", "rows", "held"])
+            columns = [pa.array(y, k) for y, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(out), chunk))], ["group", "keys", "docs", "n", "rows", "held", "chunk"])
 
         docs_held = 0
         for b in batches:
@@ -176,73 +195,142 @@ def _dealt(docs: DataFrame, classes, pair_groups: int, word_groups: int) -> Data
         if held:
             yield flush()
 
-    return docs.select(ROW, "held_out", "text").mapInArrow(run, "group int, keys binary, docs binary, n binary, rows binary, held binary")
+    return docs.select(ROW, "held_out", "text").mapInArrow(run, DEALT)
+
+
+def _resolved(classes, groups: int):
+    """A chunk's waiting pairs, by group of pairs, once the counts of its rarer words (kind 6) are there."""
+
+    def run(pairs: pa.Table, answers: pa.Table) -> pa.Table:
+        c = classes.value
+        word = np.concatenate([np.zeros(0, np.uint64), *(H.unplanes(k, np.uint64) for k in answers.column("keys").to_pylist())])
+        times = np.concatenate([np.zeros(0, np.uint64), *(H.unplanes(k, np.uint64) for k in answers.column("counts").to_pylist())])
+        order = np.argsort(word)
+        word, times = word[order], times[order]
+        out = []
+        for k, d, r, o in zip(*(pairs.column(i).to_pylist() for i in ("keys", "docs", "rows", "held")), strict=True):
+            term = H.unplanes(k, np.uint64)
+            count, rare = np.zeros(len(term), np.uint64), term >= RARE
+            count[rare] = times[np.searchsorted(word, term[rare])]
+            none = rare & (count < LEAST)
+            term[none], count[none] = c.other, 0
+            term, count, doc = term.reshape(-1, 2), count.reshape(-1, 2), H.unplanes(d, np.uint32)
+            rows, out_of = H.unplanes(r, np.uint64), H.unplanes(o, np.uint8)
+            group = (H.mix(H.mix(term[:, 0].copy()) + term[:, 1]) % np.uint64(groups)).astype(np.int64)
+            order = np.lexsort((doc, term[:, 1], term[:, 0], group))
+            term, count, doc, group = term[order], count[order], doc[order], group[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (term[1:] != term[:-1]).any(axis=1) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(first, append=len(doc))
+            term, count, doc, group = term[first], count[first], doc[first], group[first]
+            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                here, local = np.unique(doc[s:e], return_inverse=True)
+                keys = H.planes(np.concatenate([term[s:e].T, count[s:e].T]).ravel())
+                out.append((int(group[s]), keys, H.planes(local.astype(np.uint32)), H.planes(n[s:e].astype(np.uint32)), H.pack_sorted(rows[here]), H.planes(out_of[here])))
+        kinds = [pa.int32()] + [pa.binary()] * 5
+        return pa.table([pa.array(y, k) for y, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["group", "keys", "docs", "n", "rows", "held"])
+
+    return run
 
 
 COUNTED = [f"m{r}" for r in range(CUT + 2)]
-NAMES = ["kind", "id", "total", *COUNTED, "to"]
-SCHEMA = "kind int, id long, total double, " + ", ".join(f"{m} double" for m in COUNTED) + ", to long"
+NAMES = ["kind", "id", "total", *COUNTED, "to", "keys", "counts"]
+SCHEMA = "kind int, id long, total double, " + ", ".join(f"{m} double" for m in COUNTED) + ", to long, keys binary, counts binary"
 
 
-def _table(kind: int, ids: np.ndarray, total: np.ndarray, counts: list[np.ndarray], to: np.ndarray | None = None) -> pa.Table:
+def _table(kind: int, ids: np.ndarray, total: np.ndarray, counts: list[np.ndarray], to: np.ndarray | None = None, answer: tuple[list, list] | None = None) -> pa.Table:
     n = len(ids)
     counts = [*counts, *[np.zeros(n)] * (len(COUNTED) - len(counts))]
     columns = [pa.array(np.full(n, kind, np.int32)), pa.array(ids.astype(np.int64)), pa.array(total.astype(np.float64)), *(pa.array(c.astype(np.float64)) for c in counts)]
-    return pa.table([*columns, pa.array(to.astype(np.int64)) if to is not None else pa.nulls(n, pa.int64())], names=NAMES)
+    last = [pa.array(x, pa.binary()) for x in answer or ([None] * n, [None] * n)]
+    return pa.table([*columns, pa.array(to.astype(np.int64)) if to is not None else pa.nulls(n, pa.int64()), *last], names=NAMES)
+
+
+def _read(t: pa.Table, unpack):
+    """(keys by piece, documents, n, held out) of a group's pieces."""
+    key, doc, n, out_of = [], [], [], []
+    for k, d, m, r, o in zip(*(t.column(x).to_pylist() for x in ("keys", "docs", "n", "rows", "held")), strict=True):
+        local = H.unplanes(d, np.uint32)
+        key.append(unpack(k))
+        doc.append(H.unpack_sorted(r)[local])
+        n.append(H.unplanes(m, np.uint32))
+        out_of.append(H.unplanes(o, np.uint8)[local])
+    return key, *(np.concatenate(x) for x in (doc, n, out_of))
+
+
+def _pair_sums(start, v, x, size, share, doc, n, out_of) -> pa.Table:
+    """Sums of pairs in order; start: each distinct pair's first place; size, share: count of v, frequency of x."""
+    times = np.add.reduceat(np.where(out_of, 0, n), start)
+    count = np.repeat(times, np.diff(start, append=len(v)))
+    rows, who = np.unique(doc, return_inverse=True)
+    add = lambda w: np.bincount(who, w, len(rows))
+    seen, large = count > 0, count > CUT
+    big = np.where(large, np.log10(np.maximum(count - DELTA, 0.5)), 0.0)
+    total = add(n * np.where(seen, big - np.log10(size), np.log10(share)))
+    tables = [_table(0, rows.view(np.int64), total, [np.zeros(len(rows)), *(add(n * (count == r)) for r in range(1, CUT + 1))])]
+    first, tot = start[times > 0], times[times > 0]
+    if len(first):
+        hist, head, at = np.unique(v[first], return_index=True, return_inverse=True)
+        group = lambda w: np.bincount(at, w, len(hist))
+        all_of = group(np.where(tot > CUT, tot - DELTA, 0)), [group(share[first]), *(group((tot == r).astype(float)) for r in range(1, CUT + 2))], size[first][head]
+        for kind, of in ((1, hist < RARE), (7, hist >= RARE)):
+            tables.append(_table(kind, hist[of].view(np.int64), all_of[0][of], [m[of] for m in all_of[1]], all_of[2][of]))
+    if (~seen).any():
+        u, at = np.unique(np.stack([doc[~seen], v[~seen]], 1), axis=0, return_inverse=True)
+        k = np.bincount(at.ravel(), n[~seen], len(u))
+        for kind, of in ((2, u[:, 1] < RARE), (8, u[:, 1] >= RARE)):
+            tables.append(_table(kind, u[of, 0].view(np.int64), k[of], [], np.ascontiguousarray(u[of, 1]).view(np.int64)))
+    return pa.concat_tables(tables)
 
 
 def _summed(classes, pair_groups: int):
     """A group's sums. Kind 0: per document the logarithms of its seen pairs whose count exceeds CUT
     and of the frequencies of unseen ones, and how many pairs have each count up to CUT. Kind 1: per
-    history the same sums over its distinct seen pairs, with the frequency mass of what was seen (m0).
-    Kind 2: per document and history, unseen pairs. Kind 3: per document the sum of base logarithms of other words (without
-    the constant), how many are unknown (m0) and how many have each count; kind 5: the logarithms of
-    their larger counts and how many (m0). Kind 4: counts of counts of other words, and in total
-    the discounted mass of the larger ones."""
+    history the same sums over its distinct seen pairs, with the frequency mass of what was seen (m0);
+    kind 7: the same for rarer histories, with their count. Kind 2: per document and history, unseen pairs;
+    kind 8: the same for rarer histories. Kind 3: per document the sum of base logarithms of rarer words
+    (without the constant), how many are unknown (m0) and how many are of the class of others with count 1.
+    Kind 6: per chunk, the counts of its rarer words."""
 
     def run(t: pa.Table) -> pa.Table:
         c = classes.value
         pairs = t.column("group")[0].as_py() < pair_groups
-        key, doc, n, out_of = [], [], [], []
-        for k, d, m, r, o in zip(*(t.column(x).to_pylist() for x in ("keys", "docs", "n", "rows", "held")), strict=True):
-            local = H.unplanes(d, np.uint32)
-            key.append(H.unpack_sorted(k))
-            doc.append(H.unpack_sorted(r)[local])
-            n.append(H.unplanes(m, np.uint32))
-            out_of.append(H.unplanes(o, np.uint8)[local])
-        key, doc, n, out_of = (np.concatenate(x) for x in (key, doc, n, out_of))
+        pieces, doc, n, out_of = _read(t, H.unpack_sorted)
+        key = np.concatenate(pieces)
         order = np.argsort(key, kind="stable")
         key, doc, n, out_of = key[order], doc[order], n[order].astype(np.float64), out_of[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        if pairs:
+            v, x = key >> np.uint64(21), key & np.uint64((1 << 21) - 1)
+            return _pair_sums(start, v, x, c.history[v], c.share[x], doc, n, out_of)
         times = np.add.reduceat(np.where(out_of, 0, n), start)
         count = np.repeat(times, np.diff(start, append=len(key)))
         rows, who = np.unique(doc, return_inverse=True)
         add = lambda w: np.bincount(who, w, len(rows))
-        seen = count > 0
-        large = count > CUT
-        by_count = [add(n * (count == r)) for r in range(1, CUT + 1)]
-        big = np.where(large, np.log10(np.maximum(count - DELTA, 0.5)), 0.0)
-        if not pairs:
-            base = add(n * np.log10(count + 0.1))
-            extra = add(n * big)
-            distinct = [np.array([(times == r).sum()]) for r in range(1, CUT + 2)]
-            mass = np.array([(times[times > CUT] - DELTA).sum()])
-            return pa.concat_tables([_table(3, rows.view(np.int64), base, [add(n * ~seen), *by_count]), _table(5, rows.view(np.int64), extra, [add(n * large)]), _table(4, np.zeros(1), mass, [np.zeros(1), *distinct])])
-        v, x = (key >> np.uint64(21)).astype(np.int64), (key & np.uint64((1 << 21) - 1)).astype(np.int64)
-        total = add(n * np.where(seen, big - np.log10(c.history[v]), np.log10(c.share[x])))
-        tables = [_table(0, rows.view(np.int64), total, [np.zeros(len(rows)), *by_count])]
-        first = start[times > 0]
-        if len(first):
-            hist, at = np.unique(v[first], return_inverse=True)
-            tot = times[times > 0]
-            group = lambda w: np.bincount(at, w, len(hist))
-            tables.append(_table(1, hist, group(np.where(tot > CUT, tot - DELTA, 0)), [group(c.share[x[first]]), *(group((tot == r).astype(float)) for r in range(1, CUT + 2))]))
-        if (~seen).any():
-            lost = np.stack([doc[~seen].view(np.int64), v[~seen]], 1)
-            u, at = np.unique(lost, axis=0, return_inverse=True)
-            k = np.bincount(at.ravel(), n[~seen], len(u))
-            tables.append(_table(2, u[:, 0], k, [], u[:, 1]))
-        return pa.concat_tables(tables)
+        asked = [np.unique(k) for k in pieces]
+        told = [H.planes(times[np.searchsorted(key[start], k)].astype(np.uint64)) for k in asked]
+        chunks = t.column("chunk").to_numpy()
+        answers = _table(6, chunks, np.zeros(len(chunks)), [], None, ([H.planes(k | RARE) for k in asked], told))
+        return pa.concat_tables([_table(3, rows.view(np.int64), add(n * np.log10(count + 0.1)), [add(n * (count == r)) for r in range(LEAST)]), answers])
+
+    return run
+
+
+def _summed_mixed(classes):
+    """The same sums of a group of pairs with a rarer word or the class of others."""
+
+    def run(t: pa.Table) -> pa.Table:
+        c = classes.value
+        pieces, doc, n, out_of = _read(t, lambda k: H.unplanes(k, np.uint64).reshape(4, -1))
+        both = np.concatenate(pieces, axis=1)
+        order = np.lexsort((both[1], both[0]))
+        v, x, of_v, of_x = both[:, order]
+        start = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (x[1:] != x[:-1])])
+        size = np.where(v < RARE, c.history[np.where(v < RARE, v, 0)], of_v.astype(np.float64))
+        share = np.where(x < RARE, c.share[np.where(x < RARE, x, 0)], of_x.astype(np.float64) / (c.total + 1))
+        return _pair_sums(start, v, x, size, share, doc[order], n[order].astype(np.float64), out_of[order])
 
     return run
 
@@ -269,36 +357,44 @@ def score(docs: DataFrame) -> DataFrame:
     n, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     end = int(END.view(np.int64))
     starts = words.where(F.col("word") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(2, math.ceil(THETA * n))
+    once = words.where((F.col("n") < LEAST) & (F.col("word") != end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(LEAST, math.ceil(THETA * n))
     chosen = words.where((F.col("n") >= least) | (F.col("word") == end)).toArrow()  # at most 1 / THETA rows
-    at = spark.sparkContext.broadcast(Classes(chosen.column("word").to_numpy().view(np.uint64), chosen.column("n").to_numpy(), int(n), int(distinct), int(starts)))
+    at = spark.sparkContext.broadcast(Classes(chosen.column("word").to_numpy().view(np.uint64), chosen.column("n").to_numpy(), int(n), int(distinct), int(starts), int(once)))
     c = at.value
     # A document has a row of sums in each group that it meets. Groups are many from the start, so
     # that rows a document do not grow with the input but stay near its distinct pairs.
     pair_groups, word_groups = groups_for(total_bytes, PAIR_BYTES, PAIR_GROUPS), groups_for(total_bytes, WORD_BYTES, WORD_GROUPS)
     run = _summed(at, pair_groups)
-    sums = stored(_dealt(docs, at, pair_groups, word_groups).groupBy("group").applyInArrow(lambda t: run(t), SCHEMA), "sums")
-
-    per_history = sums.where("kind = 1").groupBy("id").agg(F.sum("total").alias("total"), *(F.sum(m).alias(m) for m in COUNTED))
-    pair_n = [float(v or 0) for v in per_history.agg(*(F.sum(m) for m in COUNTED[1:])).first()]
-    word_rows = sums.where("kind = 4").agg(F.sum("total"), *(F.sum(m) for m in COUNTED[1:])).first()
-    word_n = [float(v or 0) for v in word_rows[1:]]
+    dealt = stored(_dealt(docs, at, pair_groups, word_groups), "dealt")
+    sums = stored(dealt.where("group >= 0").groupBy("group").applyInArrow(lambda t: run(t), SCHEMA), "sums")
+    resolve, run_mixed = _resolved(at, pair_groups), _summed_mixed(at)
+    asked = sums.where("kind = 6").select(F.col("id").alias("chunk"), "keys", "counts")
+    waiting = dealt.where("group = -1").groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda p, a: resolve(p, a), DEALT.removesuffix(", chunk long"))
+    mixed = stored(waiting.groupBy("group").applyInArrow(lambda t: run_mixed(t), SCHEMA), "mixed")
+    sums = sums.unionByName(mixed)
+
+    histories = lambda kind: sums.where(f"kind = {kind}").groupBy("id").agg(F.sum("total").alias("total"), F.max("to").alias("size"), *(F.sum(m).alias(m) for m in COUNTED))
+    per_history, rare_history = histories(1), histories(7)
+    pair_n = [float(v or 0) for v in per_history.unionByName(rare_history).agg(*(F.sum(m) for m in COUNTED[1:])).first()]
+    word_n = [float(once), *[0.0] * CUT]  # the class of others has words of count 1 only
     pair_d, word_d = discounts(pair_n), discounts(word_n)
     # Histories: what is left over of each, spread over what was not seen after it.
     kept = F.col("total") + sum(F.lit(d * r) * F.col(f"m{r}") for r, d in enumerate(pair_d, 1))
-    sizes = spark.createDataFrame(pa.table({"id": np.arange(len(c.history)), "size": c.history}))  # at most 1 / THETA rows
-    alpha = per_history.join(F.broadcast(sizes), "id").select(F.col("id").alias("to"), (F.greatest(F.lit(1e-12), 1 - kept / F.col("size")) / F.greatest(F.lit(1e-12), 1 - F.col("m0"))).alias("alpha"))
-    lost = sums.where("kind = 2").select("id", "to", "total").join(F.broadcast(alpha), "to", "left")
+    alpha = lambda h: h.select(F.col("id").alias("to"), (F.greatest(F.lit(1e-12), 1 - kept / F.col("size")) / F.greatest(F.lit(1e-12), 1 - F.col("m0"))).alias("alpha"))
+    unseen = lambda kind: sums.where(f"kind = {kind}").select("id", "to", "total")
+    # Frequent histories are at most 1 / THETA rows; rarer ones are joined by hash.
+    lost = unseen(2).join(F.broadcast(alpha(per_history)), "to", "left").unionByName(unseen(8).join(alpha(rare_history), "to", "left"))
     lost = lost.select("id", (F.col("total") * F.log10(F.coalesce("alpha", F.lit(1.0)))).alias("part"))
     # Shares within the class of others.
     inside = float(c.other_count)
-    left_over = max(1e-12, 1 - (float(word_rows[0] or 0) + sum(d * r * m for r, (d, m) in enumerate(zip(word_d, word_n[:CUT], strict=True), 1))) / inside)
+    left_over = max(1e-12, 1 - word_d[0] * word_n[0] / inside)
     logs = lambda ds: sum(F.col(f"m{r}") * F.lit(math.log10(d * r)) for r, d in enumerate(ds, 1))
-    of_words = F.col("m0") * math.log10(left_over) + logs(word_d) - sum(F.col(f"m{r}") for r in range(1, CUT + 1)) * math.log10(inside)
+    of_words = F.col("m0") * math.log10(left_over) + F.col("m1") * math.log10(word_d[0] / inside)
     zero = F.lit(0.0)
-    pieces = sums.where("kind in (0, 3, 5)").select(
+    pieces = sums.where("kind in (0, 3)").select(
         "id",
-        F.when(F.col("kind") == 0, F.col("total") + logs(pair_d)).when(F.col("kind") == 3, of_words).otherwise(F.col("total") - F.col("m0") * math.log10(inside)).alias("part"),
+        F.when(F.col("kind") == 0, F.col("total") + logs(pair_d)).otherwise(of_words).alias("part"),
         F.when(F.col("kind") == 3, F.col("total")).otherwise(zero).alias("base"),
         F.when(F.col("kind") == 3, F.col("m0")).otherwise(zero).alias("unknown"),
     )

@@ -197,6 +197,20 @@ def test_katz(spark, hard):
         assert a[5:] == pytest.approx(b[5:], abs=1e-6)
 
 
+def test_katz_counts_pairs_of_rare_words(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(9)
+    texts = [" ".join(f"w{int(k)}" for k in r.zipf(1.5, 60)) for _ in range(120)]
+    rows = [*enumerate(texts), (None, texts[0]), (0, texts[0]), (500, "")]
+    want = sorted(direct_katz(rows), key=key)  # every word of two occurrences is a class
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for theta in (0.01, 2e-6):
+        monkeypatch.setattr(katz, "THETA", theta)
+        have = sorted((tuple(x) for x in katz.op5_katz(spark, str(tmp_path)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=key)
+        assert [x[:5] for x in have] == [x[:5] for x in want]
+        for a, b in zip(have, want, strict=True):
+            assert a[5:] == pytest.approx(b[5:], abs=1e-6)
+
+
 def test_media(spark, hard):
     want = []
     for d, t in ROWS:
