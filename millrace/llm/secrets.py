@@ -97,7 +97,7 @@ def _joined(spans: Column) -> Column:
 
 def scan(df: DataFrame, model: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """df with base (array of start, rank, end, kind of the base rules), markov (those that the
-    models add: no overlap with a base span) and spans (both, by start)."""
+    models add: not inside a base span) and spans (both, by start)."""
     text = F.col(text_col)
     none = F.array().cast("array<struct<start:int,end:int>>")
     # Group 2 is what follows the key and its signs: a match's tail.
@@ -134,7 +134,7 @@ def scan(df: DataFrame, model: list[float], threshold: float = THRESHOLD, text_c
     scored = F.zip_with("__at", "__hits", lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(mixed(t), ratio(t)).alias("llr")))
     base = F.array_sort(F.concat(_kind(F.col("__assign"), "assign", 0), _kind(F.col("__access"), "access", 1), _kind(F.col("__hex"), "hex", 2)))
     d = d.withColumn("base", base)
-    markov = F.filter(scored, lambda s: (s["llr"] > threshold) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    markov = F.filter(scored, lambda s: (s["llr"] > threshold) & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     d = d.withColumn("markov", _kind(F.transform(markov, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), "markov", 3))
     return d.withColumn("spans", F.array_sort(F.concat("base", "markov"))).drop("__assign", "__access", "__hex", "__hits", "__at")
 
