@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__row"
+#: Removes the shuffle files of a finished command.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,13 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, and
-    a lost executor costs a reread only. The table stays until the folder is emptied (see README)."""
+    a lost executor costs a reread only. Shuffle files of the write go once it is done. by: a column
+    that has a folder for each value. The table stays until `dropped`, or until the folder is emptied (see README)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def dropped(table: DataFrame, part: str = "") -> None:
+    """Deletes a table of `stored`, or a folder of it, whose last reader is done."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{table._millrace_path}/{part}".rstrip("/"))
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_row(df: DataFrame) -> DataFrame:

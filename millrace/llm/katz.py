@@ -1,418 +1,562 @@
-"""Language-model scoring: Katz backoff over words, Good-Turing discounts, exact normalisation.
+"""Language-model scoring: Katz backoff over word n-grams, Good-Turing discounts, exact normalisation.
 
-Classes are the words that training has LEAST times or more, the text's end, and one class of all
-other words. P(class | previous class) is a bigram model
-that backs off to class frequencies; a word of the class of others takes its share of that class
-from Good-Turing discounted counts, with the mass left over for unknown words. So
+With h a history of the last words of a text, h' the same without its oldest word, and c training counts,
 
-    P(x | v) = c*(v, x) / c(v)                  where (v, x) was seen,
-    P(x | v) = alpha(v) * P(x)                  where not,
-    alpha(v) = (1 - sum of c*(v, .) / c(v)) / (1 - sum of P(x) over the x seen after v),
+    P(x | h) = d(c(h, x)) c(h, x) / c(h)        where (h, x) was seen,
+    P(x | h) = alpha(h) P(x | h')               where only h was seen,
+    P(x | h) = P(x | h')                        where not even h was seen,
+    alpha(h) = (1 - sum over seen x of d c(h, x) / c(h)) / (1 - sum over seen x of P(x | h')),
 
-and every distribution sums to one. Counts c up to CUT are discounted after Good and Turing, larger
-ones by DELTA, so each history keeps some mass. Only the frequent words are broadcast: those of THETA of
-all training tokens or more, at most 1 / THETA words for any input. Which words these are changes no
-result. Pairs of frequent words are dealt by hash at once. Pairs with a rarer word wait, by chunk of
-documents: rarer words are dealt by hash, counted there, and the counts go back to the chunks that asked;
-then these pairs are dealt too. The pairs of a document meet the training counts in their group, which
-sums its documents' logarithms, and only sums and counts of counts leave it.
+down to single words, whose discounts leave a share for all unknown words together. Every distribution
+sums to one. d is Katz's discount after Good and Turing for counts up to a cut: the largest cut up to
+CUT for which all of them lie between 0 and 1 (`discounts`). A history of which every count is above
+the cut would keep nothing back, so one more is added to its count. Before a text's first word stand
+START words; its end is a word.
+
+Orders are counted one after another (`level`), each in a table partitioned by hash of the history:
+
+1. Texts are read once, into chunks of CHUNK tokens: their words as numbers of the chunk's own list.
+2. For an order, a chunk asks each group of n-grams for those that it holds, with its training counts.
+   The group adds up the counts of all chunks and the sums that each history's weight follows from, and
+   answers every chunk with the counts of what it asked for, and the sums where it was not seen.
+3. With the counts of one order a chunk knows all that the next order's requests need.
+4. With all answers a chunk evaluates the recursion for each of its tokens.
+
+A chunk sends each n-gram once, however often it occurs, so a frequent n-gram has an entry a chunk. A
+history of more than HOT tokens is dealt over several groups by the next word; its sums are added up
+from them and broadcast (at most 2 N / HOT rows, and HOT is N / MOST_HOT at least). Words get
+numbers by falling count, so that what is sent is short; nothing depends on which they are.
 
 Defined results: a null or empty text is its end alone; a null doc_id counts as training; repeated
-rows are learnt from and scored each; without training rows every count is 0 and score is that of a
-model of one token; other columns are dropped, so none can clash; an empty table gives an empty table.
+rows are learnt from and scored each; a text of more than CHUNK tokens is cut into pieces that know the
+words before them; without training rows every count is 0 and every unknown word has probability
+1; other columns are dropped, so none can clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
+import os
+from dataclasses import dataclass, field
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import ROW, documents, groups_for, keyed_text, stored, text_bytes
+from .base import ROW, documents, dropped, groups_for, keyed_text, stored, text_bytes
 
-#: Share of the training tokens from which a word counts as frequent.
-THETA = 2e-6
-#: Training count from which a word is a class of its own.
-LEAST = 2
-#: Counts up to this are discounted after Good and Turing.
+ORDER = 3
+#: Counts up to this are discounted where the counts of counts allow it.
 CUT = 5
-DELTA = 0.01
-#: Tokens that a task gathers before it writes them out by group.
-FLUSH = 600_000
-#: Text bytes for each group of pairs, and for each group of other words.
-PAIR_BYTES, WORD_BYTES = 8 << 20, 32 << 20
-#: Least numbers of these groups.
-PAIR_GROUPS, WORD_GROUPS = 256, 32
+#: Tokens of a chunk.
+CHUNK = 1_000_000
+#: Text bytes for each group of words and of n-grams.
+WORD_BYTES, GROUP_BYTES = 32 << 20, 6 << 20
+#: Tokens from which a history is dealt over groups, and the least share of all tokens that this is.
+HOT, MOST_HOT = 1_000_000, 50_000
 #: The text's end is a word that no text can hold.
 END = np.uint64(0x5E0FFACE5E0FFACE)
-DOC_BITS = 22
-#: Marks a rarer word's hash beside the ids of frequent ones.
-RARE = np.uint64(1 << 63)
-DEALT = "group int, keys binary, docs binary, n binary, rows binary, held binary, chunk long"
+#: Bits of a word's number within a chunk; 0 stands for START.
+BITS = 21
+MASK = (1 << BITS) - 1
+
+ROWS = "kind string, group int, chunk long, payload binary"
+STATE, ASK, ANSWER, TOTALS, SPREAD, TABLE = "state", "ask", "answer", "totals", "spread", "table"
+
+
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole or real numbers as one compressed string: shortest width, bytes in planes."""
+    parts = []
+    for a in arrays:
+        if a.dtype.kind != "f":
+            top = int(a.max(initial=0))
+            a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+        parts += [np.array([len(a)], np.int64).tobytes(), a.dtype.str.encode().ljust(4), H.planes(a)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def expand(raw: bytes) -> list[np.ndarray]:
+    """The arrays of `squeeze`: whole numbers as int64, or uint64 where they need it."""
+    b, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    while at < len(b):
+        n, kind = int(np.frombuffer(b, np.int64, 1, at)[0]), np.dtype(b[at + 8 : at + 12].decode().strip())
+        a = H.unplanes(b[at + 12 : at + 12 + n * kind.itemsize], kind) if n else np.zeros(0, kind)
+        out.append(a if kind.kind == "f" or kind.itemsize == 8 else a.astype(np.int64))
+        at += 12 + n * kind.itemsize
+    return out
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of training tokens, ends included; summed by task before it is shuffled."""
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "group", "chunk", "payload"])
 
-    def run(batches):
-        held, size = [], 0
 
-        def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], ["word", "n"])
+def _runs(key: np.ndarray) -> np.ndarray:
+    """First places of runs of equal values, and the length."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
 
-        for b in batches:
-            data, off = H.buffers(b.column("text"))
-            for i, j, h, _ in H.words(data, off):
-                held += [h, np.full(j - i, END)]
-                size += len(h) + j - i
-            if size > 3 * FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
 
-    return docs.where("not held_out").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _steps(a: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Differences within runs (a ascends there), first values whole; run: as from `_runs`."""
+    out = np.diff(a, prepend=0)
+    out[run[:-1]] = a[run[:-1]]
+    return out
 
 
-class Classes:
-    """Hashes of the frequent words in order, with counts; beyond them OTHER, and START as a history."""
+def _sums(steps: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The reverse of `_steps`."""
+    out = np.cumsum(steps)
+    first = run[:-1]
+    return out - np.repeat(out[first] - steps[first], np.diff(run))
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, once: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.total, self.distinct, self.starts = total, distinct, starts
-        self.other, self.start = len(words), len(words) + 1
-        # One more in the class of others keeps a share for it where training has none.
-        self.other_count = once + 1
-        self.history = np.concatenate([self.counts, [self.other_count], [max(starts, 1)]]).astype(np.float64)
-        self.share = np.concatenate([self.counts, [self.other_count]]) / (total + 1)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(h), self.other, np.int64)
-        i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[i] == h, i, self.other)
+def discounts(n: list[float]) -> tuple[int, np.ndarray]:
+    """(cut, discount of each count up to CUT) from n, the numbers of n-grams of count 1 to CUT + 1.
+    Counts above the cut are left as they are."""
+    for cut in range(CUT, 0, -1):
+        if min(n[: cut + 1]) <= 0:
+            continue
+        common = (cut + 1) * n[cut] / n[0]
+        if common >= 1:
+            continue
+        d = [((r + 1) * n[r] / (r * n[r - 1]) - common) / (1 - common) for r in range(1, cut + 1)]
+        if all(0 < x < 1 for x in d):
+            return cut, np.array([*d, *[1.0] * (CUT - cut)])
+    return 0, np.ones(CUT)
 
 
-def _with_ends(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of a run of texts with each text's end put in, and the text of each."""
-    out = np.insert(h, at[1:], END)
-    return out, np.repeat(np.arange(len(at) - 1), np.diff(at) + 1)
+@dataclass
+class Order:
+    """What is known of an order once it is counted."""
 
+    counts: list[float]
+    total: int = 0
+    types: int = 0
+    #: Sums of the histories dealt over groups, by the history's words.
+    spread: dict[tuple, np.ndarray] = field(default_factory=dict)
 
-def _base(docs: DataFrame, classes) -> DataFrame:
-    """Per document what the classes alone decide: tokens, known ones and their base score."""
+    def __post_init__(self):
+        self.cut, self.d = discounts(self.counts)
 
-    def run(batches):
-        c = classes.value
-        scale = math.log10(c.total + 0.1 * (c.distinct + 1))
-        logs = np.log10(c.counts + 0.1) - scale
-        for b in batches:
-            data, off = H.buffers(b.column("text"))
-            n, known, base = (np.zeros(len(b), t) for t in (np.int64, np.int64, np.float64))
-            for i, j, h, at in H.words(data, off):
-                w, text = _with_ends(h, at)
-                x = c.ids(w)
-                listed = x < c.other
-                n[i:j] = np.bincount(text, minlength=j - i)
-                known[i:j] = np.bincount(text[listed], minlength=j - i)
-                base[i:j] = np.bincount(text[listed], logs[x[listed]], j - i)
-            yield pa.RecordBatch.from_arrays([b.column(ROW), b.column("doc_id"), b.column("held_out"), pa.array(n), pa.array(known), pa.array(base)], [ROW, "doc_id", "held_out", "n_tokens", "known", "base"])
+    def reduced(self, c: np.ndarray) -> np.ndarray:
+        """d(c) c."""
+        return np.where(c <= CUT, self.d[np.clip(c, 1, CUT) - 1], 1.0) * c
 
-    return docs.mapInArrow(run, f"{ROW} long, doc_id long, held_out boolean, n_tokens long, known long, base double")
+    def kept(self, sums: np.ndarray) -> np.ndarray:
+        """Discounted counts of a history from its sums: types of count 1 to CUT, larger counts."""
+        return sums[:, :CUT] @ (self.d * np.arange(1, CUT + 1)) + sums[:, CUT]
 
+    def full(self, sums: np.ndarray) -> np.ndarray:
+        """Whether nothing of a history is discounted."""
+        return sums[:, : self.cut].sum(axis=1) == 0
 
-def _dealt(docs: DataFrame, classes, pair_groups: int, word_groups: int) -> DataFrame:
-    """Pairs of frequent words (groups from 0) and rarer words (groups after those) with their documents;
-    group -1: a chunk's pairs with a rarer word. A chunk is known by its first row id."""
+
+@dataclass
+class Model:
+    words: int
+    groups: int
+    order: int
+    least_hot: int = HOT
+    orders: list[Order] = field(default_factory=list)
+
+    @property
+    def tokens(self) -> int:
+        return self.orders[0].total
+
+    @property
+    def hot(self) -> int:
+        return max(self.least_hot, self.tokens // MOST_HOT)
+
+
+def chunks(docs: DataFrame, words: int, tokens: int = CHUNK) -> DataFrame:
+    """State rows, one a chunk, and the chunk's requests for single words. docs: row id, doc_id, text, held_out."""
 
     def run(batches):
-        c = classes.value
-        small = np.uint16 if pair_groups + word_groups < 1 << 16 else np.uint32  # short numbers are sorted by digits
-        held: list[tuple] = []
-        size = 0
+        pieces: list[tuple] = []
+        held = 0
 
-        def pack(group, key, doc, n, rows, out_of):
-            """Rows of one kind; key, doc and n run alike, sorted by key."""
+        def flush():
+            chunk = int.from_bytes(os.urandom(8), "little") >> 1
+            h = np.concatenate([p[4] for p in pieces])
+            size, skip, train = (np.array([p[k] for p in pieces], np.int64) for k in (5, 6, 3))
+            fresh = np.ones(len(h), bool)  # not before the piece
+            start = np.cumsum(size) - size
+            for k in (0, 1):
+                fresh[start[skip > k] + k] = False
+            u, at = np.unique(h, return_inverse=True)
+            n = np.bincount(at, np.repeat(train, size) * fresh, len(u)).astype(np.int64)
+            group = (u % np.uint64(words)).astype(np.int64)
             order = np.argsort(group, kind="stable")
-            key, doc, n, group = key[order], doc[order], n[order], group[order]
-            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(0, int)
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                here, local = np.unique(doc[s:e], return_inverse=True)
-                yield (int(group[s]), H.pack_sorted(key[s:e]), H.planes(local.astype(np.uint32)), H.planes(n[s:e].astype(np.uint32)), H.pack_sorted(rows[here]), H.planes(out_of[here].astype(np.uint8)))
+            place = np.empty(len(u), np.int64)
+            place[order] = np.arange(len(u))
+            cut = np.searchsorted(group[order], np.arange(words + 1))
+            rows = [(ASK, g, chunk, squeeze(np.diff(u[order[s:e]], prepend=np.uint64(0)), n[order[s:e]])) for g, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if s < e]
+            ids = np.array([p[1] or 0 for p in pieces], np.int64)
+            none = np.array([p[1] is None for p in pieces], np.int64)
+            row = np.array([p[0] for p in pieces], np.int64)
+            state = squeeze(place[at], size, skip, train, row.view(np.uint64), ids.view(np.uint64), none, np.array([len(u)]))
+            return _rows([(STATE, None, chunk, state), *rows])
 
-        def flush():
-            rows, out_of = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            doc, v, x, h = (np.concatenate([y[k] for y in held]) for k in (2, 3, 4, 5))
-            chunk = int(rows[0].view(np.int64))
-            rare = x == c.other
-            before = np.zeros_like(h)  # START is no rare word, so each text's first pair has none before
-            before[1:] = h[:-1]
-            mixed = rare | (v == c.other)
-            terms = [np.where(i == c.other, w | RARE, i.astype(np.uint64)) for i, w in ((v[mixed], before[mixed]), (x[mixed], h[mixed]))]
-            waiting = (-1, H.planes(np.stack(terms, 1).ravel()), H.planes(doc[mixed].astype(np.uint32)), b"", H.planes(rows), H.planes(out_of.astype(np.uint8)))
-            h, doc_of_word = h[rare], doc[rare]
-            v, x, doc = v[~mixed], x[~mixed], doc[~mixed]
-            both = (((v.astype(np.uint64) << np.uint64(21)) | x.astype(np.uint64)) << np.uint64(DOC_BITS)) | doc.astype(np.uint64)
-            u, n = np.unique(both, return_counts=True)
-            key, d = u >> np.uint64(DOC_BITS), (u & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64)
-            group = (H.mix(key.copy()) % np.uint64(pair_groups)).astype(small)
-            out = list(pack(group, key, d, n, rows, out_of))
-            if len(terms[0]):
-                out.append(waiting)
-            order = np.lexsort((doc_of_word, h))
-            h, doc = h[order], doc_of_word[order]
-            if len(h):
-                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
-                group = (pair_groups + h[first] % np.uint64(word_groups)).astype(small)
-                out += pack(group, h[first], doc[first], np.diff(first, append=len(h)), rows, out_of)
-            kinds = [pa.int32()] + [pa.binary()] * 5
-            columns = [pa.array(y, k) for y, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(out), chunk))], ["group", "keys", "docs", "n", "rows", "held", "chunk"])
-
-        docs_held = 0
         for b in batches:
             data, off = H.buffers(b.column("text"))
-            row = b.column(ROW).to_numpy(zero_copy_only=False).view(np.uint64)
-            out_of = b.column("held_out").to_numpy(zero_copy_only=False)
+            row, doc, out_of = (b.column(c).to_pylist() for c in (ROW, "doc_id", "held_out"))
             for i, j, h, at in H.words(data, off):
-                w, text = _with_ends(h, at)
-                x = c.ids(w)
-                v = np.empty_like(x)
-                v[1:] = x[:-1]
-                v[np.flatnonzero(np.r_[True, text[1:] != text[:-1]])] = c.start
-                held.append((row[i:j], out_of[i:j], text + docs_held, v, x, w))
-                docs_held += j - i
-                size += len(w)
-                if size > FLUSH or docs_held > 1 << (DOC_BITS - 1):
-                    yield flush()
-                    held, size, docs_held = [], 0, 0
-        if held:
+                for k in range(i, j):
+                    w = np.append(h[at[k - i] : at[k - i + 1]], END)
+                    for s in range(0, len(w), tokens):
+                        skip = min(s, 2)
+                        part = w[s - skip : s + tokens]
+                        pieces.append((row[k], doc[k], None, not out_of[k], part, len(part), skip))
+                        held += len(part)
+                        if held >= tokens:
+                            yield flush()
+                            pieces, held = [], 0
+        if pieces:
             yield flush()
 
-    return docs.select(ROW, "held_out", "text").mapInArrow(run, DEALT)
-
-
-def _resolved(classes, groups: int):
-    """A chunk's waiting pairs, by group of pairs, once the counts of its rarer words (kind 6) are there."""
-
-    def run(pairs: pa.Table, answers: pa.Table) -> pa.Table:
-        c = classes.value
-        word = np.concatenate([np.zeros(0, np.uint64), *(H.unplanes(k, np.uint64) for k in answers.column("keys").to_pylist())])
-        times = np.concatenate([np.zeros(0, np.uint64), *(H.unplanes(k, np.uint64) for k in answers.column("counts").to_pylist())])
-        order = np.argsort(word)
-        word, times = word[order], times[order]
-        out = []
-        for k, d, r, o in zip(*(pairs.column(i).to_pylist() for i in ("keys", "docs", "rows", "held")), strict=True):
-            term = H.unplanes(k, np.uint64)
-            count, rare = np.zeros(len(term), np.uint64), term >= RARE
-            count[rare] = times[np.searchsorted(word, term[rare])]
-            none = rare & (count < LEAST)
-            term[none], count[none] = c.other, 0
-            term, count, doc = term.reshape(-1, 2), count.reshape(-1, 2), H.unplanes(d, np.uint32)
-            rows, out_of = H.unplanes(r, np.uint64), H.unplanes(o, np.uint8)
-            group = (H.mix(H.mix(term[:, 0].copy()) + term[:, 1]) % np.uint64(groups)).astype(np.int64)
-            order = np.lexsort((doc, term[:, 1], term[:, 0], group))
-            term, count, doc, group = term[order], count[order], doc[order], group[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (term[1:] != term[:-1]).any(axis=1) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(first, append=len(doc))
-            term, count, doc, group = term[first], count[first], doc[first], group[first]
-            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                here, local = np.unique(doc[s:e], return_inverse=True)
-                keys = H.planes(np.concatenate([term[s:e].T, count[s:e].T]).ravel())
-                out.append((int(group[s]), keys, H.planes(local.astype(np.uint32)), H.planes(n[s:e].astype(np.uint32)), H.pack_sorted(rows[here]), H.planes(out_of[here])))
-        kinds = [pa.int32()] + [pa.binary()] * 5
-        return pa.table([pa.array(y, k) for y, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=["group", "keys", "docs", "n", "rows", "held"])
-
-    return run
+    return docs.select(ROW, "doc_id", "held_out", "text").mapInArrow(run, ROWS)
 
 
-COUNTED = [f"m{r}" for r in range(CUT + 2)]
-NAMES = ["kind", "id", "total", *COUNTED, "to", "keys", "counts"]
-SCHEMA = "kind int, id long, total double, " + ", ".join(f"{m} double" for m in COUNTED) + ", to long, keys binary, counts binary"
-
-
-def _table(kind: int, ids: np.ndarray, total: np.ndarray, counts: list[np.ndarray], to: np.ndarray | None = None, answer: tuple[list, list] | None = None) -> pa.Table:
-    n = len(ids)
-    counts = [*counts, *[np.zeros(n)] * (len(COUNTED) - len(counts))]
-    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(ids.astype(np.int64)), pa.array(total.astype(np.float64)), *(pa.array(c.astype(np.float64)) for c in counts)]
-    last = [pa.array(x, pa.binary()) for x in answer or ([None] * n, [None] * n)]
-    return pa.table([*columns, pa.array(to.astype(np.int64)) if to is not None else pa.nulls(n, pa.int64()), *last], names=NAMES)
-
-
-def _read(t: pa.Table, unpack):
-    """(keys by piece, documents, n, held out) of a group's pieces."""
-    key, doc, n, out_of = [], [], [], []
-    for k, d, m, r, o in zip(*(t.column(x).to_pylist() for x in ("keys", "docs", "n", "rows", "held")), strict=True):
-        local = H.unplanes(d, np.uint32)
-        key.append(unpack(k))
-        doc.append(H.unpack_sorted(r)[local])
-        n.append(H.unplanes(m, np.uint32))
-        out_of.append(H.unplanes(o, np.uint8)[local])
-    return key, *(np.concatenate(x) for x in (doc, n, out_of))
-
-
-def _pair_sums(start, v, x, size, share, doc, n, out_of) -> pa.Table:
-    """Sums of pairs in order; start: each distinct pair's first place; size, share: count of v, frequency of x."""
-    times = np.add.reduceat(np.where(out_of, 0, n), start)
-    count = np.repeat(times, np.diff(start, append=len(v)))
-    rows, who = np.unique(doc, return_inverse=True)
-    add = lambda w: np.bincount(who, w, len(rows))
-    seen, large = count > 0, count > CUT
-    big = np.where(large, np.log10(np.maximum(count - DELTA, 0.5)), 0.0)
-    total = add(n * np.where(seen, big - np.log10(size), np.log10(share)))
-    tables = [_table(0, rows.view(np.int64), total, [np.zeros(len(rows)), *(add(n * (count == r)) for r in range(1, CUT + 1))])]
-    first, tot = start[times > 0], times[times > 0]
-    if len(first):
-        hist, head, at = np.unique(v[first], return_index=True, return_inverse=True)
-        group = lambda w: np.bincount(at, w, len(hist))
-        all_of = group(np.where(tot > CUT, tot - DELTA, 0)), [group(share[first]), *(group((tot == r).astype(float)) for r in range(1, CUT + 2))], size[first][head]
-        for kind, of in ((1, hist < RARE), (7, hist >= RARE)):
-            tables.append(_table(kind, hist[of].view(np.int64), all_of[0][of], [m[of] for m in all_of[1]], all_of[2][of]))
-    if (~seen).any():
-        u, at = np.unique(np.stack([doc[~seen], v[~seen]], 1), axis=0, return_inverse=True)
-        k = np.bincount(at.ravel(), n[~seen], len(u))
-        for kind, of in ((2, u[:, 1] < RARE), (8, u[:, 1] >= RARE)):
-            tables.append(_table(kind, u[of, 0].view(np.int64), k[of], [], np.ascontiguousarray(u[of, 1]).view(np.int64)))
-    return pa.concat_tables(tables)
-
-
-def _summed(classes, pair_groups: int):
-    """A group's sums. Kind 0: per document the logarithms of its seen pairs whose count exceeds CUT
-    and of the frequencies of unseen ones, and how many pairs have each count up to CUT. Kind 1: per
-    history the same sums over its distinct seen pairs, with the frequency mass of what was seen (m0);
-    kind 7: the same for rarer histories, with their count. Kind 2: per document and history, unseen pairs;
-    kind 8: the same for rarer histories. Kind 3: per document the sum of base logarithms of rarer words
-    (without the constant), how many are unknown (m0) and how many are of the class of others with count 1.
-    Kind 6: per chunk, the counts of its rarer words."""
+def count_words(groups: int):
+    """A group of words: adds up the chunks' counts and answers with each word's number and count."""
 
     def run(t: pa.Table) -> pa.Table:
-        c = classes.value
-        pairs = t.column("group")[0].as_py() < pair_groups
-        pieces, doc, n, out_of = _read(t, H.unpack_sorted)
-        key = np.concatenate(pieces)
-        order = np.argsort(key, kind="stable")
-        key, doc, n, out_of = key[order], doc[order], n[order].astype(np.float64), out_of[order]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        if pairs:
-            v, x = key >> np.uint64(21), key & np.uint64((1 << 21) - 1)
-            return _pair_sums(start, v, x, c.history[v], c.share[x], doc, n, out_of)
-        times = np.add.reduceat(np.where(out_of, 0, n), start)
-        count = np.repeat(times, np.diff(start, append=len(key)))
-        rows, who = np.unique(doc, return_inverse=True)
-        add = lambda w: np.bincount(who, w, len(rows))
-        asked = [np.unique(k) for k in pieces]
-        told = [H.planes(times[np.searchsorted(key[start], k)].astype(np.uint64)) for k in asked]
-        chunks = t.column("chunk").to_numpy()
-        answers = _table(6, chunks, np.zeros(len(chunks)), [], None, ([H.planes(k | RARE) for k in asked], told))
-        return pa.concat_tables([_table(3, rows.view(np.int64), add(n * np.log10(count + 0.1)), [add(n * (count == r)) for r in range(LEAST)]), answers])
+        g = t.column("group")[0].as_py()
+        asked = [expand(p) for p in t.column("payload").to_pylist()]
+        words = [np.cumsum(a[0].astype(np.uint64), dtype=np.uint64) for a in asked]
+        u, at = np.unique(np.concatenate(words), return_inverse=True)
+        n = np.bincount(at, np.concatenate([a[1] for a in asked]), len(u)).astype(np.int64)
+        number = np.empty(len(u), np.int64)
+        number[np.argsort(-n, kind="stable")] = np.arange(len(u)) * groups + g + 1
+        number[n == 0] = 0
+        cut = np.cumsum([0, *map(len, words)])
+        rows = [(ANSWER, g, c, squeeze(number[at[s:e]], n[at[s:e]])) for c, s, e in zip(t.column("chunk").to_pylist(), cut[:-1], cut[1:], strict=True)]
+        end = int(n[u == END].sum())
+        by_count = [int((n == r).sum()) for r in range(1, CUT + 2)]
+        rows.append((TOTALS, g, None, np.array([*by_count, n.sum(), (n > 0).sum(), end], np.int64).tobytes()))
+        seen = n > 0
+        rows.append((TABLE, g, None, squeeze(u[seen], n[seen])))
+        return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def _summed_mixed(classes):
-    """The same sums of a group of pairs with a rarer word or the class of others."""
+def _kept(method):
+    """Keeps a method's value for each order as long as the object lives."""
+
+    @wraps(method)
+    def get(self, k):
+        if (method.__name__, k) not in self.kept:
+            self.kept[method.__name__, k] = method(self, k)
+        return self.kept[method.__name__, k]
+
+    return get
+
+
+class Chunk:
+    """A chunk with the answers that it has so far; places of n-grams are those of its own lists."""
+
+    def __init__(self, t: pa.Table, model: Model, known: int):
+        self.m, self.kept = model, {}
+        kind, group, payload, level = (t.column(c).to_pylist() for c in ("kind", "group", "payload", "level"))
+        state = expand(payload[kind.index(STATE)])
+        token, self.size, self.skip, self.train, row, ids, none, many = state
+        self.row, self.doc = row.view(np.int64), [None if z else int(x) for x, z in zip(ids.view(np.int64), none, strict=True)]
+        self.starts = model.orders[0].starts if model.orders else 0
+        answer = {(lv, g): p for k, lv, g, p in zip(kind, level, group, payload, strict=True) if k == ANSWER}
+        # Words in order of their numbers; 0 is START.
+        got = [expand(answer[1, g]) for g in range(model.words) if (1, g) in answer]
+        number, count = (np.concatenate([x[k] for x in got]) for k in (0, 1))
+        order = np.argsort(number, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        self.number, self.count = np.r_[0, number[order]], np.r_[0, count[order]]
+        self.token = place[token]
+        first = np.cumsum(self.size) - self.size
+        before = lambda a: self._shifted(a, first)
+        self.fresh = np.ones(len(token), bool)
+        for k in (0, 1):
+            self.fresh[first[self.skip > k] + k] = False
+        weight = np.repeat(self.train, self.size) * self.fresh
+        # Order k: its n-grams as keys (last word of the history, the word before that, ..., the word).
+        # lower: the shorter n-gram at its end; history: the n-gram before its word (of no meaning after START).
+        self.keys, self.at, self.n = [None, None], [None, self.token], [None, None]
+        self.lower, self.history = [None, None], [None, None]
+        key, back = self.token.astype(np.uint64), self.token
+        histories = None
+        for k in range(2, known + 2 if known < model.order else model.order + 1):
+            back = before(back)
+            histories = back.astype(np.uint64) if histories is None else (histories << np.uint64(BITS)) | back.astype(np.uint64)
+            u, at = np.unique((histories << np.uint64(BITS)) | key, return_inverse=True)
+            self.keys.append(u)
+            self.at.append(at)
+            self.n.append(np.bincount(at, weight, len(u)).astype(np.int64))
+            for places, value in ((self.lower, self.at[k - 1]), (self.history, before(self.at[k - 1]))):
+                places.append(np.empty(len(u), np.int64))
+                places[k][at] = value
+        self.counts, self.least, self.sums = [None, self.count], [None, None], [None, None]
+        for k in range(2, known + 1):
+            self._read(k, answer)
+
+    @staticmethod
+    def _shifted(a: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.empty_like(a)
+        out[1:] = a[:-1]
+        out[first] = 0
+        return out
+
+    def words_of(self, k: int) -> list[np.ndarray]:
+        """Places of an order's words: the history's last, the one before, ..., and the word."""
+        return [(self.keys[k] >> np.uint64(BITS * (k - 1 - i))).astype(np.int64) & MASK for i in range(k)]
+
+    @_kept
+    def history_count(self, k: int) -> np.ndarray:
+        """c(h) of an order's n-grams."""
+        return np.where(self.words_of(k)[0] == 0, self.starts, self.counts[k - 1][self.history[k]])
+
+    @_kept
+    def asked(self, k: int):
+        """(n-grams asked for, by group; first places of the groups; groups; hot ones) of an order."""
+        w, size = self.words_of(k), self.history_count(k)
+        low = self.lower[k]
+        there = self.counts[k - 1][low] > 0
+        x = np.where(there, self.number[w[-1]], 0)
+        h = np.zeros(len(x), np.uint64)
+        for word in w[:-1]:
+            h = H.mix(h * np.uint64(H.BASE) + self.number[word].astype(np.uint64) + np.uint64(k))
+        hot = size > self.m.hot
+        if hot.any():
+            over = -(-size[hot] // self.m.hot)
+            h[hot] = H.mix(h[hot] + np.uint64(1) + H.mix(x[hot].astype(np.uint64)) % over.astype(np.uint64))
+        group = (h % np.uint64(self.m.groups)).astype(np.int64)
+        i = np.flatnonzero(size > 0)
+        i = i[np.argsort(group[i].astype(np.uint16) if self.m.groups < 1 << 16 else group[i], kind="stable")]
+        cut = _runs(group[i])
+        return i, cut, group[i[cut[:-1]]], hot, w, x, low
+
+    def ask(self, k: int) -> list[tuple]:
+        """Requests of order k: words of the history (numbers), the word (0: not seen after the shorter
+        history), training count, count and divisor in the order below, whether the history is hot."""
+        i, cut, groups, hot, w, x, low = self.asked(k)
+        below = self.counts[k - 1][low]
+        over = np.full(len(x), self.m.tokens + int(self._full_words())) if k == 2 else self._divisor(k - 1)[low]
+        rows = []
+        for s, e, g in zip(cut[:-1], cut[1:], groups, strict=True):
+            j = i[s:e]
+            last = self.number[w[0][j]]
+            run = _runs(last)
+            # The divisor follows from the history's last word, where the shorter n-gram was seen.
+            first = np.maximum.reduceat(np.where(below[j] > 0, over[j], 0), run[:-1]) if k == 3 else np.zeros(0, np.int64) if k == 2 else over[j]
+            rows.append((ASK, int(g), squeeze(np.diff(last, prepend=0), *(_steps(self.number[y[j]], run) for y in w[1:-1]), x[j], self.n[k][j], below[j], hot[j].astype(np.uint8), first)))
+        return rows
+
+    def _full_words(self) -> bool:
+        first = self.m.orders[0]
+        return sum(first.counts[: first.cut]) == 0
+
+    def _read(self, k: int, answer: dict) -> None:
+        i, cut, groups, hot, w, _, _ = self.asked(k)
+        size = len(self.keys[k])
+        count, least, sums = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros((size, CUT + 2))
+        for s, e, g in zip(cut[:-1], cut[1:], groups, strict=True):
+            code, *rest = expand(answer[k, int(g)])
+            j = i[s:e]
+            count[j], least[j] = code >> 3, code & 7
+            sums[j[code == 0]] = np.stack(rest, 1)
+        if hot.any():  # all of a hot history
+            spread = self.m.orders[k - 1].spread
+            j = np.flatnonzero(hot)
+            names = np.stack([self.number[y[j]] for y in w[:-1]], 1)
+            of, at = np.unique(names, axis=0, return_inverse=True)
+            whole = np.stack([spread.get(tuple(map(int, h)), np.zeros(CUT + 2)) for h in of])
+            sums[j] = whole[at.ravel()]
+            none = np.where(whole[:, :CUT] > 0, np.arange(1, CUT + 1), CUT + 1).min(axis=1)
+            least[j] = none[at.ravel()]
+        self.counts.append(count)
+        self.least.append(least)
+        self.sums.append(sums)
+
+    @_kept
+    def _divisor(self, k: int) -> np.ndarray:
+        """c(h) of an order's n-grams, one more where nothing of the history is discounted."""
+        o = self.m.orders[k - 1]
+        seen = self.counts[k] > 0
+        full = np.where(seen, self.least[k] > o.cut, o.full(self.sums[k]))
+        return self.history_count(k) + full
+
+    def score(self) -> np.ndarray:
+        """log10 P of each token, by the recursion."""
+        one = self.m.orders[0]
+        divisor = one.total + int(self._full_words())
+        unknown = 1 - (one.total - sum((1 - d) * r * n for r, (d, n) in enumerate(zip(one.d, one.counts, strict=False), 1))) / divisor if divisor else 1.0
+        p = np.where(self.count > 0, one.reduced(self.count) / max(divisor, 1), unknown if one.total else 1.0)
+        for k in range(2, self.m.order + 1):
+            o = self.m.orders[k - 1]
+            size, over = self.history_count(k), self._divisor(k)
+            below = p[self.lower[k]]
+            s = self.sums[k]
+            alpha = (over - o.kept(s)) / np.maximum(over, 1) / (1 - s[:, CUT + 1])
+            p = np.where(self.counts[k] > 0, o.reduced(self.counts[k]) / np.maximum(over, 1), np.where(size > 0, alpha, 1.0) * below)
+        return np.log10(p)[self.at[self.m.order]]
+
+
+def _by_history(history: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The order by history and word."""
+    bits = [int(a.max(initial=0)).bit_length() for a in (*history, x)]
+    if sum(bits[:-1]) > 63 or len(x).bit_length() + bits[-1] > 63:
+        return np.lexsort((x, *history[::-1]))
+    key = history[0]
+    for h, b in zip(history[1:], bits[1:-1], strict=True):
+        key = (key << b) | h
+    if sum(bits) > 63:
+        key = np.unique(key, return_inverse=True)[1]
+    return np.argsort((key << bits[-1]) | x)
+
+
+def count(k: int, below: Order):
+    """A group of n-grams of order k: adds up the chunks' counts, sums up its histories and answers."""
 
     def run(t: pa.Table) -> pa.Table:
-        c = classes.value
-        pieces, doc, n, out_of = _read(t, lambda k: H.unplanes(k, np.uint64).reshape(4, -1))
-        both = np.concatenate(pieces, axis=1)
-        order = np.lexsort((both[1], both[0]))
-        v, x, of_v, of_x = both[:, order]
-        start = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (x[1:] != x[:-1])])
-        size = np.where(v < RARE, c.history[np.where(v < RARE, v, 0)], of_v.astype(np.float64))
-        share = np.where(x < RARE, c.share[np.where(x < RARE, x, 0)], of_x.astype(np.float64) / (c.total + 1))
-        return _pair_sums(start, v, x, size, share, doc[order], n[order].astype(np.float64), out_of[order])
+        g = t.column("group")[0].as_py()
+        asked = [expand(p) for p in t.column("payload").to_pylist()]
+        t = t.select(["chunk"])
+        for a in asked:
+            a[0] = np.cumsum(a[0])
+            if k == 3:
+                run = _runs(a[0])
+                a[1], a[-1] = _sums(a[1], run), np.repeat(a[-1], np.diff(run))
+        size = [len(a[0]) for a in asked]
+        columns = [np.concatenate([a[c] for a in asked]) for c in range(len(asked[0]) - 1)]
+        history, (x, n, low, hot) = columns[: k - 1], columns[k - 1 :]
+        over = np.concatenate([a[-1] for a in asked]) if k > 2 else None
+        del asked, columns
+        order = _by_history(history, x)
+        history = [h[order] for h in history]
+        x, n, low, hot = x[order], n[order], low[order], hot[order]
+        new_history = np.zeros(len(x), bool)
+        new_history[:1] = True
+        for h in history:
+            new_history[1:] |= h[1:] != h[:-1]
+        new = new_history.copy()
+        new[1:] |= x[1:] != x[:-1]
+        first = np.flatnonzero(new)
+        kind = np.cumsum(new) - 1
+        times = np.add.reduceat(n, first)
+        whose = np.cumsum(new_history)[first] - 1  # history of each distinct n-gram
+        many = int(whose[-1]) + 1
+        seen = times > 0
+        # The divisor may be missing where an entry's shorter n-gram was not seen; then it adds nothing.
+        share = below.reduced(low[first]) / (np.maximum(np.maximum.reduceat(over[order], first), 1) if k > 2 else max(1, below.divisor))
+        sums = np.zeros((many, CUT + 2))
+        for r in range(1, CUT + 1):
+            sums[:, r - 1] = np.bincount(whose, times == r, many)
+        sums[:, CUT] = np.bincount(whose, np.where(times > CUT, times, 0), many)
+        sums[:, CUT + 1] = np.bincount(whose, np.where(seen, share, 0), many)
+        least = np.where(sums[:, :CUT] > 0, np.arange(1, CUT + 1), CUT + 1).min(axis=1)
+        code = np.empty(len(x), np.int64)
+        code[order] = np.where(seen, times * 8 + least[whose], 0)[kind]
+        unseen = np.empty(len(x), np.int64)
+        unseen[order] = whose[kind]
+        cut = np.cumsum([0, *size])
+        rows = []
+        for c, s, e in zip(t.column("chunk").to_pylist(), cut[:-1], cut[1:], strict=True):
+            z = sums[unseen[s:e][code[s:e] == 0]]
+            rows.append((ANSWER, g, c, squeeze(code[s:e], *(z[:, j].astype(np.int64) for j in range(CUT + 1)), z[:, CUT + 1])))
+        by_count = [int((times == r).sum()) for r in range(1, CUT + 2)]
+        rows.append((TOTALS, g, None, np.array([*by_count, times.sum(), seen.sum(), 0], np.int64).tobytes()))
+        i = np.flatnonzero(new_history)
+        i = i[hot[i] > 0]
+        if len(i):
+            of = whose[kind[i]]
+            rows.append((SPREAD, g, None, squeeze(*(h[i] for h in history), *(sums[of, j] for j in range(CUT + 2)))))
+        f = first[seen]
+        run = _runs(history[0][f])
+        rows.append((TABLE, g, None, squeeze(np.diff(history[0][f], prepend=0), *(_steps(h[f], run) for h in history[1:]), x[f], times[seen])))
+        return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def discounts(n: list[float]) -> list[float]:
-    """Katz's discount of each count up to CUT from counts of counts n[0] (of count 1) on; 1 - DELTA / r
-    where these do not give one between 0 and 1. n has CUT + 1 entries."""
-    out = []
-    common = (CUT + 1) * n[CUT] / n[0] if n[0] else 1.0
-    for r in range(1, CUT + 1):
-        d = 0.0
-        if n[r - 1] > 0 and common < 1:
-            d = ((r + 1) * n[r] / (r * n[r - 1]) - common) / (1 - common)
-        out.append(d if 0.05 < d < 1 else max(0.05, 1 - DELTA / r) if d >= 1 or d <= 0 else 0.05)
+def level(state: DataFrame, answers: list[DataFrame], model: Model, k: int) -> DataFrame:
+    """The stored table of order k: answers to the chunks, totals, hot histories and the n-grams."""
+    at = state.sparkSession.sparkContext.broadcast(model)
+    below = model.orders[-1]
+
+    def ask(t: pa.Table) -> pa.Table:
+        chunk = t.column("chunk")[0].as_py()
+        return pa.Table.from_batches([_rows([(kind, g, chunk, p) for kind, g, p in Chunk(t, at.value, k - 1).ask(k)])])
+
+    add = count(k, below)
+    asked = _together(state, answers).groupBy("chunk").applyInArrow(lambda t: ask(t), ROWS)
+    return stored(asked.groupBy("group").applyInArrow(lambda t: add(t), ROWS), f"order{k}")
+
+
+def _together(state: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    out = state.withColumn("level", F.lit(0))
+    for k, a in enumerate(answers, 1):
+        out = out.unionByName(a.where(F.col("kind") == ANSWER).withColumn("level", F.lit(k)))
     return out
 
 
-def score(docs: DataFrame) -> DataFrame:
+def _order(table: DataFrame, k: int) -> Order:
+    """Adds up the totals (a row of a few numbers a group) and the sums of hot histories."""
+    total = np.zeros(CUT + 4, np.int64)
+    spread: dict[tuple, np.ndarray] = {}
+    for r in table.where(F.col("kind").isin(TOTALS, SPREAD)).select("kind", "payload").toLocalIterator():
+        if r["kind"] == TOTALS:
+            total += np.frombuffer(bytes(r["payload"]), np.int64)
+        else:
+            columns = expand(bytes(r["payload"]))
+            for row in zip(*(c.tolist() for c in columns), strict=True):
+                name = tuple(int(x) for x in row[: k - 1])
+                spread[name] = spread.get(name, 0) + np.array(row[k - 1 :])
+    o = Order([float(x) for x in total[: CUT + 1]], int(total[CUT + 1]), int(total[CUT + 2]), spread)
+    o.starts = int(total[CUT + 3])
+    o.divisor = o.total + int(sum(o.counts[: o.cut]) == 0)
+    return o
+
+
+def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """docs: row id, doc_id, text, held_out (false: learnt from). Returns a row each with token counts,
-    base_score and score."""
-    spark = docs.sparkSession
-    total_bytes = text_bytes(docs)
-    words = stored(_counts(docs), "words")
-    n, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    end = int(END.view(np.int64))
-    starts = words.where(F.col("word") == end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    once = words.where((F.col("n") < LEAST) & (F.col("word") != end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(LEAST, math.ceil(THETA * n))
-    chosen = words.where((F.col("n") >= least) | (F.col("word") == end)).toArrow()  # at most 1 / THETA rows
-    at = spark.sparkContext.broadcast(Classes(chosen.column("word").to_numpy().view(np.uint64), chosen.column("n").to_numpy(), int(n), int(distinct), int(starts), int(once)))
-    c = at.value
-    # A document has a row of sums in each group that it meets. Groups are many from the start, so
-    # that rows a document do not grow with the input but stay near its distinct pairs.
-    pair_groups, word_groups = groups_for(total_bytes, PAIR_BYTES, PAIR_GROUPS), groups_for(total_bytes, WORD_BYTES, WORD_GROUPS)
-    run = _summed(at, pair_groups)
-    dealt = stored(_dealt(docs, at, pair_groups, word_groups), "dealt")
-    sums = stored(dealt.where("group >= 0").groupBy("group").applyInArrow(lambda t: run(t), SCHEMA), "sums")
-    resolve, run_mixed = _resolved(at, pair_groups), _summed_mixed(at)
-    asked = sums.where("kind = 6").select(F.col("id").alias("chunk"), "keys", "counts")
-    waiting = dealt.where("group = -1").groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda p, a: resolve(p, a), DEALT.removesuffix(", chunk long"))
-    mixed = stored(waiting.groupBy("group").applyInArrow(lambda t: run_mixed(t), SCHEMA), "mixed")
-    sums = sums.unionByName(mixed)
-
-    histories = lambda kind: sums.where(f"kind = {kind}").groupBy("id").agg(F.sum("total").alias("total"), F.max("to").alias("size"), *(F.sum(m).alias(m) for m in COUNTED))
-    per_history, rare_history = histories(1), histories(7)
-    pair_n = [float(v or 0) for v in per_history.unionByName(rare_history).agg(*(F.sum(m) for m in COUNTED[1:])).first()]
-    word_n = [float(once), *[0.0] * CUT]  # the class of others has words of count 1 only
-    pair_d, word_d = discounts(pair_n), discounts(word_n)
-    # Histories: what is left over of each, spread over what was not seen after it.
-    kept = F.col("total") + sum(F.lit(d * r) * F.col(f"m{r}") for r, d in enumerate(pair_d, 1))
-    alpha = lambda h: h.select(F.col("id").alias("to"), (F.greatest(F.lit(1e-12), 1 - kept / F.col("size")) / F.greatest(F.lit(1e-12), 1 - F.col("m0"))).alias("alpha"))
-    unseen = lambda kind: sums.where(f"kind = {kind}").select("id", "to", "total")
-    # Frequent histories are at most 1 / THETA rows; rarer ones are joined by hash.
-    lost = unseen(2).join(F.broadcast(alpha(per_history)), "to", "left").unionByName(unseen(8).join(alpha(rare_history), "to", "left"))
-    lost = lost.select("id", (F.col("total") * F.log10(F.coalesce("alpha", F.lit(1.0)))).alias("part"))
-    # Shares within the class of others.
-    inside = float(c.other_count)
-    left_over = max(1e-12, 1 - word_d[0] * word_n[0] / inside)
-    logs = lambda ds: sum(F.col(f"m{r}") * F.lit(math.log10(d * r)) for r, d in enumerate(ds, 1))
-    of_words = F.col("m0") * math.log10(left_over) + F.col("m1") * math.log10(word_d[0] / inside)
-    zero = F.lit(0.0)
-    pieces = sums.where("kind in (0, 3)").select(
-        "id",
-        F.when(F.col("kind") == 0, F.col("total") + logs(pair_d)).otherwise(of_words).alias("part"),
-        F.when(F.col("kind") == 3, F.col("total")).otherwise(zero).alias("base"),
-        F.when(F.col("kind") == 3, F.col("m0")).otherwise(zero).alias("unknown"),
-    )
-    pieces = pieces.unionByName(lost.select("id", "part", zero.alias("base"), zero.alias("unknown")))
-    per_doc = pieces.groupBy("id").agg(*(F.sum(k).alias(f"sum_{k}") for k in ("part", "base", "unknown")))
-    d = _base(docs, at).join(per_doc, F.col(ROW) == F.col("id"), "left")
-    scale = math.log10(n + 0.1 * (distinct + 1))
-    others = F.col("n_tokens") - F.col("known")
-    return d.select(
-        ROW,
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_tokens") - F.coalesce("sum_unknown", zero)).cast("long").alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("sum_base", zero) - others * scale).alias("base_score"),
-        F.coalesce("sum_part", zero).alias("score"),
-    )
+    base_score and score. Tables that it needs on the way are deleted once the result is stored."""
+    if order * BITS > 63:
+        raise ValueError("an order of 3 at most")
+    size = text_bytes(docs)
+    model = Model(groups_for(size, WORD_BYTES), groups_for(size, GROUP_BYTES), order, hot)
+    all_chunks = stored(chunks(docs, model.words, chunk), "chunks", "kind")
+    run = count_words(model.words)
+    words = stored(all_chunks.where(F.col("kind") == ASK).groupBy("group").applyInArrow(lambda t: run(t), ROWS), "order1")
+    dropped(all_chunks, "kind=ask")
+    answers = [words]
+    model.orders.append(_order(words, 1))
+    state = all_chunks.where(F.col("kind") == STATE)
+    for k in range(2, order + 1):
+        answers.append(level(state, answers, model, k))
+        model.orders.append(_order(answers[-1], k))
+    at = docs.sparkSession.sparkContext.broadcast(model)
+    names = [ROW, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def evaluate(t: pa.Table) -> pa.Table:
+        m = at.value
+        c = Chunk(t, m, m.order)
+        piece = np.repeat(np.arange(len(c.size)), c.size)
+        add = lambda w: np.bincount(piece, np.where(c.fresh, w, 0), len(c.size))
+        times = c.count[c.token]
+        base = np.log10((times + 0.1) / (m.tokens + 0.1 * (m.orders[0].types + 1)))
+        whole = [add(np.ones(len(piece))).astype(np.int64), add(times > 0).astype(np.int64), add(base), add(c.score())]
+        return pa.table([pa.array(c.row), pa.array(c.doc, pa.int64()), pa.array(c.train == 0), *map(pa.array, whole)], names=names)
+
+    per_piece = _together(state, answers).groupBy("chunk").applyInArrow(lambda t: evaluate(t), f"{ROW} long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    added = per_piece.groupBy(*names[:3]).agg(*(F.sum(c).alias(c) for c in names[3:]))
+    out = stored(added.select(*names[:5], F.lit(model.tokens).cast("long").alias("train_tokens"), *names[5:]), "scores")
+    for table in (all_chunks, *answers):
+        dropped(table)
+    return out
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

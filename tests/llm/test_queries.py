@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from millrace.llm.base import keyed_text
 from millrace.llm import fingerprint, jaccard, katz, media, packing, quality, registry, secrets, suffix, toxicity
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -160,61 +161,103 @@ def test_sentencepiece(spark, hard):
     assert got(spark, "op4_sentencepiece", hard, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=key)
 
 
-def direct_katz(rows):
-    tok = [(d, [*words(t), "</s>"], d is not None and zlib.crc32(str(d).encode()) % 10 == 0) for d, t in rows]
-    c = Counter(w for _, x, h in tok if not h for w in x)
-    n, v = sum(c.values()), len(c)
-    least = max(2, math.ceil(katz.THETA * n))
-    cls = lambda w: w if c[w] >= least or w == "</s>" else "<o>"
-    pairs = Counter()
-    for _, x, h in tok:
+def good_turing(n):
+    """(cut, discounts of 1 to 5) of the numbers of n-grams of count 1 to 6."""
+    for cut in (5, 4, 3, 2, 1):
+        if all(n[: cut + 1]) and (cut + 1) * n[cut] < n[0]:
+            a = (cut + 1) * n[cut] / n[0]
+            d = [((r + 1) * n[r] / r / n[r - 1] - a) / (1 - a) for r in range(1, cut + 1)]
+            if min(d) > 0 and max(d) < 1:
+                return cut, d + [1] * (5 - cut)
+    return 0, [1] * 5
+
+
+class DirectKatz:
+    """Backoff by the book, with dictionaries and recursion."""
+
+    def __init__(self, rows, order=3):
+        self.docs = [(d, [*words(t), "</s>"], d is not None and zlib.crc32(str(d).encode()) % 10 == 0) for d, t in rows]
+        self.order, self.c, self.follow = order, Counter(), {}
+        for _, x, held in self.docs:
+            padded = ["<s>"] * (order - 1) + x
+            for i in range(order - 1, len(padded)):
+                for k in range(0 if held else order):
+                    h, w = tuple(padded[i - k : i]), padded[i]
+                    self.c[h, w] += 1
+                    self.follow.setdefault(h, set()).add(w)
+        tally = lambda k: [sum(len(h) == k and n == r for (h, _), n in self.c.items()) for r in range(1, 7)]
+        self.cuts = [good_turing(tally(k)) for k in range(order)]
+        self.size = {h: sum(self.c[h, w] for w in f) for h, f in self.follow.items()}
+        self.n = self.size.get((), 0)
+
+    def seen(self, h, w):
+        cut, d = self.cuts[len(h)]
+        n = self.c[h, w]
+        over = self.size[h] + all(self.c[h, x] > cut for x in self.follow[h])
+        return (d[n - 1] if n <= 5 else 1) * n / over
+
+    def left(self, h):
+        return 1 - sum(self.seen(h, w) for w in self.follow[h])
+
+    def p(self, h, w):
+        if self.c[h, w]:
+            return self.seen(h, w)
         if not h:
-            pairs.update(zip(["<s>", *map(cls, x)], map(cls, x), strict=False))
-    other = {w: k for w, k in c.items() if cls(w) == "<o>"}
-    size = sum(other.values()) + 1
-    hist = lambda p: size if p == "<o>" else sum(not h for *_, h in tok) if p == "<s>" else c[p]
-    share = lambda x: (size if x == "<o>" else c[x]) / (n + 1)
-    of = lambda vals: katz.discounts([float(sum(k == r for k in vals)) for r in range(1, katz.CUT + 2)])
-    pd, wd = of(list(pairs.values())), of(list(other.values()))
-    star = lambda k, ds: ds[k - 1] * k if k <= katz.CUT else k - katz.DELTA
-    kept, seen = Counter(), Counter()
-    for (p, x), k in pairs.items():
-        kept[p] += star(k, pd)
-        seen[p] += share(x)
-    left = 1 - sum(star(k, wd) for k in other.values()) / size
-
-    def p(h, x):
-        if (h, x) in pairs:
-            return star(pairs[h, x], pd) / hist(h)
-        return share(x) * ((1 - kept[h] / hist(h)) / (1 - seen[h]) if h in kept else 1)
-
-    inside = lambda w: 1 if cls(w) != "<o>" else star(c[w], wd) / size if c[w] else left
-    for h in ("<s>", "<o>"):
-        assert abs(sum(p(h, x) for x in {*map(cls, c), "<o>"}) - 1) < 1e-9
-    for d, x, h in tok:
-        yield d, h, len(x), sum(w in c for w in x), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), sum(math.log10(p(a, cls(w)) * inside(w)) for a, w in zip(["<s>", *map(cls, x)], x, strict=False))
+            return self.left(h) if self.n else 1.0
+        if h not in self.follow:
+            return self.p(h[1:], w)
+        return self.left(h) / (1 - sum(self.p(h[1:], x) for x in self.follow[h])) * self.p(h[1:], w)
 
+    def rows(self):
+        v = len(self.follow.get((), ()))
+        for d, x, held in self.docs:
+            padded = ["<s>"] * (self.order - 1) + x
+            score = sum(math.log10(self.p(tuple(padded[i : i + self.order - 1]), w)) for i, w in enumerate(x))
+            base = sum(math.log10((self.c[(), w] + 0.1) / (self.n + 0.1 * (v + 1))) for w in x)
+            yield d, held, len(x), sum(self.c[(), w] > 0 for w in x), self.n, base, score
 
-def test_katz(spark, hard):
-    have = got(spark, "op5_katz", hard, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    want = sorted(direct_katz(ROWS), key=key)
+
+KATZ = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def same_scores(have, rows):
+    have, want = sorted(have, key=key), sorted(rows, key=key)
     assert [x[:5] for x in have] == [x[:5] for x in want]
     for a, b in zip(have, want, strict=True):
-        assert a[5:] == pytest.approx(b[5:], abs=1e-6)
+        assert a[5:] == pytest.approx(b[5:], abs=1e-7, rel=1e-9)
+
+
+def test_katz(spark, hard):
+    same_scores(got(spark, "op5_katz", hard, *KATZ), DirectKatz(ROWS).rows())
 
 
-def test_katz_counts_pairs_of_rare_words(spark, tmp_path, monkeypatch):
+def zipf_rows():
     r = np.random.default_rng(9)
-    texts = [" ".join(f"w{int(k)}" for k in r.zipf(1.5, 60)) for _ in range(120)]
-    rows = [*enumerate(texts), (None, texts[0]), (0, texts[0]), (500, "")]
-    want = sorted(direct_katz(rows), key=key)  # every word of two occurrences is a class
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    for theta in (0.01, 2e-6):
-        monkeypatch.setattr(katz, "THETA", theta)
-        have = sorted((tuple(x) for x in katz.op5_katz(spark, str(tmp_path)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=key)
-        assert [x[:5] for x in have] == [x[:5] for x in want]
-        for a, b in zip(have, want, strict=True):
-            assert a[5:] == pytest.approx(b[5:], abs=1e-6)
+    texts = [" ".join(f"w{int(k)}" for k in r.zipf(1.5, 60)) for _ in range(150)]
+    return [*enumerate(texts), (None, texts[0]), (0, texts[0]), (500, ""), (None, None), (501, "a a a a a a a a " * 60)]
+
+
+@pytest.mark.parametrize(("order", "chunk", "hot"), [(3, 7, 40), (3, 500, 25), (2, 400, 1_000_000), (1, 100, 40)])
+def test_katz_with_hot_histories_many_chunks_and_pieces(spark, order, chunk, hot):
+    rows = zipf_rows()
+    model = DirectKatz([(d, t or "") for d, t in rows], order)
+    for h in ((), ("w1",), ("w1", "w1"), ("<s>", "<s>"), ("a", "a")):
+        if len(h) < order:
+            assert abs(sum(model.p(h, w) for w in [*model.follow[()], "not there"]) - 1) < 1e-9
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    docs = keyed_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).withColumn("held_out", held)
+    same_scores([tuple(r) for r in katz.score(docs, order, chunk, hot).select(*KATZ).collect()], model.rows())
+
+
+def test_katz_tells_copies_apart(spark, tmp_path):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(k)}" for k in r.integers(0, 4000, 50)) for _ in range(200)]
+    rows = [*enumerate(texts), *((300 + k, texts[k]) for k in range(0, 200, 10))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    learnt = {x["doc_id"]: x["score"] for x in katz.op5_katz(spark, str(tmp_path)).where("not held_out").collect()}
+    twice = [s for d, s in learnt.items() if d < 300 and d % 10 == 0 and d + 300 in learnt]
+    once = [s for d, s in learnt.items() if d < 300 and d % 10]
+    assert min(twice) > max(once)
 
 
 def test_media(spark, hard):
