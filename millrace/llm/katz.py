@@ -9,9 +9,10 @@ With h a history of the last words of a text, h' the same without its oldest wor
 
 down to single words, whose discounts leave a share for all unknown words together. Every distribution
 sums to one. d is Katz's discount after Good and Turing for counts up to a cut: the largest cut up to
-CUT for which all of them lie between 0 and 1 (`discounts`). A history of which every count is above
-the cut would keep nothing back, so one more is added to its count. Before a text's first word stand
-START words; its end is a word.
+CUT for which all of them lie between 0 and 1 (`discounts`). Of three words, those seen once only are
+left out, as Katz did: to the model they are unseen (LEAST), so their share goes to the shorter
+history. A history of which every count is above the cut would keep nothing back, so one more is added
+to its count. Before a text's first word stand START words; its end is a word.
 
 Orders are counted one after another (`level`), each in a table partitioned by hash of the history:
 
@@ -42,6 +43,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,8 @@ from .base import ROW, documents, dropped, groups_for, keyed_text, stored, text_
 ORDER = 3
 #: Counts up to this are discounted where the counts of counts allow it.
 CUT = 5
+#: Training count from which an n-gram of each order is part of the model.
+LEAST = {1: 1, 2: 1, 3: 2}
 #: Tokens of a chunk.
 CHUNK = 1_000_000
 #: Text bytes for each group of words and of n-grams.
@@ -222,7 +226,7 @@ def chunks(docs: DataFrame, words: int, tokens: int = CHUNK) -> DataFrame:
     return docs.select(ROW, "doc_id", "held_out", "text").mapInArrow(run, ROWS)
 
 
-def count_words(groups: int):
+def count_words(groups: int, keep: bool = False):
     """A group of words: adds up the chunks' counts and answers with each word's number and count."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -239,8 +243,8 @@ def count_words(groups: int):
         end = int(n[u == END].sum())
         by_count = [int((n == r).sum()) for r in range(1, CUT + 2)]
         rows.append((TOTALS, g, None, np.array([*by_count, n.sum(), (n > 0).sum(), end], np.int64).tobytes()))
-        seen = n > 0
-        rows.append((TABLE, g, None, squeeze(u[seen], n[seen])))
+        if keep:
+            rows.append((TABLE, g, None, squeeze(u[n > 0], number[n > 0], n[n > 0])))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -276,13 +280,13 @@ class Chunk:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(1, len(order) + 1)
         self.number, self.count = np.r_[0, number[order]], np.r_[0, count[order]]
-        self.token = place[token]
+        self.token = place[token].astype(np.int32)
         first = np.cumsum(self.size) - self.size
         before = lambda a: self._shifted(a, first)
         self.fresh = np.ones(len(token), bool)
         for k in (0, 1):
             self.fresh[first[self.skip > k] + k] = False
-        weight = np.repeat(self.train, self.size) * self.fresh
+        weight = np.repeat(self.train, self.size).astype(bool) & self.fresh
         # Order k: its n-grams as keys (last word of the history, the word before that, ..., the word).
         # lower: the shorter n-gram at its end; history: the n-gram before its word (of no meaning after START).
         self.keys, self.at, self.n = [None, None], [None, self.token], [None, None]
@@ -293,11 +297,12 @@ class Chunk:
             back = before(back)
             histories = back.astype(np.uint64) if histories is None else (histories << np.uint64(BITS)) | back.astype(np.uint64)
             u, at = np.unique((histories << np.uint64(BITS)) | key, return_inverse=True)
+            at = at.astype(np.int32)
             self.keys.append(u)
             self.at.append(at)
-            self.n.append(np.bincount(at, weight, len(u)).astype(np.int64))
+            self.n.append(np.bincount(at[weight], minlength=len(u)).astype(np.int32))
             for places, value in ((self.lower, self.at[k - 1]), (self.history, before(self.at[k - 1]))):
-                places.append(np.empty(len(u), np.int64))
+                places.append(np.empty(len(u), np.int32))
                 places[k][at] = value
         self.counts, self.least, self.sums = [None, self.count], [None, None], [None, None]
         for k in range(2, known + 1):
@@ -321,29 +326,41 @@ class Chunk:
 
     @_kept
     def asked(self, k: int):
-        """(n-grams asked for, by group; first places of the groups; groups; hot ones) of an order."""
-        w, size = self.words_of(k), self.history_count(k)
-        low = self.lower[k]
-        there = self.counts[k - 1][low] > 0
+        """(n-grams asked for, by group; first places of the groups; groups; hot ones; whose answer each
+        one takes) of an order. An n-gram that cannot be in the model, since its history or
+        the shorter n-gram is too rare, is asked for as the word 0, once a history."""
+        w, size, low = self.words_of(k), self.history_count(k), self.lower[k]
+        there = self.counts[k - 1][low] >= LEAST[k]
         x = np.where(there, self.number[w[-1]], 0)
-        h = np.zeros(len(x), np.uint64)
-        for word in w[:-1]:
-            h = H.mix(h * np.uint64(H.BASE) + self.number[word].astype(np.uint64) + np.uint64(k))
         hot = size > self.m.hot
-        if hot.any():
-            over = -(-size[hot] // self.m.hot)
-            h[hot] = H.mix(h[hot] + np.uint64(1) + H.mix(x[hot].astype(np.uint64)) % over.astype(np.uint64))
-        group = (h % np.uint64(self.m.groups)).astype(np.int64)
-        i = np.flatnonzero(size > 0)
-        i = i[np.argsort(group[i].astype(np.uint16) if self.m.groups < 1 << 16 else group[i], kind="stable")]
-        cut = _runs(group[i])
-        return i, cut, group[i[cut[:-1]]], hot, w, x, low
+        i = np.flatnonzero(size >= LEAST[k])
+        whose = np.arange(len(x))
+        none = i[~there[i]]
+        if len(none):
+            name = self.keys[k][none] >> np.uint64(BITS)
+            first = none[np.r_[True, name[1:] != name[:-1]]]
+            whose[none] = np.repeat(first, np.diff(_runs(name)))
+            i = i[whose[i] == i]
+        h = np.zeros(len(i), np.uint64)
+        for word in w[:-1]:
+            h = H.mix(h * np.uint64(H.BASE) + self.number[word[i]].astype(np.uint64) + np.uint64(k))
+        if hot[i].any():
+            at = hot[i]
+            over = -(-size[i][at] // self.m.hot)
+            h[at] = H.mix(h[at] + np.uint64(1) + H.mix(x[i][at].astype(np.uint64)) % over.astype(np.uint64))
+        group = h % np.uint64(self.m.groups)
+        order = np.argsort(group.astype(np.uint16) if self.m.groups < 1 << 16 else group, kind="stable")
+        i, group = i[order], group[order]
+        cut = _runs(group)
+        return i, cut, group[cut[:-1]], hot, whose, w, x
 
     def ask(self, k: int) -> list[tuple]:
         """Requests of order k: words of the history (numbers), the word (0: not seen after the shorter
         history), training count, count and divisor in the order below, whether the history is hot."""
-        i, cut, groups, hot, w, x, low = self.asked(k)
+        i, cut, groups, hot, whose, w, x = self.asked(k)
+        low = self.lower[k]
         below = self.counts[k - 1][low]
+        below[x == 0] = 0
         over = np.full(len(x), self.m.tokens + int(self._full_words())) if k == 2 else self._divisor(k - 1)[low]
         rows = []
         for s, e, g in zip(cut[:-1], cut[1:], groups, strict=True):
@@ -352,7 +369,11 @@ class Chunk:
             run = _runs(last)
             # The divisor follows from the history's last word, where the shorter n-gram was seen.
             first = np.maximum.reduceat(np.where(below[j] > 0, over[j], 0), run[:-1]) if k == 3 else np.zeros(0, np.int64) if k == 2 else over[j]
-            rows.append((ASK, int(g), squeeze(np.diff(last, prepend=0), *(_steps(self.number[y[j]], run) for y in w[1:-1]), x[j], self.n[k][j], below[j], hot[j].astype(np.uint8), first)))
+            rows.append((ASK, int(g), squeeze(np.diff(last, prepend=0), *(_steps(self.number[y[j]], run) for y in w[1:-1]), x[j], np.where(x[j] > 0, self.n[k][j], 0), below[j], hot[j].astype(np.uint8), first)))
+        # Of those not asked for, what was seen was seen once.
+        alone = np.ones(len(x), bool)
+        alone[i] = x[i] == 0
+        rows.append((TOTALS, None, np.array([(self.n[k][alone] > 0).sum(), *[0] * (CUT + 3)], np.int64).tobytes()))
         return rows
 
     def _full_words(self) -> bool:
@@ -360,14 +381,17 @@ class Chunk:
         return sum(first.counts[: first.cut]) == 0
 
     def _read(self, k: int, answer: dict) -> None:
-        i, cut, groups, hot, w, _, _ = self.asked(k)
+        i, cut, groups, hot, whose, w, _ = self.asked(k)
         size = len(self.keys[k])
-        count, least, sums = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros((size, CUT + 2))
+        count, least, sums = np.zeros(size, np.int64), np.zeros(size, np.uint8), np.zeros((size, CUT + 2))
         for s, e, g in zip(cut[:-1], cut[1:], groups, strict=True):
             code, *rest = expand(answer[k, int(g)])
             j = i[s:e]
             count[j], least[j] = code >> 3, code & 7
-            sums[j[code == 0]] = np.stack(rest, 1)
+            none = j[code == 0]
+            run = _runs(self.keys[k][none] >> np.uint64(BITS))
+            sums[none] = np.repeat(np.stack(rest, 1), np.diff(run), axis=0)
+        sums, least = sums[whose], least[whose]
         if hot.any():  # all of a hot history
             spread = self.m.orders[k - 1].spread
             j = np.flatnonzero(hot)
@@ -418,11 +442,16 @@ def _by_history(history: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.argsort((key << bits[-1]) | x)
 
 
-def count(k: int, below: Order):
+def count(k: int, below: Order, keep: bool = False):
     """A group of n-grams of order k: adds up the chunks' counts, sums up its histories and answers."""
 
     def run(t: pa.Table) -> pa.Table:
         g = t.column("group")[0].as_py()
+        own = t.filter(pc.equal(t.column("kind"), TOTALS))
+        rows = [(TOTALS, g, None, p) for p in own.column("payload").to_pylist()]
+        t = t.filter(pc.equal(t.column("kind"), ASK))
+        if not len(t):
+            return pa.Table.from_batches([_rows(rows)])
         asked = [expand(p) for p in t.column("payload").to_pylist()]
         t = t.select(["chunk"])
         for a in asked:
@@ -449,12 +478,12 @@ def count(k: int, below: Order):
         times = np.add.reduceat(n, first)
         whose = np.cumsum(new_history)[first] - 1  # history of each distinct n-gram
         many = int(whose[-1]) + 1
-        seen = times > 0
+        seen = times >= LEAST[k]
         # The divisor may be missing where an entry's shorter n-gram was not seen; then it adds nothing.
         share = below.reduced(low[first]) / (np.maximum(np.maximum.reduceat(over[order], first), 1) if k > 2 else max(1, below.divisor))
         sums = np.zeros((many, CUT + 2))
         for r in range(1, CUT + 1):
-            sums[:, r - 1] = np.bincount(whose, times == r, many)
+            sums[:, r - 1] = np.bincount(whose, seen & (times == r), many)
         sums[:, CUT] = np.bincount(whose, np.where(times > CUT, times, 0), many)
         sums[:, CUT + 1] = np.bincount(whose, np.where(seen, share, 0), many)
         least = np.where(sums[:, :CUT] > 0, np.arange(1, CUT + 1), CUT + 1).min(axis=1)
@@ -463,9 +492,10 @@ def count(k: int, below: Order):
         unseen = np.empty(len(x), np.int64)
         unseen[order] = whose[kind]
         cut = np.cumsum([0, *size])
-        rows = []
         for c, s, e in zip(t.column("chunk").to_pylist(), cut[:-1], cut[1:], strict=True):
-            z = sums[unseen[s:e][code[s:e] == 0]]
+            # Sums of the histories of what was not seen, each once, in the order of the request.
+            z = unseen[s:e][code[s:e] == 0]
+            z = sums[z[_runs(z)[:-1]]]
             rows.append((ANSWER, g, c, squeeze(code[s:e], *(z[:, j].astype(np.int64) for j in range(CUT + 1)), z[:, CUT + 1])))
         by_count = [int((times == r).sum()) for r in range(1, CUT + 2)]
         rows.append((TOTALS, g, None, np.array([*by_count, times.sum(), seen.sum(), 0], np.int64).tobytes()))
@@ -474,15 +504,15 @@ def count(k: int, below: Order):
         if len(i):
             of = whose[kind[i]]
             rows.append((SPREAD, g, None, squeeze(*(h[i] for h in history), *(sums[of, j] for j in range(CUT + 2)))))
-        f = first[seen]
-        run = _runs(history[0][f])
-        rows.append((TABLE, g, None, squeeze(np.diff(history[0][f], prepend=0), *(_steps(h[f], run) for h in history[1:]), x[f], times[seen])))
+        if keep:
+            f = first[seen]
+            rows.append((TABLE, g, None, squeeze(*(h[f] for h in history), x[f], times[seen])))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
-def level(state: DataFrame, answers: list[DataFrame], model: Model, k: int) -> DataFrame:
+def level(state: DataFrame, answers: list[DataFrame], model: Model, k: int, keep: bool = False) -> DataFrame:
     """The stored table of order k: answers to the chunks, totals, hot histories and the n-grams."""
     at = state.sparkSession.sparkContext.broadcast(model)
     below = model.orders[-1]
@@ -491,9 +521,11 @@ def level(state: DataFrame, answers: list[DataFrame], model: Model, k: int) -> D
         chunk = t.column("chunk")[0].as_py()
         return pa.Table.from_batches([_rows([(kind, g, chunk, p) for kind, g, p in Chunk(t, at.value, k - 1).ask(k)])])
 
-    add = count(k, below)
+    add = count(k, below, keep)
     asked = _together(state, answers).groupBy("chunk").applyInArrow(lambda t: ask(t), ROWS)
-    return stored(asked.groupBy("group").applyInArrow(lambda t: add(t), ROWS), f"order{k}")
+    # A chunk's own totals are a group's rows like any other.
+    dealt = asked.withColumn("group", F.coalesce("group", F.pmod("chunk", F.lit(model.groups)).cast("int")))
+    return stored(dealt.groupBy("group").applyInArrow(lambda t: add(t), ROWS), f"order{k}")
 
 
 def _together(state: DataFrame, answers: list[DataFrame]) -> DataFrame:
@@ -521,22 +553,23 @@ def _order(table: DataFrame, k: int) -> Order:
     return o
 
 
-def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK, hot: int = HOT, tables: str | None = None) -> DataFrame:
     """docs: row id, doc_id, text, held_out (false: learnt from). Returns a row each with token counts,
-    base_score and score. Tables that it needs on the way are deleted once the result is stored."""
+    base_score and score. The tables of the orders are deleted once the result is stored; their n-grams
+    are kept in the folder `tables` where it is given, for `ngrams`."""
     if order * BITS > 63:
         raise ValueError("an order of 3 at most")
     size = text_bytes(docs)
     model = Model(groups_for(size, WORD_BYTES), groups_for(size, GROUP_BYTES), order, hot)
     all_chunks = stored(chunks(docs, model.words, chunk), "chunks", "kind")
-    run = count_words(model.words)
+    run = count_words(model.words, tables is not None)
     words = stored(all_chunks.where(F.col("kind") == ASK).groupBy("group").applyInArrow(lambda t: run(t), ROWS), "order1")
     dropped(all_chunks, "kind=ask")
     answers = [words]
     model.orders.append(_order(words, 1))
     state = all_chunks.where(F.col("kind") == STATE)
     for k in range(2, order + 1):
-        answers.append(level(state, answers, model, k))
+        answers.append(level(state, answers, model, k, tables is not None))
         model.orders.append(_order(answers[-1], k))
     at = docs.sparkSession.sparkContext.broadcast(model)
     names = [ROW, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
@@ -554,11 +587,27 @@ def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK, hot: int = HO
     per_piece = _together(state, answers).groupBy("chunk").applyInArrow(lambda t: evaluate(t), f"{ROW} long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     added = per_piece.groupBy(*names[:3]).agg(*(F.sum(c).alias(c) for c in names[3:]))
     out = stored(added.select(*names[:5], F.lit(model.tokens).cast("long").alias("train_tokens"), *names[5:]), "scores")
+    for k, table in enumerate(answers, 1):
+        if tables is not None:
+            table.where(F.col("kind") == TABLE).select("group", "payload").write.parquet(f"{tables}/order={k}")
     for table in (all_chunks, *answers):
         dropped(table)
     return out
 
 
+def ngrams(spark: SparkSession, tables: str, order: int) -> DataFrame:
+    """A kept table of an order: words by hash, number and count (order 1), or numbers of the history's
+    words, the last first, of the word, and count. A row each."""
+    names = ["hash", "word", "n"] if order == 1 else [*(f"history{i}" for i in range(1, order)), "word", "n"]
+
+    def run(batches):
+        for b in batches:
+            for p in b.column("payload").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in expand(p)], names)
+
+    return spark.read.parquet(f"{tables}/order={order}").select("payload").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
     return score(keyed_text(documents(spark, sf_dir)).withColumn("held_out", held_out)).drop(ROW)

@@ -161,6 +161,10 @@ def test_sentencepiece(spark, hard):
     assert got(spark, "op4_sentencepiece", hard, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=key)
 
 
+#: No words, since words hold no separators.
+START, END = " s", " e"
+
+
 def good_turing(n):
     """(cut, discounts of 1 to 5) of the numbers of n-grams of count 1 to 6."""
     for cut in (5, 4, 3, 2, 1):
@@ -176,10 +180,10 @@ class DirectKatz:
     """Backoff by the book, with dictionaries and recursion."""
 
     def __init__(self, rows, order=3):
-        self.docs = [(d, [*words(t), "</s>"], d is not None and zlib.crc32(str(d).encode()) % 10 == 0) for d, t in rows]
+        self.docs = [(d, [*words(t), END], d is not None and zlib.crc32(str(d).encode()) % 10 == 0) for d, t in rows]
         self.order, self.c, self.follow = order, Counter(), {}
         for _, x, held in self.docs:
-            padded = ["<s>"] * (order - 1) + x
+            padded = [START] * (order - 1) + x
             for i in range(order - 1, len(padded)):
                 for k in range(0 if held else order):
                     h, w = tuple(padded[i - k : i]), padded[i]
@@ -190,6 +194,9 @@ class DirectKatz:
         self.size = {h: sum(self.c[h, w] for w in f) for h, f in self.follow.items()}
         self.n = self.size.get((), 0)
 
+        # Three words that occur once are no part of the model.
+        self.follow = {h: {w for w in f if len(h) < 2 or self.c[h, w] > 1} for h, f in self.follow.items()}
+
     def seen(self, h, w):
         cut, d = self.cuts[len(h)]
         n = self.c[h, w]
@@ -200,18 +207,18 @@ class DirectKatz:
         return 1 - sum(self.seen(h, w) for w in self.follow[h])
 
     def p(self, h, w):
-        if self.c[h, w]:
+        if w in self.follow.get(h, ()):
             return self.seen(h, w)
         if not h:
             return self.left(h) if self.n else 1.0
-        if h not in self.follow:
+        if not self.follow.get(h):
             return self.p(h[1:], w)
         return self.left(h) / (1 - sum(self.p(h[1:], x) for x in self.follow[h])) * self.p(h[1:], w)
 
     def rows(self):
         v = len(self.follow.get((), ()))
         for d, x, held in self.docs:
-            padded = ["<s>"] * (self.order - 1) + x
+            padded = [START] * (self.order - 1) + x
             score = sum(math.log10(self.p(tuple(padded[i : i + self.order - 1]), w)) for i, w in enumerate(x))
             base = sum(math.log10((self.c[(), w] + 0.1) / (self.n + 0.1 * (v + 1))) for w in x)
             yield d, held, len(x), sum(self.c[(), w] > 0 for w in x), self.n, base, score
@@ -241,7 +248,7 @@ def zipf_rows():
 def test_katz_with_hot_histories_many_chunks_and_pieces(spark, order, chunk, hot):
     rows = zipf_rows()
     model = DirectKatz([(d, t or "") for d, t in rows], order)
-    for h in ((), ("w1",), ("w1", "w1"), ("<s>", "<s>"), ("a", "a")):
+    for h in ((), ("w1",), ("w1", "w1"), (START, START), ("a", "a")):
         if len(h) < order:
             assert abs(sum(model.p(h, w) for w in [*model.follow[()], "not there"]) - 1) < 1e-9
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -249,6 +256,17 @@ def test_katz_with_hot_histories_many_chunks_and_pieces(spark, order, chunk, hot
     same_scores([tuple(r) for r in katz.score(docs, order, chunk, hot).select(*KATZ).collect()], model.rows())
 
 
+def test_katz_tables_hold_the_models_ngrams(spark, tmp_path):
+    rows = [(d, t or "") for d, t in zipf_rows()]
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    docs = keyed_text(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("held_out", held)
+    katz.score(docs, chunk=900, hot=60, tables=str(tmp_path)).count()
+    model = DirectKatz(rows)
+    for k in (1, 2, 3):
+        have = sorted(r["n"] for r in katz.ngrams(spark, str(tmp_path), k).collect())
+        assert have == sorted(model.c[h, w] for h, f in model.follow.items() if len(h) == k - 1 for w in f)
+
+
 def test_katz_tells_copies_apart(spark, tmp_path):
     r = np.random.default_rng(3)
     texts = [" ".join(f"w{int(k)}" for k in r.integers(0, 4000, 50)) for _ in range(200)]
