@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +95,52 @@ def groups_for(total: int, each: int, least: int = 8) -> int:
     return max(least, -(-total // each))
 
 
+def _tidy() -> None:
+    """Gives what a Python worker has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own way
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run):
+    """A function of Arrow batches that leaves nothing behind in its worker, or of a group's table."""
+
+    @functools.wraps(run)
+    def batches(parts):
+        try:
+            yield from run(parts)
+        finally:
+            _tidy()
+
+    return batches
+
+
+def released_group(run):
+    @functools.wraps(run)
+    def group(t):
+        try:
+            return run(t)
+        finally:
+            del t
+            _tidy()
+
+    return group
+
+
+def slices(b: pa.RecordBatch, rows: int = 256):
+    """Parts of a batch, for work on Python objects."""
+    for i in range(0, len(b), rows):
+        yield b.slice(i, rows)
+
+
+def fixed(df: DataFrame, name: str = "docs") -> DataFrame:
+    """df as it is where it only reads files, whose rows keep their order and so their ids; otherwise a
+    stored copy, so that a stage that is computed again cannot number rows anew."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    nodes = [re.sub(r"^[\s:+\-*()0-9]*", "", line) for line in plan.splitlines()]
+    return df if all(n.startswith(("Project", "Filter", "FileScan", "LocalTableScan")) for n in nodes if n) else stored(df, name)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; TOKENIZER_DIR overrides the installed package's."""
     at = os.environ.get("TOKENIZER_DIR")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import dropped, stored
 
 
 def _least(e: DataFrame) -> DataFrame:
@@ -16,10 +16,11 @@ def _least(e: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) of every vertex of (a, b) edges: the least id that it is linked to.
+    """(id, component) of every vertex of (a, b) edges, a stored table: the least id that it is linked to.
 
-    Each round is stored, so a lost executor repeats one round. Rounds grow with the logarithm
-    of the longest path."""
+    Each round is stored, so a lost executor repeats one round; the table of the round before is deleted.
+    Rounds grow with the logarithm of the longest path. Edges of a vertex with itself, or with a
+    null end, link nothing and name no vertex; repeated edges count once; no edges give no rows."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
@@ -27,7 +28,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         near = _least(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct(), "edges")
+        last, e = e, stored(small.where("u <> v").distinct(), "edges")
+        dropped(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == mark:
             break
@@ -36,4 +38,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     member = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     roots = e.select(F.col("v").alias("id")).distinct().join(member.select("id"), "id", "left_anti")
-    return member.unionByName(roots.select("id", F.col("id").alias("component")))
+    out = stored(member.unionByName(roots.select("id", F.col("id").alias("component"))), "components")
+    dropped(e)
+    return out

@@ -20,13 +20,21 @@ VALUE_LOWER[65:91] = VALUE[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: Bytes of a long text that are hashed together.
+BLOCK = 1 << 18
+
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i for i < n at least; kept between calls."""
+    """B**i and B**-i for i < n at least; those of two blocks are kept between calls."""
     global _pow, _inv
+    if n > 1 << 20:
+        inv = pow(BASE, -1, 1 << 64)
+        b, c = np.full(n, BASE, np.uint64), np.full(n, inv, np.uint64)
+        b[0] = c[0] = 1
+        return np.multiply.accumulate(b), np.multiply.accumulate(c)
     if len(_pow) < n:
         size = max(n, 1 << 19)
         inv = pow(BASE, -1, 1 << 64)
@@ -106,8 +114,26 @@ def word_spans(b: np.ndarray, cut: np.ndarray, between: np.ndarray = IS_SPACE) -
 
 
 def words(data: np.ndarray, off: np.ndarray, value: np.ndarray = VALUE_LOWER, between: np.ndarray = IS_SPACE):
-    """Yields (first text, last text + 1, word hashes, words up to each text) for runs of texts."""
+    """Yields (first text, last text + 1, word hashes, words up to each text) for runs of texts. A text
+    of more than BLOCK bytes is hashed in blocks that end between words."""
     for i, j in chunks(off):
+        if j == i + 1 and off[j] - off[i] > 2 * BLOCK:
+            b, at, h = data[off[i] : off[j]], 0, []
+            while at < len(b):
+                to = min(len(b), at + BLOCK)
+                while to < len(b):  # no separator in a block: the word goes on
+                    gap = np.flatnonzero(between[b[to : to + BLOCK]])
+                    to = min(len(b), to + (int(gap[0]) if len(gap) else BLOCK))
+                    if len(gap):
+                        break
+                part = b[at:to]
+                start, end = word_spans(part, np.array([0, len(part)]), between)
+                if len(start):
+                    h.append(span_hash(prefix(part, value), start, end))
+                at = to
+            h = np.concatenate([np.zeros(0, np.uint64), *h])
+            yield i, j, h, np.array([0, len(h)])
+            continue
         b, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
         start, end = word_spans(b, cut, between)
         h = span_hash(prefix(b, value), start, end) if len(start) else np.zeros(0, np.uint64)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import ROW, documents, groups_for, keyed_text, ship, stored, text_bytes
+from .base import ROW, documents, dropped, fixed, groups_for, keyed_text, released, released_group, ship, stored, text_bytes
 from .components import components
 
 #: Parts beyond the most that can differ.
@@ -109,6 +109,7 @@ def tile_keys(h: np.ndarray, percent: int) -> np.ndarray:
 def _describe(df: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
     """Rows of documents (group -1: their entity, size and bitmap) and of tile keys (by group)."""
 
+    @released
     def run(batches):
         keys, owners, ids, held = [], [], [], 0
         names = ["group", ROW, "doc_id", "size", "entity", "bits", "keys", "owners"]
@@ -153,6 +154,7 @@ def _describe(df: DataFrame, n: int, percent: int, groups: int) -> DataFrame:
     return df.mapInArrow(run, f"group int, {ROW} long, doc_id long, size long, entity long, bits binary, keys binary, owners binary")
 
 
+@released_group
 def _meet(t: pa.Table) -> pa.Table:
     """Tiles of a group of keys with two entities or more, each set of members once."""
     key, who = [], []
@@ -235,6 +237,7 @@ def _forest(size: np.ndarray, bits: list[bytes], percent: int) -> list[tuple[int
 
 
 def _tiles(percent: int):
+    @released_group
     def run(t: pa.Table) -> pa.Table:
         tile, entity, size = (t.column(c).to_numpy() for c in ("tile", "entity", "size"))
         bits = t.column("bits").to_pylist()
@@ -264,6 +267,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _exact(n: int, percent: int):
+    @released_group
     def run(t: pa.Table) -> pa.Table:
         comp, entity = t.column("component").to_numpy(), t.column("entity").to_numpy()
         data, off = H.buffers(t.column("text"))
@@ -303,14 +307,17 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     maps = doc.where("entity is not null").groupBy("entity").agg(F.min(F.struct(ROW, "size", "bits")).alias("r")).select("entity", "r.*")
     met = tiles.join(maps, "entity").select(F.pmod(F.xxhash64("tile"), F.lit(tile_groups)).alias("group"), "tile", "entity", "size", "bits")
     edges = met.groupBy("group").applyInArrow(lambda t: _tiles(percent)(t), "a long, b long")
-    comp = stored(components(edges), "components")
+    comp = components(edges)
     reps = comp.join(maps.select("entity", ROW), comp["id"] == maps["entity"]).select(ROW, "entity", "component")
     texts = docs.select(ROW, "text").join(reps, ROW)
     dealt = texts.select(F.pmod(F.xxhash64("component"), F.lit(text_groups)).alias("group"), "component", "entity", "text")
     labels = stored(dealt.groupBy("group").applyInArrow(lambda t: _exact(n, percent)(t), "entity long, label long"), "labels")
-    d = doc.join(labels, "entity", "left").select(ROW, "doc_id", "size", F.coalesce("label", "entity").alias("label"))
-    least = d.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return d.join(least, "label", "left").select(ROW, "doc_id", "size", "label", F.coalesce("least", "doc_id").alias("component_id"))
+    found = doc.join(labels, "entity", "left").select(ROW, "doc_id", "size", F.coalesce("label", "entity").alias("label"))
+    least = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    out = stored(found.join(least, "label", "left").select(ROW, "doc_id", "size", "label", F.coalesce("least", "doc_id").alias("component_id")), "linked")
+    for table in (d, comp, labels):
+        dropped(table)
+    return out
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +327,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays: that of the least doc_id, of equal ones the first row."""
     ship(spark)
-    d = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
+    d = fixed(docs).select(F.struct(*docs.columns).alias("doc"), "doc_id", "text").withColumn(ROW, F.monotonically_increasing_id())
     found = join(d.select(ROW, "doc_id", F.coalesce("text", F.lit("")).alias("text")), n, percent)
     group = F.struct(F.when(F.col("label").isNull(), F.col(ROW)).otherwise(F.lit(-1)), "label")
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("r"))

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import ROW, documents, dropped, groups_for, keyed_text, stored, text_bytes
+from .base import ROW, documents, dropped, groups_for, keyed_text, released, released_group, stored, text_bytes
 
 ORDER = 3
 #: Counts up to this are discounted where the counts of counts allow it.
@@ -180,6 +180,7 @@ class Model:
 def chunks(docs: DataFrame, words: int, tokens: int = CHUNK) -> DataFrame:
     """State rows, one a chunk, and the chunk's requests for single words. docs: row id, doc_id, text, held_out."""
 
+    @released
     def run(batches):
         pieces: list[tuple] = []
         held = 0
@@ -229,6 +230,7 @@ def chunks(docs: DataFrame, words: int, tokens: int = CHUNK) -> DataFrame:
 def count_words(groups: int, keep: bool = False):
     """A group of words: adds up the chunks' counts and answers with each word's number and count."""
 
+    @released_group
     def run(t: pa.Table) -> pa.Table:
         g = t.column("group")[0].as_py()
         asked = [expand(p) for p in t.column("payload").to_pylist()]
@@ -445,6 +447,7 @@ def _by_history(history: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 def count(k: int, below: Order, keep: bool = False):
     """A group of n-grams of order k: adds up the chunks' counts, sums up its histories and answers."""
 
+    @released_group
     def run(t: pa.Table) -> pa.Table:
         g = t.column("group")[0].as_py()
         own = t.filter(pc.equal(t.column("kind"), TOTALS))
@@ -517,6 +520,7 @@ def level(state: DataFrame, answers: list[DataFrame], model: Model, k: int, keep
     at = state.sparkSession.sparkContext.broadcast(model)
     below = model.orders[-1]
 
+    @released_group
     def ask(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
         return pa.Table.from_batches([_rows([(kind, g, chunk, p) for kind, g, p in Chunk(t, at.value, k - 1).ask(k)])])
@@ -574,6 +578,7 @@ def score(docs: DataFrame, order: int = ORDER, chunk: int = CHUNK, hot: int = HO
     at = docs.sparkSession.sparkContext.broadcast(model)
     names = [ROW, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
+    @released_group
     def evaluate(t: pa.Table) -> pa.Table:
         m = at.value
         c = Chunk(t, m, m.order)
@@ -600,6 +605,7 @@ def ngrams(spark: SparkSession, tables: str, order: int) -> DataFrame:
     words, the last first, of the word, and count. A row each."""
     names = ["hash", "word", "n"] if order == 1 else [*(f"history{i}" for i in range(1, order)), "word", "n"]
 
+    @released
     def run(batches):
         for b in batches:
             for p in b.column("payload").to_pylist():

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import documents, keyed_text
+from .base import documents, keyed_text, released
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, SAMPLES = 64, 3
@@ -153,6 +153,7 @@ def cosine_hash(samples: np.ndarray, step: int = SAMPLES) -> str:
 def attach_media(df: DataFrame, level: int = 6) -> DataFrame:
     """(doc_id, n_bytes, media) of (doc_id, text): the padded UTF-8 text as a PNG."""
 
+    @released
     def run(batches):
         for b in batches:
             texts = [(x or "").encode() for x in b.column("text").to_pylist()]
@@ -167,6 +168,7 @@ def media_features(df: DataFrame) -> DataFrame:
     """Adds to (doc_id, n_bytes, media) what reading the stored bytes back gives."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    @released
     def run(batches):
         for b in batches:
             out = []

@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import documents, keyed_text, ship, stored, tokenizer_path
+from .base import documents, keyed_text, released, ship, slices, stored, tokenizer_path
 
 WINDOW = 2048
 END = 1
-#: Words whose ids a Python worker keeps; beyond it the store is emptied and fills again.
-KEEP = 400_000
+#: Words whose ids a task keeps; beyond it the store is emptied and fills again.
+KEEP = 100_000
 SPECIAL = "<|endoftext|>"
 #: Signs that often end a word.
 SIGNS = ".,;:!?"
@@ -67,6 +67,9 @@ class Tokenizer:
 
         self.ranks = _ranks(path)
 
+    def forget(self) -> None:
+        self.ids, self.tails = {}, {}
+
     def fast(self, texts: list[str]) -> list[bytes]:
         """The same ids from the same vocabulary as ranks, which tests compare; three times as fast on words."""
         if self.ranks is None:
@@ -92,8 +95,7 @@ class Tokenizer:
         plain = [bool(x) and "  " not in x and SPECIAL not in x and x[0] != " " and x[-1] != " " for x in texts]
         cut = [(" " + x).split(" ") if ok else None for x, ok in zip(texts, plain, strict=True)]
         if len(self.ids) > KEEP:
-            self.ids.clear()
-            self.tails.clear()
+            self.forget()
         missing: set[str] = set()
         for p in filter(None, cut):
             missing.update(filterfalse(self.ids.__contains__, p[2:]))
@@ -118,11 +120,12 @@ def tokenize(df: DataFrame, path: str, window: int = WINDOW, end: int = END) ->
     in this part of the table."""
     tail = np.uint32(end).tobytes()
 
+    @released
     def run(batches):
         t, part, seen = tokenizer(path), TaskContext.get().partitionId(), defaultdict(int)
+        t.forget()
         for b in batches:
-            for at in range(0, len(b), 500):
-                c = b.slice(at, 500)
+            for c in slices(b):
                 rows = []
                 for doc, ids in zip(c.column("doc_id").to_pylist(), t.batch([x or "" for x in c.column("text").to_pylist()]), strict=True):
                     ids += tail
@@ -134,6 +137,7 @@ def tokenize(df: DataFrame, path: str, window: int = WINDOW, end: int = END) ->
                 kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
+        t.forget()
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long")
 
@@ -254,6 +258,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("base")).alias("rank"))
 
+    @released
     def run(batches):
         p = at.value
         for b in batches:

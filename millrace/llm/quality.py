@@ -9,8 +9,9 @@ It is fitted on the driver, on at most SAMPLE labelled rows (those of the smalle
 ids); each executor scores whole texts.
 
 Defined results: a null text is empty; an empty text has no features and gets the grades of score
-0; no labels give every row tail 1 (all are kept); repeated rows are scored each; labels of one
-id beyond the first are dropped; an empty table gives an empty table.
+0; no labels give every row tail 1 (all are kept); repeated rows are scored each; of several
+labels of one id the least grade counts, of several texts of one id the one whose features come
+first as bytes; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import hashing as H
-from .base import documents, keyed_text, ship
+from .base import documents, keyed_text, released, ship
 
 BINS = 2048
 #: Most labelled rows that the fit looks at, at any size of the input.
@@ -35,11 +36,19 @@ TAIL, KEEP = 1, 0.5
 STEPS = 400
 
 
+def _few(data: np.ndarray, off: np.ndarray, most: int = 256):
+    """Runs of texts with their words, of at most so many texts: each has a row of BINS numbers."""
+    for i, j, h, at in H.words(data, off):
+        for k in range(i, j, most):
+            e = min(j, k + most)
+            yield k, e, h[at[k - i] : at[e - i]], at[k - i : e - i + 1] - at[k - i]
+
+
 def features(data: np.ndarray, off: np.ndarray, bins: int = BINS):
     """Yields (first text, last text + 1, float32 features) for runs of texts."""
     last = bins - 16  # the last bins hold how much of the text repeats
     mult = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-    for i, j, h, at in H.words(data, off):
+    for i, j, h, at in _few(data, off):
         b, cut = data[off[i] : off[j]].astype(np.uint32), off[i : j + 1] - off[i]
         x = np.zeros((j - i, bins), np.float32)
         if len(b) >= 3:
@@ -104,7 +113,7 @@ def fit(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, ridge: float = 1
 def grade_labels(labels: DataFrame) -> DataFrame:
     """(doc_id, grade): 0 for poor text, 1 for good but toxic text, 2 for good clean text."""
     g = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", g.alias("grade")).dropDuplicates(["doc_id"])
+    return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", g.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
 def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Ordinal:
@@ -112,13 +121,14 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Ordinal:
     chosen = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
 
+    @released
     def run(batches):
         for b in batches:
             data, off = H.buffers(b.column("text"))
             x = [f.tobytes() for _, _, part in features(data, off) for f in part]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(x, pa.binary())], ["doc_id", "grade", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, grade int, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = rows.mapInArrow(run, "doc_id long, grade int, x binary").toPandas().sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), BINS)
     return fit(x, got["grade"].to_numpy(np.int64))
 
@@ -128,6 +138,7 @@ def score(df: DataFrame, model: Ordinal, tail: int = TAIL) -> DataFrame:
     at = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
 
+    @released
     def run(batches):
         m = at.value
         for b in batches:

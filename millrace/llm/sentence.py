@@ -20,7 +20,7 @@ from itertools import filterfalse
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import documents, keyed_text, tokenizer_path
+from .base import documents, keyed_text, released, tokenizer_path
 
 MARK = "▁"
 #: Parts kept by a Python worker; beyond it the store is emptied and fills again.
@@ -179,6 +179,7 @@ _encoders: dict[str, Encoder] = {}
 def encode(df: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with keep_ids also ids and decoded."""
 
+    @released
     def run(batches):
         e = _encoders.get(path)
         if e is None:

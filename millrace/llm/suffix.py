@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import ROW, documents, groups_for, keyed_text, ship, stored
+from .base import ROW, documents, dropped, fixed, groups_for, keyed_text, released, released_group, ship, slices, stored
 
 LENGTH = 200
 #: Segments of a batch that is built together, groups whole.
@@ -208,6 +208,7 @@ def covered(flags: np.ndarray, length: int) -> np.ndarray:
 
 
 def _emit_segments(docs: DataFrame, length: int) -> DataFrame:
+    @released
     def run(batches):
         for b in batches:
             data, off = H.buffers(b.column("text"))
@@ -225,9 +226,10 @@ def _squeezed(docs: DataFrame, *others: str) -> DataFrame:
     """(row id, others, text compressed): half of what a shuffle of texts would move."""
     names = [ROW, *others, "z"]
 
+    @released
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in (c for whole in batches for c in slices(whole)):
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array([z.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary())], names)
 
     return docs.select(*names[:-1], "text").mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", z binary")
@@ -237,9 +239,10 @@ def _cut_out(length: int):
     """Bytes of the wanted segments of each text, by the group that they are built in."""
     _, gram, flank = shape(length)
 
+    @released
     def run(batches):
         z = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (c for whole in batches for c in slices(whole)):
             rows = []
             for raw, wanted in zip(b.column("z").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 text = z.decompress(raw) if raw else b""
@@ -259,6 +262,7 @@ def _cut_out(length: int):
 
 
 def _build_group(length: int):
+    @released_group
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("build")
         key, once = t.column("build").to_numpy(), t.column("once").to_numpy()
@@ -288,8 +292,8 @@ def _build_group(length: int):
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row id, spans): (start, end) bytes of each text to remove, in no order and maybe overlapping;
-    texts without any are left out."""
+    """(row id, spans), a stored table: (start, end) bytes of each text to remove, in no order and maybe
+    overlapping; texts without any are left out."""
     every = _emit_segments(docs, length)
     again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
     met = stored(every.join(again, "anchor"), "segments")
@@ -307,7 +311,10 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = kinds.where("n > 1").select("anchor", "seg", F.lit(0).alias("from"), F.col("size").cast("int").alias("to"))
     hit = met.join(whole.unionByName(built), ["anchor", "seg"])
     span = F.struct((F.col("start") + F.col("from")).alias("s"), (F.col("start") + F.col("to")).alias("e"))
-    return hit.select(ROW, span.alias("span")).groupBy(ROW).agg(F.collect_list("span").alias("spans"))
+    out = stored(hit.select(ROW, span.alias("span")).groupBy(ROW).agg(F.collect_list("span").alias("spans")), "spans")
+    dropped(met)
+    dropped(kinds)
+    return out
 
 
 def merged(found: list | None) -> list[tuple[int, int]]:
@@ -333,9 +340,10 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed_text(documents(spark, sf_dir))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
+    @released
     def run(batches):
         z = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (c for whole in batches for c in slices(whole)):
             out = []
             for raw, found in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 text, cut = z.decompress(raw), merged(found)
@@ -349,11 +357,12 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = LENGTH) -> DataFrame:
     """Takes the repeated bytes out of every text. A character cut in two goes; n_chars follows."""
     ship(spark)
-    d = docs.select(F.struct(*docs.columns).alias("doc"), "text").withColumn(ROW, F.monotonically_increasing_id())
+    d = fixed(docs).select(F.struct(*docs.columns).alias("doc"), "text").withColumn(ROW, F.monotonically_increasing_id())
     found = spans(d.select(ROW, F.coalesce("text", F.lit("")).alias("text")), length)
 
+    @released
     def run(batches):
-        for b in batches:
+        for b in (c for whole in batches for c in slices(whole)):
             kept = [x if x is None or not s else rest(x.encode(), merged(s)).decode("utf-8", "ignore") for x, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(kept, pa.string())], ["doc", "text"])
 
