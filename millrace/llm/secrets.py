@@ -6,7 +6,8 @@ log-likelihood ratio of a token is the sum over its character pairs. The models
 labelled sample (columns token, is_secret); `labelled_sample` makes one by rule, natively.
 
 Positions come from splitting a text at a pattern: the lengths of the gaps and of the matches, in
-turn, add up to each match's place, which is one pass each for gaps and matches.
+turn, add up to each match's place, which is one pass each for gaps and matches; the arrays grow by
+copying, so a very long text takes time with the square of its number of matches (20 s for 20,000).
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned each; only the
 named columns are kept, so none can clash; an empty table gives an empty table.
@@ -28,14 +29,15 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
-#: Tokens that the models look at: this many characters or more, digits and letters both in them.
+#: Tokens that the models look at: this many characters or more, of two kinds at least among lower-case
+#: letters, upper-case letters and digits.
 CANDIDATE = r"[A-Za-z0-9+/_=-]+"
-LEAST_TOKEN = 20
-#: A token is a secret if its ratio, in nats a character pair, exceeds this.
-THRESHOLD = 0.6
+LEAST_TOKEN = 12
+#: A token is a secret if its ratio, in nats a character pair, exceeds THRESHOLD and in all EVIDENCE.
+THRESHOLD, EVIDENCE = 0.35, 6.5
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 # Parts of ordinary identifiers for the labelled sample.
-PARTS = ["get", "set", "user", "name", "account", "value", "index", "count", "list", "item", "file", "path", "data", "time", "date", "config", "server", "client", "request", "response", "handler", "manager", "service", "table", "column", "record", "buffer", "stream", "number", "string", "object", "default", "current", "next", "first", "last", "update", "delete", "create", "insert", "select", "version", "image", "image2", "page", "page1", "test", "test3", "v2", "2024", "01", "10", "100", "2023", "http", "www", "com", "html", "index7", "section", "chapter", "report", "summary", "final"]
+PARTS = "get set user name account value index count list item file path data time date config server client request response handler manager service table column record buffer stream number string object default current next first last update delete create insert select version image image2 page page1 test test3 v2 2024 01 10 100 2023 http www com html index7 section chapter report summary final about above action active address after again against almost amount animal answer around balance because before better between black board body book bottom bring brother build business call carry center change check child choice city class close color common company control country course cover cross dark delivery design detail differ direct distance document double early earth edge effect engine enough event every example family father field figure finish flower follow force forest friend front garden general glass government great green ground group happen health heart history house hundred important interest island kitchen language large leave letter light little local machine market material matter member middle minute money morning mother mountain music nature never night north notice office order other paper parent pattern people picture place plant point power present problem process product program public question quick".split()
 
 
 def labelled_sample(spark: SparkSession, n: int = 20_000) -> DataFrame:
@@ -54,9 +56,10 @@ def labelled_sample(spark: SparkSession, n: int = 20_000) -> DataFrame:
     return random.unionByName(plain)
 
 
-def train(sample: DataFrame, alpha: float = 0.5) -> list[float]:
+def train(sample: DataFrame, even: float = 0.2) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random over ordinary: a model of
-    len(ALPHABET) squared numbers, whatever the sample's size."""
+    len(ALPHABET) squared numbers, whatever the sample's size. Each model is a mixture of the sample's
+    shares of what follows a character with even odds, since samples hold few of all ordinary words."""
     k = len(ALPHABET)
     t = F.regexp_replace(F.coalesce("token", F.lit("")), f"[^{ALPHABET}]", "")
     pairs = (
@@ -65,11 +68,12 @@ def train(sample: DataFrame, alpha: float = 0.5) -> list[float]:
         .groupBy("is_secret", "pair")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    count = {s: [[alpha] * k for _ in range(k)] for s in (True, False)}
+    count = {s: [[0] * k for _ in range(k)] for s in (True, False)}
     place = {c: i for i, c in enumerate(ALPHABET)}
     for r in pairs.collect():  # 2 x 67 x 67 rows at most
         count[r["is_secret"]][place[r["pair"][0]]][place[r["pair"][1]]] += r["n"]
-    return [math.log(count[True][a][b] / sum(count[True][a])) - math.log(count[False][a][b] / sum(count[False][a])) for a in range(k) for b in range(k)]
+    chance = lambda s, a, b: even / k + (1 - even) * (count[s][a][b] / sum(count[s][a]) if sum(count[s][a]) else 1 / k)
+    return [math.log(chance(True, a, b)) - math.log(chance(False, a, b)) for a in range(k) for b in range(k)]
 
 
 def _ends(text: Column, pattern: str, matches: Column) -> Column:
@@ -128,13 +132,13 @@ def scan(df: DataFrame, model: list[float], threshold: float = THRESHOLD, text_c
             F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")),
             lambda acc, p: F.struct(p.cast("int").alias("last"), (acc["sum"] + F.when((acc["last"] >= 0) & (p >= 0), F.element_at(llr, (acc["last"] * k + p + 1).cast("int"))).otherwise(0.0)).alias("sum")),
         )
-        return total["sum"] / (F.length(t) - 1)
+        return total["sum"]
 
-    mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
-    scored = F.zip_with("__at", "__hits", lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(mixed(t), ratio(t)).alias("llr")))
+    kinds = lambda t: sum(t.rlike(k).cast("int") for k in ("[0-9]", "[a-z]", "[A-Z]"))
+    scored = F.zip_with("__at", "__hits", lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(t).alias("size"), F.when(kinds(t) >= 2, ratio(t)).alias("llr")))
     base = F.array_sort(F.concat(_kind(F.col("__assign"), "assign", 0), _kind(F.col("__access"), "access", 1), _kind(F.col("__hex"), "hex", 2)))
     d = d.withColumn("base", base)
-    markov = F.filter(scored, lambda s: (s["llr"] > threshold) & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+    markov = F.filter(scored, lambda s: (s["llr"] > F.greatest(threshold * (s["size"] - 1), F.lit(EVIDENCE))) & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     d = d.withColumn("markov", _kind(F.transform(markov, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), "markov", 3))
     return d.withColumn("spans", F.array_sort(F.concat("base", "markov"))).drop("__assign", "__access", "__hex", "__hits", "__at")
 
