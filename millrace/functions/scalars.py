@@ -33,7 +33,7 @@ def round_half_even(x: Column, decimals: int) -> Column:
 
 def fee_per_share(price: Column, rate: Column | float, exponent: Column | float = 1.0) -> Column:
     curve = price * (1 - price)
-    return _lit(rate) * (curve if exponent == 1.0 else F.pow(curve, _lit(exponent)))
+    return _lit(rate) * (curve if not isinstance(exponent, Column) and exponent == 1.0 else F.pow(curve, _lit(exponent)))
 
 
 def platform_fee(shares: Column, price: Column, rate: Column | float, decimals: int, exponent: Column | float = 1.0) -> Column:
@@ -111,16 +111,23 @@ def json_array(text: Column) -> Column:
 
 
 def event_type(message: Column) -> Column:
-    """Kind of a raw feed message by the keys that it has, where it does not say."""
-    has = lambda k: F.get_json_object(message, f"$.{k}").isNotNull()
-    said = F.coalesce(F.get_json_object(message, "$.event_type"), F.get_json_object(message, "$.payload.event_type"))
-    return (
-        F.when(said.isNotNull(), said)
-        .when(has("price_changes") | has("changes") | has("payload.price_changes"), "price_change")
-        .when(has("bids") | has("asks") | has("payload.bids"), "book")
-        .when(has("new_tick_size") | has("tick_size"), "tick_size_change")
-        .when(has("winning_outcome") | has("winning_asset_id"), "market_resolved")
+    """Kind of a raw feed message. A wrapped one (topic "market", an object as payload) has it in `type`, others in
+    `event_type`; a message that does not say is known by the keys that it has, in this order."""
+    text = lambda k: F.nullif(F.get_json_object(message, f"$.{k}"), F.lit(""))
+    keys = F.json_object_keys(message)
+    has = lambda *names: F.arrays_overlap(keys, F.array(*map(F.lit, names)))
+    every = lambda *names: F.size(F.array_intersect(keys, F.array(*map(F.lit, names)))) == len(names)
+    wrapped = (F.get_json_object(message, "$.topic") == "market") & F.json_object_keys(F.get_json_object(message, "$.payload")).isNotNull()
+    inferred = (
+        F.when(every("bids", "asks"), "book")
+        .when(has("price_changes", "priceChanges"), "price_change")
+        .when(has("new_tick_size", "newTickSize"), "tick_size_change")
+        .when(has("winning_asset_id", "winningTokenId"), "market_resolved")
+        .when(every("best_bid", "best_ask", "spread"), "best_bid_ask")
+        .when(every("price", "side"), "last_trade_price")
+        .otherwise("unknown")
     )
+    return F.when(wrapped, F.coalesce(text("type"), F.lit("unknown"))).otherwise(F.coalesce(text("event_type"), inferred))
 
 
 def alias(message: Column, *keys: str) -> Column:

@@ -16,6 +16,22 @@ from pyspark.sql import functions as F
 ORDER = ("t", "event_id")
 
 
+def digest(levels: DataFrame, scale: int = 100) -> DataFrame:
+    """SHA-256 of each token's book: a line per level, bids first, each side by rising price, as side:price
+    index:size. levels: token, side, price, size (whole numbers)."""
+    rank, at = (F.col("side") == "ask").cast("int"), F.round(F.col("price") * scale).cast("int")
+    line = F.concat(F.when(F.col("side") == "bid", "B").otherwise("A"), F.lit(":"), at.cast("string"), F.lit(":"), F.col("size").cast("string"), F.lit("\n"))
+    d = levels.groupBy("token").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), at.alias("i"), line.alias("line")))).alias("l"))
+    return d.select("token", F.sha2(F.array_join(F.col("l.line"), "").cast("binary"), 256).alias("digest"), F.size("l").alias("levels"))
+
+
+def token_state(events: DataFrame) -> DataFrame:
+    """Per token the tick size in force and the outcome, once known: the last write of each in event order."""
+    o = F.struct(*ORDER)
+    last = lambda kind, c: F.max_by(F.when(F.col("kind") == kind, F.col(c)), F.when(F.col("kind") == kind, o))
+    return events.groupBy("token").agg(last("tick_size", "price").alias("tick_size"), last("resolved", "size").alias("winner"), F.count_if(F.col("kind") == "tick_size").alias("changes"))
+
+
 def depth_at(events: DataFrame, cutoff) -> DataFrame:
     """(token, side, price, size) at a cutoff. events: token, t, event_id, kind (snapshot: one bid level;
     bid and ask: level writes; best_bid and best_ask: hints), price, size. Rows before a token's

@@ -57,9 +57,14 @@ def evaluate(decisions: DataFrame, ladder: DataFrame, model: DataFrame, rules: R
     """decisions with side, status and money of each market. model: (bin, probability_up, support,
     persistence), a row per bin, or per model_keys, such as fold and bin. The side follows from signal asks alone; unfilled markets earn 0."""
     r = rules
-    d = decisions.join(walk(ladder, r), "condition_id", "left").withColumn("bin", S.state_bin(F.col("mid_up"), list(r.edges)))
+    if "fee_rate" in decisions.columns:  # a market's own rate is charged level by level
+        rates = decisions.groupBy("condition_id").agg(F.max("fee_rate").alias("market_rate"))
+        walked = walk(ladder.join(rates, "condition_id"), r, F.coalesce("market_rate", F.lit(r.fee_rate)))
+    else:
+        walked = walk(ladder, r)
+    d = decisions.join(walked, "condition_id", "left").withColumn("bin", S.state_bin(F.col("mid_up"), list(r.edges)))
     d = d.join(F.broadcast(model), list(model_keys), "left")  # as many rows as bins (and folds)
-    rate = F.col("fee_rate") if "fee_rate" in decisions.columns else r.fee_rate
+    rate = F.coalesce("fee_rate", F.lit(r.fee_rate)) if "fee_rate" in decisions.columns else r.fee_rate
     p = F.col("probability_up") if probability is None else probability
     d = d.withColumns({"p_up": p, "p_down": 1 - p})
     edge = lambda s: S.net_edge(F.col(f"p_{s}"), F.col(f"ask_{s}"), rate, r.extra_cost, r.fee_exponent)

@@ -134,6 +134,30 @@ def daily_weekly(evaluated: DataFrame, time: str = "market_start_s") -> DataFram
     return days.withColumn("week_pnl", F.sum("day_pnl").over(w))
 
 
+def turnover(evaluated: DataFrame, by: list[str], time: str = "market_start_s", tie: str = "condition_id") -> DataFrame:
+    """Per group: fills a day (over the time between first and last row, five minutes at least), cash turnover,
+    return on it, profit factor, whether that is infinite, and the largest drawdown."""
+    d = running(evaluated, "net_pnl", time, tie, by)
+    pnl = F.col("net_pnl")
+    s = d.groupBy(*by).agg(
+        F.count_if("filled").alias("fills"), F.sum(F.when(F.col("filled"), F.col("fill_cost") + F.col("platform_fee") + F.col("extra_cost")).otherwise(0.0)).alias("cash_turnover"), F.sum(pnl).alias("net_pnl"),
+        F.sum(F.when(pnl > 0, pnl).otherwise(0.0)).alias("won"), F.sum(F.when(pnl < 0, -pnl).otherwise(0.0)).alias("lost"), F.max("drawdown").alias("max_drawdown"), ((F.max(time) - F.min(time)) / DAY).alias("days"),
+    )
+    s = s.withColumns({"fills_per_day": F.col("fills") / F.greatest(F.col("days"), F.lit(1 / 288)), "return_on_turnover": S.ratio(F.col("net_pnl"), F.col("cash_turnover")), "profit_factor": S.ratio(F.col("won"), F.col("lost"))})
+    return s.withColumn("profit_factor_infinite", (F.col("won") > 0) & (F.col("lost") == 0)).drop("won", "lost", "days")
+
+
+def holdout(evaluated: DataFrame, by: list[str], halved: str = "first_half") -> DataFrame:
+    """Per group what a one-shot holdout reports: fills and their share, profit and its factor, profit of both halves
+    in order, and the same trades under stress (stress_pnl)."""
+    pnl, half = F.col("net_pnl"), F.col(halved)
+    s = evaluated.groupBy(*by).agg(
+        F.count_if("filled").alias("fills"), F.avg(F.col("filled").cast("double")).alias("fill_fraction"), F.sum(pnl).alias("net_pnl"), F.sum(F.when(pnl > 0, pnl).otherwise(0.0)).alias("won"), F.sum(F.when(pnl < 0, -pnl).otherwise(0.0)).alias("lost"),
+        F.sum(F.when(half, pnl).otherwise(0.0)).alias("half1_pnl"), F.sum(F.when(half, 0.0).otherwise(pnl)).alias("half2_pnl"), F.sum("stress_pnl").alias("stress_pnl"),
+    )
+    return s.withColumn("profit_factor", S.ratio(F.col("won"), F.col("lost"))).withColumn("profit_factor_infinite", (F.col("lost") == 0) & (F.col("won") > 0)).drop("won", "lost")
+
+
 def regime_metrics(evaluated: DataFrame, by: list[str]) -> DataFrame:
     """Forecast quality and risk of filled markets per group: Brier score, log loss, calibration gap, side
     share, turnover. Ordered measures come from the functions above."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import scalars as S
 
@@ -54,29 +55,52 @@ def literal_one_step(matrix: DataFrame, edges: list[float]) -> DataFrame:
     return matrix.groupBy(F.col("prev_bin").alias("bin")).agg(F.sum(F.col("p") * centre).alias("expected_mid"))
 
 
-def fit_logistic(rows: DataFrame, features: list[str], outcome: str, weight: str | None = None, group: str | None = None, ridge: float = 1e-3, iterations: int = 30, monotone: bool = True) -> dict:
+def fit_logistic(rows: DataFrame, features: list[str], outcome: str, weight: str | None = None, group: str | None = None, ridge: float = 1e-3, iterations: int = 30, monotone: bool = True, require: bool = True) -> dict:
     """Weighted ridge logistic regression of each group by Newton steps: {group: (mean, scale, coefficients)}.
 
     Each step is one aggregate of sums over the rows (gradient and Hessian of every group at once); only
-    those sums, d * (d + 3) / 2 a group, reach the driver. The intercept is not penalised and starts
-    at the prior's logit; coefficient 1 is kept from falling below 0."""
+    those sums, d * (d + 3) / 2 a group, reach the driver. Rows count if all features, the outcome (0 to
+    1) and the weight (positive) are finite; a group needs more than d + 2 of
+    them, or is an error (require), or has no model. Weights are
+    divided by their mean, features centred and divided by their deviation (variance 1e-12 at least). The
+    intercept is not penalised and starts at the prior's logit; coefficient 1 is kept from falling below 0."""
     d = len(features)
     w0 = F.col(weight) if weight else F.lit(1.0)
     g = F.col(group) if group else F.lit(0)
-    rows = rows.select(g.alias("g"), F.col(outcome).cast("double").alias("y"), w0.cast("double").alias("w"), *(F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features))).na.drop()
-    first = rows.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), *(F.sum(F.col("w") * F.col(f"x{k}")).alias(f"s{k}") for k in range(d)), *(F.sum(F.col("w") * F.col(f"x{k}") * F.col(f"x{k}")).alias(f"q{k}") for k in range(d))
-    )
+    rows = rows.select(g.alias("g"), F.col(outcome).cast("double").alias("y"), w0.cast("double").alias("w"), *(F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)))
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))  # noqa: E731  NaN is above all numbers
+    valid = finite("y") & finite("w") & F.col("y").between(0, 1) & (F.col("w") > 0)
+    for k in range(d):
+        valid &= finite(f"x{k}")
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _newton(kept.select("g").distinct(), kept.where(valid), d, ridge, iterations, monotone, require)
+    finally:
+        kept.unpersist()
+
+
+def _newton(groups: DataFrame, rows: DataFrame, d: int, ridge: float, iterations: int, monotone: bool, require: bool) -> dict:
+    first = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("wy"), *(F.sum(F.col("w") * F.col(f"x{k}")).alias(f"s{k}") for k in range(d)))
+    first = {r["g"]: r for r in first.collect()}  # a row per group
+    few = [r["g"] for r in groups.collect() if r["g"] not in first or first[r["g"]]["n"] <= d + 2]
+    if require and (few or not first):
+        raise ModelFitError(f"too few valid rows: {few}")
+    first = {k: r for k, r in first.items() if k not in few}
+    if not first:
+        return {}
+    rows = rows.where(F.col("g").isin(list(first)))
+    pick = lambda f: F.create_map(*(x for k in first for x in (F.lit(k), F.array(*map(F.lit, f(k))))))[F.col("g")]
+    mean = {k: np.array([r[f"s{j}"] for j in range(d)]) / r["w"] for k, r in first.items()}
+    centred = rows.withColumn("m", pick(lambda k: [float(x) for x in mean[k]] or [0.0]))
+    spread = centred.groupBy("g").agg(*(F.sum(F.col("w") * (F.col(f"x{k}") - F.col("m")[k]) ** 2).alias(f"q{k}") for k in range(d)), F.lit(0).alias("none"))
+    spread = {r["g"]: np.array([r[f"q{k}"] for k in range(d)]) for r in spread.collect()}
     state = {}
-    for r in first.collect():  # a row per group
-        if r["w"] <= 0:
-            raise ModelFitError("weights do not sum to a positive number")
-        mean = np.array([r[f"s{k}"] for k in range(d)]) / r["w"]
-        var = np.array([r[f"q{k}"] for k in range(d)]) / r["w"] - mean**2
+    for k, r in first.items():
+        scale = np.sqrt(np.maximum(spread[k] / r["w"], 1e-12))
         prior = min(max(r["wy"] / r["w"], 1e-6), 1 - 1e-6)
         beta = np.zeros(d + 1)
         beta[0] = np.log(prior / (1 - prior))
-        state[r["g"]] = [mean, np.maximum(np.sqrt(np.maximum(var, 0)), 1e-12), beta, r["n"] / r["w"], False]
+        state[k] = [mean[k], scale, beta, r["n"] / r["w"], False]
     for _ in range(iterations):
         if all(s[4] for s in state.values()):
             break
@@ -97,19 +121,27 @@ def fit_logistic(rows: DataFrame, features: list[str], outcome: str, weight: str
                     hess[i, j] = hess[j, i] = r[f"h{i}_{j}"]
             penalty = np.full(d + 1, ridge)
             penalty[0] = 0.0
-            new = s[2] + np.linalg.solve(hess + np.diag(penalty + 1e-12), grad - penalty * s[2])
+            step = np.linalg.solve(hess + np.diag(penalty), grad - penalty * s[2])
+            new = s[2] + step
             if monotone and d:
                 new[1] = max(new[1], 0.0)
-            s[4] = bool(np.abs(new - s[2]).max() < 1e-10)
+            # Where coefficient 1 is held at 0 the step itself never vanishes, but what it leads to stays.
+            s[4] = bool(min(np.abs(step).max(), np.abs(new - s[2]).max()) < 1e-10)
             s[2] = new
+    if not all(np.isfinite(s[2]).all() for s in state.values()):
+        raise ModelFitError("coefficients are not finite")
     return {k: (s[0], s[1], s[2]) for k, s in state.items()}
 
 
-def predict_logistic(df: DataFrame, features: list[str], fitted: tuple, low: float = 0.0, high: float = 1.0, name: str = "probability_up") -> DataFrame:
-    """Adds the probability as one expression over the features' columns."""
+def logistic_probability(features: list[str], fitted: tuple, low: float = 0.0, high: float = 1.0) -> Column:
+    """The probability as one expression over the features' columns."""
     mean, scale, beta = fitted
     z = sum((F.lit(float(beta[k + 1])) * (F.col(f) - float(mean[k])) / float(scale[k]) for k, f in enumerate(features)), F.lit(float(beta[0])))
-    return df.withColumn(name, F.least(F.greatest(S.sigmoid(z), F.lit(low)), F.lit(high)))
+    return F.least(F.greatest(S.sigmoid(z), F.lit(low)), F.lit(high))
+
+
+def predict_logistic(df: DataFrame, features: list[str], fitted: tuple, low: float = 0.0, high: float = 1.0, name: str = "probability_up") -> DataFrame:
+    return df.withColumn(name, logistic_probability(features, fitted, low, high))
 
 
 def price_features(df: DataFrame) -> DataFrame:

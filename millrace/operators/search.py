@@ -135,8 +135,10 @@ def gates(df: DataFrame, **rules) -> DataFrame:
 
 
 def select_cells(gated: DataFrame, order: list, top: int, near: int, n_gates: int) -> DataFrame:
-    """The top eligible cells; without any, the nearest misses (those with most gates passed)."""
-    ok = gated.where("eligible").orderBy(*order).limit(top).withColumn("kind", F.lit("eligible"))
-    best = gated.where(~F.col("eligible")).agg(F.max("passed").alias("most"))
-    miss = gated.where(~F.col("eligible")).join(F.broadcast(best), F.col("passed") == F.col("most")).drop("most").orderBy(*order).limit(near).withColumn("kind", F.lit("near_miss"))
-    return ok.unionByName(miss)
+    """The top eligible cells, and beside them the nearest misses (those with most gates passed). Cells
+    are a configured grid; they are ranked in one pass, eligible ones apart."""
+    w = Window.partitionBy("eligible")
+    d = gated.withColumn("__near", F.col("passed") == F.max("passed").over(w))
+    d = d.withColumn("__r", F.row_number().over(w.orderBy(F.desc("__near"), *order)))
+    d = d.withColumn("kind", F.when(F.col("eligible"), "eligible").otherwise("near_miss"))
+    return d.where(F.when(F.col("eligible"), F.col("__r") <= top).otherwise(F.col("__near") & (F.col("__r") <= near))).drop("__near", "__r")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import execution, models, search, splits
@@ -61,10 +61,10 @@ def fold_results(spark: SparkSession, sf_dir: str, folds: list[Fold] | None = No
         m = models.lookup_model(train, list(OPEN.edges)).withColumn("fold_id", F.lit(f.fold_id))
         model = m if model is None else model.unionByName(m)
     rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(f.fold_id).alias("fold_id"), F.lit(f.validation_start_s).alias("validation_start_s"), F.lit(f.validation_end_s).alias("validation_end_s")) for f in folds))).alias("f")).select("f.*")
-    d = execution.evaluate(splits.folds(decisions, rows, "market_start_s"), ladder, model, OPEN, model_keys=("fold_id", "bin"))
+    markets = splits.folds(decisions, rows, "market_start_s")
+    d = execution.evaluate(markets, ladder, model, OPEN, model_keys=("fold_id", "bin"))
     d = d.withColumn("stress_pnl", F.when(F.col("filled"), F.col("net_pnl") - 0.01 * F.col("fill_shares")).otherwise(0.0))
-    w = Window.partitionBy("fold_id")
-    return d.withColumn("first_half", F.row_number().over(w.orderBy("market_start_s", "condition_id")) <= F.floor(F.count(F.lit(1)).over(w) / 2))
+    return splits.first_half(d, markets, ["fold_id"], ["market_start_s", "condition_id"])
 
 
 def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

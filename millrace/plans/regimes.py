@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import execution, joins, metrics, models
+from ..operators import execution, joins, metrics, models, splits
 from ..operators.execution import Rules
 from ..sources import views
 from .grid_search import FOLDS, Fold
@@ -43,35 +43,39 @@ def with_features(spark: SparkSession, sf_dir: str, decisions: DataFrame) -> Dat
 
 def forecasts(spark: SparkSession, sf_dir: str, folds: list[Fold] | None = None) -> DataFrame:
     """Long format: each fold's validation markets under each variant, with their result. A market whose
-    forecast is missing counts as an invalid snapshot."""
+    forecast is missing counts as an invalid snapshot. All folds are fitted together, a variant at a time,
+    and all variants evaluated in one plan, so books are walked once."""
+    folds = folds or FOLDS
     ladder = views.depth(spark, sf_dir)
     d = with_features(spark, sf_dir, views.markets(spark, sf_dir).join(views.tops(ladder), "condition_id")).cache()
-    out = None
-    for f in folds or FOLDS:
-        train = d.where((F.col("market_start_s") >= f.train_start_s) & (F.col("market_start_s") < f.train_end_s))
-        test = d.where((F.col("market_start_s") >= f.validation_start_s) & (F.col("market_start_s") < f.validation_end_s))
-        age = (F.lit(f.train_end_s) - F.col("market_start_s")) / DAY
-        labelled = train.where(F.col("snapshot_valid") & F.col("outcome_up").isNotNull()).withColumn("weight", S.recency_weight(age, HALF_LIFE_DAYS))
-        coarse = models.lookup_model(train, list(RULES.edges))
-        fine = S.uniform_edges(40)
-        for name in VARIANTS:
-            if name == "m0":
-                scored = test.withColumn("forecast", F.lit(None).cast("double"))
-                r = execution.evaluate(scored.drop("forecast"), ladder, coarse, RULES)
-            else:
-                if name == "m1":
-                    m = models.lookup_model(train, fine).select(F.col("bin").alias("fine_bin"), F.col("probability_up").alias("forecast"))
-                    scored = test.withColumn("fine_bin", S.state_bin(F.col("mid_up"), fine)).join(F.broadcast(m), "fine_bin", "left").drop("fine_bin")  # a row per bin
-                else:
-                    names, decays = LOGISTIC[name]
-                    fitted = models.fit_logistic(labelled, names, "outcome_up", "weight" if decays else None).get(0)
-                    # Without a complete training row there is no model, and no forecast.
-                    scored = models.predict_logistic(test, names, fitted, *CLIP, name="forecast") if fitted else test.withColumn("forecast", F.lit(None).cast("double"))
-                scored = scored.withColumn("snapshot_valid", F.col("snapshot_valid") & F.col("forecast").isNotNull())
-                r = execution.evaluate(scored, ladder, coarse, RULES, probability=F.col("forecast")).drop("forecast")
-            r = r.withColumns({"fold_id": F.lit(f.fold_id), "variant": F.lit(name)})
-            out = r if out is None else out.unionByName(r)
-    return out
+    windows = spark.createDataFrame([(f.fold_id, f.train_start_s, f.train_end_s, f.validation_start_s, f.validation_end_s) for f in folds], "fold_id int, train_start_s long, train_end_s long, validation_start_s long, validation_end_s long")
+    train, test = (splits.folds(d, windows, "market_start_s", part) for part in ("train", "validation"))
+    ends = F.create_map(*(F.lit(x) for f in folds for x in (f.fold_id, f.train_end_s)))[F.col("fold_id")]
+    labelled = train.where(F.col("snapshot_valid") & F.col("outcome_up").isNotNull()).withColumn("weight", S.recency_weight((ends - F.col("market_start_s")) / DAY, HALF_LIFE_DAYS))
+
+    def lookup(edges: list[float]) -> DataFrame:
+        """A lookup model of each fold: a row per fold and bin."""
+        out = None
+        for f in folds:
+            m = models.lookup_model(train.where(F.col("fold_id") == f.fold_id), edges).withColumn("fold_id", F.lit(f.fold_id))
+            out = m if out is None else out.unionByName(m)
+        return out
+
+    fine = S.uniform_edges(40)
+    bins = lookup(fine).select("fold_id", F.col("bin").alias("fine_bin"), F.col("probability_up").alias("fine_probability"))
+    test = test.withColumn("fine_bin", S.state_bin(F.col("mid_up"), fine)).join(F.broadcast(bins), ["fold_id", "fine_bin"], "left").drop("fine_bin")
+    nothing = F.lit(None).cast("double")
+    forecast = {"m0": nothing, "m1": F.col("fine_probability")}
+    for name, (names, decays) in LOGISTIC.items():
+        # Without enough complete training rows a fold has no model, and no forecast.
+        fitted = models.fit_logistic(labelled, names, "outcome_up", "weight" if decays else None, group="fold_id", require=False)
+        forecast[name] = F.coalesce(nothing, *(F.when(F.col("fold_id") == k, models.logistic_probability(names, f, *CLIP)) for k, f in fitted.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("variant"), forecast[name].alias("forecast")) for name in VARIANTS)))
+    long = test.withColumn("__v", each).select(*(c for c in test.columns if c != "fine_probability"), "__v.*")
+    own = F.col("variant") == "m0"
+    long = long.withColumn("snapshot_valid", F.col("snapshot_valid") & (own | F.col("forecast").isNotNull()))
+    p = F.when(own, F.col("probability_up")).otherwise(F.col("forecast"))
+    return execution.evaluate(long, ladder, lookup(list(RULES.edges)), RULES, probability=p, model_keys=("fold_id", "bin")).drop("forecast")
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,18 +284,28 @@ def cross_source(spark, sf_dir):
     return joins.compare(a, b, ["condition_id"], "v", 0.1)
 
 
-@query("q_set_differences", sql("SELECT * FROM (SELECT user_id, 'subscribe' AS action FROM (SELECT DISTINCT user_id FROM tick WHERE event_type = 'signup' EXCEPT SELECT user_id FROM tick WHERE event_type = 'error') UNION ALL SELECT user_id, 'unsubscribe' FROM (SELECT DISTINCT user_id FROM tick WHERE event_type = 'error' EXCEPT SELECT user_id FROM tick WHERE event_type = 'signup'))", "tick"))
+_OLD, _NEW = (f"SELECT DISTINCT user_id * 1000 + (t // 86400) % 1000 AS key FROM tick WHERE event_type = '{k}'" for k in ("error", "signup"))
+
+
+def _keys(spark, sf_dir, kind: str) -> DataFrame:
+    """User and day of the events of a kind."""
+    day = F.floor(F.col("t") / DAY) % 1000
+    return views.ticks(spark, sf_dir).where(F.col("event_type") == kind).select((F.col("user_id") * 1000 + day).cast("long").alias("key")).distinct()
+
+
+@query("q_set_differences", sql(f"SELECT key, 'subscribe' AS action FROM ({_NEW} EXCEPT {_OLD}) UNION ALL SELECT key, 'unsubscribe' FROM ({_OLD} EXCEPT {_NEW})", "tick"))
 def set_differences(spark, sf_dir):
-    t = views.ticks(spark, sf_dir)
-    of = lambda k: t.where(F.col("event_type") == k).select("user_id").distinct()
-    return feeds.subscription_delta(of("error"), of("signup"), "user_id")
+    return feeds.subscription_delta(_keys(spark, sf_dir, "error"), _keys(spark, sf_dir, "signup"), "key")
 
 
-@query("q_inventory_diff", sql("SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'missing' ELSE 'undeclared' END AS problem FROM (SELECT DISTINCT user_id FROM tick WHERE event_type = 'signup') a FULL JOIN (SELECT DISTINCT user_id FROM tick WHERE event_type = 'purchase') b ON a.user_id = b.user_id WHERE a.user_id IS NULL OR b.user_id IS NULL", "tick"))
+@query("q_inventory_diff", sql(f"SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'missing' ELSE 'undeclared' END AS problem FROM ({_NEW}) a FULL JOIN ({_OLD}) b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL", "tick"))
 def inventory_diff(spark, sf_dir):
-    t = views.ticks(spark, sf_dir)
-    of = lambda k: t.where(F.col("event_type") == k).select("user_id").distinct()
-    return joins.inventory_diff(of("signup"), of("purchase"), "user_id")
+    return joins.inventory_diff(_keys(spark, sf_dir, "signup"), _keys(spark, sf_dir, "error"), "key")
+
+
+@query("q_inventory_common", sql(f"SELECT key FROM ({_OLD} INTERSECT {_NEW})", "tick"))
+def inventory_common(spark, sf_dir):
+    return _keys(spark, sf_dir, "error").intersect(_keys(spark, sf_dir, "signup"))
 
 
 # --- scalars and models ------------------------------------------------------------------------
@@ -608,12 +618,19 @@ def json_levels(spark, sf_dir):
     return x.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
 
 
-@query("q_event_infer", "SELECT CASE event_type WHEN 'signup' THEN 'book' WHEN 'purchase' THEN 'price_change' WHEN 'click' THEN 'tick_size_change' WHEN 'view' THEN 'market_resolved' END AS kind, count(*) AS n FROM events GROUP BY 1")
+#: A message per event: its keys, and its kind by the rules of the feed, in order of precedence.
+_MESSAGES = [
+    ('{"bids":[],"asks":[],"price_changes":[]}', "book"), ('{"bids":[]}', "unknown"), ('{"priceChanges":[]}', "price_change"), ('{"new_tick_size":"0.01"}', "tick_size_change"),
+    ('{"winning_asset_id":"1"}', "market_resolved"), ('{"best_bid":"1","best_ask":"1","spread":"0"}', "best_bid_ask"), ('{"price":"1","side":"BUY"}', "last_trade_price"),
+    ('{"topic":"market","type":"best_bid_ask","payload":{"bids":[],"asks":[]}}', "best_bid_ask"), ('{"topic":"market","payload":{}}', "unknown"), ('{"event_type":"book","price":"1","side":"BUY"}', "book"),
+]
+
+
+@query("q_event_infer", f"SELECT kind, count(*) AS n FROM (SELECT CASE event_id % 10 {' '.join(f'WHEN {k} THEN ' + repr(kind) for k, (_, kind) in enumerate(_MESSAGES))} END AS kind FROM events) GROUP BY 1")
 def event_infer(spark, sf_dir):
-    t = F.col("event_type")
-    key = F.when(t == "signup", "bids").when(t == "purchase", "price_changes").when(t == "click", "tick_size").when(t == "view", "winning_outcome").otherwise("other")
-    m = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit('{"'), key, F.lit('": "1"}')).alias("m"))
-    return m.groupBy(S.event_type(F.col("m")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    m = F.element_at(F.array(*(F.lit(text) for text, _ in _MESSAGES)), (F.col("event_id") % 10 + 1).cast("int"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(m.alias("m"))
+    return e.groupBy(S.event_type(F.col("m")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _TITLE = "concat('Will ', CASE p_size % 6 WHEN 0 THEN 'Bitcoin' WHEN 1 THEN 'ETH' WHEN 2 THEN 'sol' WHEN 3 THEN 'XRP' WHEN 4 THEN 'Solstice' ELSE 'bnb' END, ' rise in ', CASE p_size % 5 WHEN 0 THEN '5m' WHEN 1 THEN '15 min' WHEN 2 THEN '1 hour' WHEN 3 THEN '4h' ELSE 'a day' END)"

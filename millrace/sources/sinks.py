@@ -41,9 +41,33 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     return n
 
 
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def archive_bodies(df: DataFrame, path: str, body: str = "body") -> None:
-    """Bodies by content: each distinct one once, under its SHA-256."""
-    df.withColumn("sha256", F.sha2(F.col(body).cast("binary"), 256)).dropDuplicates(["sha256"]).write.mode("append").parquet(path)
+    """Bodies by content: each distinct one once, under its SHA-256, over all calls."""
+    new = df.withColumn("sha256", F.sha2(F.col(body).cast("binary"), 256)).dropDuplicates(["sha256"])
+    if _exists(df.sparkSession, path):
+        new = new.join(df.sparkSession.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
+    """The table at path with the rows of df in place of those of equal keys. The whole new table is written
+    beside the old one first, then takes its name; readers find one of the two."""
+    spark = df.sparkSession
+    out = df.dropDuplicates(keys)
+    if _exists(spark, path):
+        out = out.unionByName(spark.read.parquet(path).join(df.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    part, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
+    out.write.parquet(part)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.rename(place(path), place(old))
+    files.rename(place(part), place(path))
+    files.delete(place(old), True)
 
 
 def write_json(payload, path: str) -> None:

@@ -49,8 +49,15 @@ def test_times(spark):
 def test_json(spark):
     assert [tuple(x) for x in one(spark, S.levels(F.lit('[["0.40","2"],["0.42","x"]]')))] == [(0.4, 2.0), (0.42, None)]
     assert one(spark, S.json_array(F.lit('["Up","Down"]'))) == ["Up", "Down"]
-    assert one(spark, S.event_type(F.lit('{"payload":{"price_changes":[]}}'))) == "price_change"
-    assert one(spark, S.event_type(F.lit('{"bids":[]}'))) == "book"
+    kinds = {
+        '{"bids":[],"asks":[],"price_changes":[]}': "book", '{"bids":[]}': "unknown", '{"price_changes":null}': "price_change", '{"priceChanges":[]}': "price_change", '{"newTickSize":"0.01"}': "tick_size_change",
+        '{"winningTokenId":"1"}': "market_resolved", '{"best_bid":"1","best_ask":"1","spread":"0"}': "best_bid_ask", '{"best_bid":"1","best_ask":"1"}': "unknown", '{"price":"1","side":"BUY"}': "last_trade_price",
+        '{"event_type":"","price":"1","side":"BUY"}': "last_trade_price", '{"event_type":"book","price":"1"}': "book", '{"topic":"market","type":"book","payload":{"price_changes":[]}}': "book",
+        '{"topic":"market","payload":{"bids":[],"asks":[]}}': "unknown", '{"topic":"other","type":"book","payload":{}}': "unknown", '{"topic":"market","type":"book","payload":[1]}': "unknown",
+    }
+    for message, kind in kinds.items():
+        assert one(spark, S.event_type(F.lit(message))) == kind, message
+    assert one(spark, S.fee_per_share(F.lit(0.5), 0.25, F.lit(2.0))) == 0.015625
     assert one(spark, S.alias(F.lit('{"tokenId":"7"}'), "asset_id", "tokenId")) == "7"
     assert one(spark, S.number(F.lit("nan"))) == 0.0 and one(spark, S.number(F.lit("x"), None)) is None
 
