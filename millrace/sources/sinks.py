@@ -58,14 +58,15 @@ def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
     """The table at path with the rows of df in place of those of equal keys. The whole new table is written
     beside the old one first, then takes its name; readers find one of the two."""
     spark = df.sparkSession
-    out = df.dropDuplicates(keys)
-    if _exists(spark, path):
+    out, there = df.dropDuplicates(keys), _exists(spark, path)
+    if there:
         out = out.unionByName(spark.read.parquet(path).join(df.select(*keys), keys, "left_anti"), allowMissingColumns=True)
     part, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
     out.write.parquet(part)
     place = spark._jvm.org.apache.hadoop.fs.Path
     files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.rename(place(path), place(old))
+    if there:
+        files.rename(place(path), place(old))
     files.rename(place(part), place(path))
     files.delete(place(old), True)
 

@@ -14,33 +14,47 @@ EDGES = (0.0, 0.5, 1.000001)
 QUOTES = "condition_id string, market_start_s long, outcome_up double, previous_mid_up double, mid_up double, mid_down double, bid_up double, bid_down double, ask_up double, ask_down double, snapshot_valid boolean"
 
 
-def batch(spark, outcomes=(1.0, 1.0, 0.0, 0.0)):
-    bids = [(0.38, 0.58), (0.39, 0.57), (0.58, 0.38), (0.57, 0.39)]
-    rows = [("abcd"[k], k, y, p, u + 0.01, d + 0.01, u, d, u + 0.02, d + 0.02, True) for k, ((u, d), y, p) in enumerate(zip(bids, outcomes, (0.39, 0.40, 0.59, 0.58), strict=True))]
-    levels = [[(0.40, 0.42), (0.60, 0.62)], [(0.41, 0.43), (0.59, 0.61)], [(0.60, 0.62), (0.40, 0.42)], [(0.59, 0.61), (0.41, 0.43)]]
-    depth = [("abcd"[k], s, p, 10.0) for k in range(4) for s in range(2) for p in levels[k][s]]
+#: Three markets: bid of Up and Down, previous mid, asks of Up as (price, size).
+MARKETS = {"a": (0.24, 0.71, 0.26, [(0.30, 8.0), (0.36, 50.0)]), "b": (0.27, 0.69, 0.28, [(0.31, 4.0), (0.33, 90.0)]), "c": (0.70, 0.26, 0.69, [(0.74, 30.0)])}
+
+
+def batch(spark, outcomes=(1.0, 1.0, 0.0)):
+    rows, depth = [], []
+    for k, ((name, (up, down, before, asks)), outcome) in enumerate(zip(MARKETS.items(), outcomes, strict=True)):
+        rows.append((name, k, outcome, before, up + 0.01, down + 0.01, up, down, up + 0.02, down + 0.02, True))
+        depth += [(name, 0, p, n) for p, n in asks] + [(name, 1, down + 0.02, 25.0)]
     return spark.createDataFrame(rows, QUOTES), spark.createDataFrame(depth, "condition_id string, side int, price double, size double")
 
 
-RULES = Rules(edges=EDGES, target=5.0)
+RULES = Rules(edges=EDGES, target=6.0)
 
 
 def test_walk_fee_and_settlement(spark):
     quotes, depth = batch(spark)
     model = models.lookup_model(quotes, list(EDGES), 1.0, 1.0)
-    r = execution.evaluate(quotes.where("condition_id = 'a'"), depth, model, RULES).first()
-    shares = 10 + 1 / 0.42
-    fee = round(10 * 0.07 * 0.4 * 0.6, 5) + round(1 / 0.42 * 0.07 * 0.42 * 0.58, 5)
-    assert r["filled"] and r["side"] == 0 and r["fill_shares"] == pytest.approx(shares) and r["fill_cost"] == pytest.approx(5.0)
-    assert r["platform_fee"] == pytest.approx(fee) and r["net_pnl"] == pytest.approx(shares - 5 - fee - 0.01 * shares)
-    capped = execution.evaluate(quotes.where("condition_id = 'a'"), depth, model, RULES.but(maximum_ask=0.41)).first()
-    assert capped["fill_shares"] == pytest.approx(10.0) and capped["fill_cost"] == pytest.approx(4.0)
+    a = quotes.where("condition_id = 'a'")
+    r = execution.evaluate(a, depth, model, RULES).first()
+    # 8 shares at 0.30 cost 2.4; the other 3.6 buy 10 at 0.36. Fees: 8 * .07 * .3 * .7 and 10 * .07 * .36 * .64.
+    fee = 0.1176 + 0.16128
+    assert r["filled"] and r["side"] == 0 and r["fill_shares"] == pytest.approx(18) and r["fill_cost"] == pytest.approx(6.0)
+    assert r["platform_fee"] == pytest.approx(fee) and r["net_pnl"] == pytest.approx(18 - 6 - fee - 0.18)
+    capped = execution.evaluate(a, depth, model, RULES.but(maximum_ask=0.35)).first()
+    assert capped["fill_shares"] == pytest.approx(8.0) and capped["fill_cost"] == pytest.approx(2.4)
+
+
+def test_each_market_pays_its_own_fee(spark):
+    quotes, depth = batch(spark)
+    model = models.lookup_model(quotes, list(EDGES), 1.0, 1.0)
+    rate = F.when(F.col("condition_id") == "a", 0.0).when(F.col("condition_id") == "b", 0.14)
+    got = {r["condition_id"]: r["platform_fee"] for r in execution.evaluate(quotes.withColumn("fee_rate", rate), depth, model, RULES).collect() if r["filled"]}
+    # b: 4 at 0.31 cost 1.24, 4.76 / 0.33 shares more, at twice the usual rate.
+    assert got["a"] == 0.0 and got["b"] == pytest.approx(round(4 * 0.14 * 0.31 * 0.69, 5) + round(4.76 / 0.33 * 0.14 * 0.33 * 0.67, 5))
 
 
 def test_future_outcome_does_not_change_a_decision(spark):
     quotes, depth = batch(spark)
     model = models.lookup_model(quotes, list(EDGES), 1.0, 1.0)
-    other, _ = batch(spark, (0.0, 0.0, 1.0, 1.0))
+    other, _ = batch(spark, (0.0, 0.0, 1.0))
     pick = lambda q: [tuple(x) for x in execution.evaluate(q, depth, model, RULES).orderBy("condition_id").select("side", "status", "fill_shares").collect()]
     assert pick(quotes) == pick(other)
 
