@@ -6,8 +6,8 @@ log-likelihood ratio of a token is the sum over its character pairs. The models
 labelled sample (columns token, is_secret); `labelled_sample` makes one by rule, natively.
 
 Positions come from splitting a text at a pattern: the lengths of the gaps and of the matches, in
-turn, add up to each match's place, which is one pass each for gaps and matches; the arrays grow by
-copying, so a very long text takes time with the square of its number of matches (20 s for 20,000).
+turn, add up to each match's place. Every pass over a text or its matches is linear, so a very long
+text takes time in proportion to its length and its number of matches.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned each; only the
 named columns are kept, so none can clash; an empty table gives an empty table.
@@ -29,6 +29,10 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
+#: Numbers that running totals take at once, and characters of a piece of a text to mask.
+BLOCK, PIECE = 64, 1024
+MARKOV_RANK = 3
+
 #: Tokens that the models look at: this many characters or more, of two kinds at least among lower-case
 #: letters, upper-case letters and digits.
 CANDIDATE = r"[A-Za-z0-9+/_=-]+"
@@ -76,19 +80,49 @@ def train(sample: DataFrame, even: float = 0.2) -> list[float]:
     return [math.log(chance(True, a, b)) - math.log(chance(False, a, b)) for a in range(k) for b in range(k)]
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), where value is evaluated once however often use looks at it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, op) -> Column:
+    """Running totals of numbers of 0 or more under op (a sum or a maximum). An array that grows in an
+    aggregate is copied at each step, so totals run within blocks of BLOCK, from the totals before them."""
+
+    def plain(a: Column, first: Column) -> Column:
+        return F.slice(F.aggregate(a, F.array(first), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v)))), F.lit(2), F.size(a))
+
+    def over(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), op))
+        return _with(plain(sums, F.lit(0)), lambda upto: F.flatten(F.transform(blocks, lambda b, i: plain(b, F.coalesce(F.get(upto, i - 1), F.lit(0))))))
+
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda i: F.slice(a, i * BLOCK + 1, F.lit(BLOCK)))
+    return _with(values, lambda a: F.when(F.size(a) > 0, _with(cut(a), over)).otherwise(a))
+
+
 def _ends(text: Column, pattern: str, matches: Column) -> Column:
     """Array of (start, end) in code points of each match of pattern; end exclusive."""
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
     steps = F.zip_with(gaps, matches, lambda g, m: F.struct(F.coalesce(F.length(g), F.lit(0)).alias("gap"), F.length(m).alias("size")))
-    empty = F.array(start).cast("array<struct<start:int,end:int>>")
-    run = F.aggregate(
-        F.filter(steps, lambda s: s["size"].isNotNull()),
-        empty,
-        lambda acc, s: F.concat(acc, F.array(F.struct((F.element_at(acc, -1)["end"] + s["gap"]).alias("start"), (F.element_at(acc, -1)["end"] + s["gap"] + s["size"]).alias("end")))),
-        lambda acc: F.slice(acc, 2, F.greatest(F.size(acc) - 1, F.lit(0))),
-    )
-    return run
+
+    def placed(found: Column) -> Column:
+        ends = _running(F.transform(found, lambda s: s["gap"] + s["size"]), lambda a, b: a + b)
+        return F.zip_with(found, ends, lambda s, e: F.struct((e - s["size"]).alias("start"), e.alias("end")))
+
+    return _with(F.filter(steps, lambda s: s["size"].isNotNull()), placed)
+
+
+def _outside(spans: Column) -> Column:
+    """Spans in order without those of the models that lie inside a base span: the furthest end of the
+    base spans that start no later tells."""
+    base = lambda s: s["rank"] < MARKOV_RANK
+
+    def kept(all_: Column) -> Column:
+        reach = _running(F.transform(all_, lambda s: F.when(base(s), s["end"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+        seen = F.zip_with(all_, reach, lambda s, e: F.struct(s.alias("span"), (base(s) | (s["end"] > e)).alias("keep")))
+        return F.transform(F.filter(seen, lambda x: x["keep"]), lambda x: x["span"])
+
+    return _with(spans, kept)
 
 
 def _kind(spans: Column, kind: str, rank: int) -> Column:
@@ -138,25 +172,30 @@ def scan(df: DataFrame, model: list[float], threshold: float = THRESHOLD, text_c
     scored = F.zip_with("__at", "__hits", lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(t).alias("size"), F.when(kinds(t) >= 2, ratio(t)).alias("llr")))
     base = F.array_sort(F.concat(_kind(F.col("__assign"), "assign", 0), _kind(F.col("__access"), "access", 1), _kind(F.col("__hex"), "hex", 2)))
     d = d.withColumn("base", base)
-    markov = F.filter(scored, lambda s: (s["llr"] > F.greatest(threshold * (s["size"] - 1), F.lit(EVIDENCE))) & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    d = d.withColumn("markov", _kind(F.transform(markov, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), "markov", 3))
-    return d.withColumn("spans", F.array_sort(F.concat("base", "markov"))).drop("__assign", "__access", "__hex", "__hits", "__at")
+    likely = F.filter(scored, lambda s: s["llr"] > F.greatest(threshold * (s["size"] - 1), F.lit(EVIDENCE)))
+    spans = _outside(F.array_sort(F.concat("base", _kind(likely, "markov", MARKOV_RANK))))
+    d = d.withColumn("spans", spans).withColumn("markov", F.filter("spans", lambda s: s["rank"] == MARKOV_RANK))
+    return d.drop("__assign", "__access", "__hex", "__hits", "__at")
 
 
 def redact(df: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """df of `scan` with every span of its texts replaced by mask; overlapping spans become one mask."""
     text = F.col(text_col)
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("end"))
-    run = F.aggregate(
-        "spans",
-        start,
-        lambda acc, s: F.when(s["start"] >= acc["end"], F.struct(F.concat(acc["done"], F.substring(text, acc["end"] + 1, s["start"] - acc["end"]), F.lit(mask)).alias("done"), s["end"].alias("end"))).otherwise(
-            F.struct(acc["done"].alias("done"), F.greatest(acc["end"], s["end"]).alias("end"))
-        ),
-    )
-    d = df.withColumn("__run", F.when(F.size("spans") > 0, run))
-    tail = F.concat(F.col("__run.done"), F.substring(text, F.col("__run.end") + 1, F.length(text)))
-    return d.withColumn(text_col, F.coalesce(tail, text)).drop("__run")
+    masked = F.size("spans") > 0
+    reach = _running(F.transform("spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    # Each mask with the text before it, which is looked up in pieces of PIECE characters.
+    before = _with(reach, lambda e: F.transform("spans", lambda s, i: F.struct(F.coalesce(F.get(e, i - 1), F.lit(0)).alias("from"), s["start"].alias("to"))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1))
+
+    def part(p: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        near = F.slice(p, first + 1, F.floor(b / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(near, ""), a - first * PIECE + 1, b - a)
+
+    parts = _with(pieces, lambda p: F.transform(F.filter(before, lambda x: x["from"] <= x["to"]), lambda x: F.concat(part(p, x["from"], x["to"]), F.lit(mask))))
+    end = F.array_max(F.transform("spans", lambda s: s["end"]))
+    done = F.concat(F.array_join(parts, ""), F.substring(text, end + 1, F.length(text)))
+    return df.withColumn(text_col, F.when(masked, done).otherwise(text))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
