@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240607)
@@ -91,6 +92,18 @@ def chunks(off: np.ndarray, size: int = 1 << 18):
         i = j
 
 
+def parts_of_batch(b: pa.RecordBatch, column: str, size: int):
+    """Slices of a batch whose texts have about size bytes together; a longer text is one alone."""
+    at = b.schema.get_field_index(column)
+    cell = b.column(at)
+    ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(cell).to_numpy(zero_copy_only=False))) if len(b) else np.zeros(0)
+    i = 0
+    while i < len(b):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
 #: Separators where punctuation counts as such too: all ASCII but letters and digits.
 NOT_LETTER = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, katz, media, packing, quality, secrets, sentence, suffix, toxicity
+from . import fingerprint, jaccard, katz, media, packing, phrases, quality, resampling, secrets, sentence, suffix, toxicity
 
 QUERIES = {
     "op1_suffix": suffix.op1_suffix,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_packing": packing.op10_packing,
+    "op11_phrases": phrases.op11_phrases,
+    "op13_resampling": resampling.op13_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_jaccard": jaccard.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_jaccard": jaccard.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op13_resampling": resampling.ORACLE_SQL}
