@@ -1,13 +1,15 @@
 """Phrase collocation mining: suffix arrays over word ids, one per shard, whose common-prefix intervals
 give the counts of all n-grams; counts are merged by (lang, phrase).
 
-1. A task gathers texts up to SHARD bytes and numbers their (lang, word) pairs exactly. A separator
-   stands after each piece, so no phrase crosses a piece, a document or a language.
+1. A task gathers texts up to SHARD bytes and numbers their (lang, word) pairs exactly. No phrase crosses
+   a piece, a document or a language: a separator stands after each piece.
 2. Prefix doubling (rank of a run of 2k words = rank of the pair of its halves' ranks) sorts the
-   suffixes as deep as the longest phrase. The ranks of all depths give the common prefixes of neighbours in
+   suffixes as deep as the phrase. The ranks of all depths give the common prefixes of neighbours in
    the suffix array; each maximal interval whose prefixes share n words is one n-gram, its length the count.
-3. Counts are summed by (lang, phrase), first within each task. Only phrases of least_count and more stay:
-   all parts of a candidate are as frequent as it is at least.
+3. Counts are merged by (lang, phrase), level by level: words, then pairs of frequent words, then triples of
+   frequent pairs, as all parts of a phrase are as frequent as it is at least. What is frequent one level below
+   is known to the shards from a bit filter of FILTER_BITS bits, which never misses a frequent phrase: it only
+   leaves out others, so counts are exact at any size, and its size is the same for any input.
 4. Candidates meet the counts of their parts by joins on (lang, part); longer candidates give each
    contained phrase the largest count of its containers; scores are exact decimals.
 5. The first rows of a language are ranked within SALTS parts of it, then among the parts' first rows.
@@ -20,6 +22,8 @@ table; other columns are dropped, so none can clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,10 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import documents, dropped, released, stored
+from .base import documents, groups_for, released, stored, text_bytes
 
 #: Bytes of text that one suffix array spans, and words at most of a longer text.
-SHARD, SHARD_WORDS = 12 << 20, 2_000_000
+SHARD, SHARD_WORDS = 4 << 20, 1_000_000
+#: Bits of the filter of a level: 4 MB; bytes of text for each partition that counts are merged in.
+FILTER_BITS, MERGE_BYTES = 1 << 25, 4 << 20
 #: Parts of a language that are ranked apart first.
 SALTS = 64
 UNKNOWN = "und"
@@ -83,32 +89,107 @@ def common(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: int) ->
     return np.minimum(got, most)
 
 
-def intervals(ids: np.ndarray, last: np.ndarray, own: int, most: int):
-    """Yields (n, place of one occurrence, count) of all n-grams, n = 1 .. most, of a sequence of word ids
-    (1 and up) that ends a piece after each `last`; occurrences from place `own` on aren't counted."""
+def intervals(ids: np.ndarray, last: np.ndarray, own: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one occurrence, count) of all n-grams of a sequence of word ids (1 and up) that ends a piece
+    after each `last`; occurrences from place `own` on aren't counted."""
     if not own:
-        return
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # A separator after each piece: place of each word among words and separators.
     place = np.arange(len(ids)) + np.concatenate([[0], np.cumsum(last[:-1])])
     line = np.zeros(int(place[-1]) + 2, np.int64)
     line[place] = ids
     ends = np.flatnonzero(line == 0)
-    left = np.minimum(ends[np.searchsorted(ends, place)] - place, most)  # words up to the piece's end
-    ranks = doubled(line, most)
+    left = np.minimum(ends[np.searchsorted(ends, place)] - place, n)  # words up to the piece's end
+    ranks = doubled(line, n)
     order = np.argsort(ranks[-1][place[:own]], kind="stable")
     at = place[:own][order]
     left = left[:own][order]
     share = np.zeros(len(at), np.int64)
-    share[1:] = np.minimum(common(ranks, at[:-1], at[1:], most), np.minimum(left[:-1], left[1:]))
-    for n in range(1, most + 1):
-        start = np.flatnonzero(share < n)
-        count = np.diff(start, append=len(at))
-        whole = left[start] >= n
-        yield n, order[start[whole]], count[whole]
+    share[1:] = np.minimum(common(ranks, at[:-1], at[1:], n), np.minimum(left[:-1], left[1:]))
+    start = np.flatnonzero(share < n)
+    count = np.diff(start, append=len(at))
+    whole = left[start] == n
+    return order[start[whole]], count[whole]
+
+
+def bits_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Two bits of a filter of size bits for each hash."""
+    return np.concatenate([h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size)]).astype(np.int64).reshape(2, -1)
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = bits_of(h, 64 * len(bits))
+    return ((bits[a >> 6] >> (a & 63).astype(np.uint64)) & (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
-def _count(most: int):
-    """Rows (lang, phrase, size, n) of shards; size 0: all words of a language."""
+def hash_strings(a: pa.Array) -> np.ndarray:
+    data, off = H.buffers(a)
+    return H.span_hash(H.prefix(data), off[:-1], off[1:])
+
+
+def run_hash(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words (given by their hashes) that start at each place but the last n - 1."""
+    size = max(0, len(h) - n + 1)
+    out = h[:size].copy()
+    for k in range(1, n):
+        out = H.mix(out * np.uint64(H.BASE) + h[k : k + size])
+    return out
+
+
+def _bits(size: int):
+    """(cell, mask) of the filter of (lang, phrase) rows."""
+
+    @released
+    def run(batches):
+        for b in batches:
+            word = pc.split_pattern(b.column("phrase"), " ")
+            n = len(word[0]) if len(b) else 0  # all phrases of a level have as many words
+            h = hash_strings(word.flatten()) if n else np.zeros(0, np.uint64)
+            lang = np.repeat(hash_strings(b.column("lang")), n)
+            at = bits_of(run_hash_rows(H.mix(h ^ lang).reshape(len(b), n)) if n else h, size).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["cell", "mask"])
+
+    return run
+
+
+def run_hash_rows(h: np.ndarray) -> np.ndarray:
+    out = h[:, 0].copy()
+    for k in range(1, h.shape[1]):
+        out = H.mix(out * np.uint64(H.BASE) + h[:, k])
+    return out
+
+
+def bit_filter(frequent: DataFrame) -> np.ndarray:
+    """The filter of (lang, phrase): at most FILTER_BITS / 64 rows come to the driver, whatever the input."""
+    rows = frequent.select("lang", "phrase").mapInArrow(_bits(FILTER_BITS), "cell int, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[rows.column("cell").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
+    return bits
+
+
+def possible(h: np.ndarray, last: np.ndarray, n: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places to keep of words (by hash), and which of them end a piece then, so that every run of n words within a
+    piece whose parts of n - 1 words both pass the filter stays whole."""
+    size = len(h)
+    inside = np.zeros(size + 1, bool)  # a run of n - 1 words starts here, within a piece, and passes
+    run = run_hash(h, n - 1)
+    inside[: len(run)] = passes(bits, run)
+    for k in range(n - 2):
+        inside[: len(run)] &= ~last[k : k + len(run)]
+    start = np.flatnonzero(inside[:-1] & inside[1:] & ~last)  # and one starts after it
+    if n > 2:
+        start = start[~last[start]]
+    keep, tied = np.zeros(size + n, bool), np.zeros(size + n, bool)
+    for k in range(n):
+        keep[start + k] = True
+        if k < n - 1:
+            tied[start + k] = True
+    at = np.flatnonzero(keep[:size])
+    return at, ~tied[at]
+
+
+def _count(n: int, bits: np.ndarray | None):
+    """Rows (lang, phrase, n) of n-grams of shards; at n = 1 also (lang, '', n): all words of a language."""
 
     @released
     def run(batches):
@@ -121,23 +202,28 @@ def _count(most: int):
             words, text, last = tokens(data, off)
             if not len(words):
                 return
-            word = words.dictionary_encode()
             codes = lang.indices.to_numpy()[text].astype(np.int64)
-            pair = codes * len(word.dictionary) + word.indices.to_numpy()
-            names, pair = np.unique(pair, return_inverse=True)
-            word_of, lang_of = pa.array(names % len(word.dictionary)), names // len(word.dictionary)
-            spelled = word.dictionary.take(word_of)
-            yield pa.RecordBatch.from_arrays([lang.dictionary.cast(pa.string()), pa.array([""] * len(lang.dictionary)), pa.array(np.zeros(len(lang.dictionary), np.int32)), pa.array(np.bincount(codes, minlength=len(lang.dictionary)))], names=["lang", "phrase", "size", "n"])
+            word = words.dictionary_encode()
+            index = word.indices.to_numpy()
+            del words, text, data
+            if n == 1:
+                total = np.bincount(codes, minlength=len(lang.dictionary))
+                yield pa.RecordBatch.from_arrays([lang.dictionary.cast(pa.string()), pa.array([""] * len(total)), pa.array(total)], names=["lang", "phrase", "n"])
+            else:
+                h = H.mix(hash_strings(word.dictionary)[index] ^ hash_strings(lang.dictionary)[codes])
+                at, last = possible(h, last, n, bits)
+                codes, index = codes[at], index[at]
+            pair = codes * len(word.dictionary) + index + 1
             for lo in range(0, len(pair), SHARD_WORDS):
                 hi = min(len(pair), lo + SHARD_WORDS)
-                to = min(len(pair), hi + most - 1)  # looked at for runs that start before hi
-                for n, at, count in intervals(pair[lo:to] + 1, last[lo:to], hi - lo, most):
-                    for part in range(0, len(at), 100_000):
-                        i = at[part : part + 100_000] + lo
-                        phrase = spelled.take(pa.array(pair[i]))
-                        for k in range(1, n):
-                            phrase = pc.binary_join_element_wise(phrase, spelled.take(pa.array(pair[i + k])), " ")
-                        yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(lang_of[pair[i]])).cast(pa.string()), phrase, pa.array(np.full(len(i), n, np.int32)), pa.array(count[part : part + 100_000])], names=["lang", "phrase", "size", "n"])
+                to = min(len(pair), hi + n - 1)  # looked at for runs that start before hi
+                at, count = intervals(pair[lo:to], last[lo:to], hi - lo, n)
+                for part in range(0, len(at), 100_000):
+                    i = at[part : part + 100_000] + lo
+                    phrase = word.dictionary.take(pa.array(index[i]))
+                    for k in range(1, n):
+                        phrase = pc.binary_join_element_wise(phrase, word.dictionary.take(pa.array(index[i + k])), " ")
+                    yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(codes[i])).cast(pa.string()), phrase, pa.array(count[part : part + 100_000])], names=["lang", "phrase", "n"])
 
         for b in batches:
             for part in H.parts_of_batch(b, "text", SHARD):
@@ -155,10 +241,18 @@ def _count(most: int):
 def counts(docs: DataFrame, most: int, least_count: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of phrases of 1 to most words and least_count occurrences, and (lang, n)."""
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text")).where("text is not null and text <> ''")
-    found = rows.mapInArrow(_count(most), "lang string, phrase string, size int, n long")
-    merged = found.groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.sum("n").alias("f"))
-    table = stored(merged.where((F.col("size") == 0) | (F.col("f") >= least_count)), "phrases")
-    return table, table.where("size = 0").select("lang", F.col("f").alias("n"))
+    parts = groups_for(text_bytes(rows), MERGE_BYTES)
+    levels, bits, total = [], None, None
+    for n in range(1, most + 1):
+        found = rows.mapInArrow(_count(n, bits), "lang string, phrase string, n long").repartition(parts, "lang", "phrase")
+        merged = stored(found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("phrase") == "") | (F.col("f") >= least_count)), "phrases")
+        if n == 1:
+            total = merged.where("phrase = ''").select("lang", F.col("f").alias("n"))
+            merged = merged.where("phrase <> ''")
+        levels.append(merged.select("lang", "phrase", F.lit(n).alias("size"), "f"))
+        if n < most:
+            bits = bit_filter(merged)
+    return reduce(DataFrame.unionByName, levels), total
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -174,10 +268,9 @@ def _part(words: Column, start, length) -> Column:
 def mine(docs: DataFrame, least: int = 2, most: int = 3, least_count: int = 10, percent: int = 50, first: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of (lang, text)."""
     table, total = counts(docs, most, least_count)
-    f = table.where("size > 0")
     word = F.split("phrase", " ", -1)
-    candidate = f.where(F.col("size") >= least).select("lang", "phrase", "size", F.col("f").alias("a"))
-    parts = f.where(F.col("size") < most)
+    candidate = table.where(F.col("size") >= least).select("lang", "phrase", "size", F.col("f").alias("a"))
+    parts = table.where(F.col("size") < most)
     cuts = candidate.select("lang", "phrase", "size", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _part(word, F.lit(1), F.col("k")).alias("head"), _part(word, F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
     side = lambda name, count: parts.select("lang", F.col("phrase").alias(name), F.col("f").alias(count))

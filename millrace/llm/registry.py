@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, katz, media, packing, phrases, quality, resampling, secrets, sentence, suffix, toxicity
+from . import fingerprint, jaccard, katz, media, neighbours, packing, phrases, quality, resampling, secrets, sentence, suffix, toxicity
 
 QUERIES = {
     "op1_suffix": suffix.op1_suffix,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_packing": packing.op10_packing,
     "op11_phrases": phrases.op11_phrases,
+    "op12_neighbours": neighbours.op12_neighbours,
     "op13_resampling": resampling.op13_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_jaccard": jaccard.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op13_resampling": resampling.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_jaccard": jaccard.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_neighbours": neighbours.ORACLE_SQL, "op13_resampling": resampling.ORACLE_SQL}

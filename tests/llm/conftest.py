@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, size long, label string, base string, entity string, score string, doc string"
@@ -24,12 +25,32 @@ def hard_rows() -> list[tuple]:
     return [(*x, *["clash"] * 1, 7, *["clash"] * 5) for x in rows]
 
 
+def passage_of(rows: list[tuple]) -> str:
+    return rows[3][1]
+
+
+def hard_vectors() -> list[tuple]:
+    """Unlike vectors, groups of near and exact copies, unusable ones, other lengths, repeated rows, null ids."""
+    r = np.random.default_rng(4)
+    base = r.standard_normal((60, 16))
+    near = [base[k] + r.standard_normal(16) * s for k in range(6) for s in (0.05, 0.1, 0.2, 0.3) for _ in range(4)]
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate([*base, *near])]
+    n = len(rows)
+    rows += [(n + k, rows[0][1]) for k in range(5)] + [(n + 5, [2 * x for x in rows[0][1]]), rows[3], rows[3], (None, rows[1][1]), (None, None)]
+    rows += [(n + 10, None), (n + 11, []), (n + 12, [0.0] * 16), (n + 13, [1.0] * 15 + [None]), (n + 14, [float("nan")] + [1.0] * 15), (n + 15, [float("inf")] + [1.0] * 15)]
+    rows += [(n + 20 + k, [float(x) for x in r.standard_normal(d)]) for k, d in enumerate([1, 1, 1, 2, 2, 2, 3, 3, 3, 5, 17])]
+    rows += [(n + 40, [1e30] * 16), (n + 41, [1e-30] * 16)]
+    return [(*x, 1, 7, 9) for x in rows]
+
+
 @pytest.fixture(scope="session")
 def hard(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("hard"))
     spark.createDataFrame(hard_rows(), SCHEMA).repartition(3).write.parquet(f"{at}/documents.parquet")
     labels = [(k, int(k % 4 > 0), int(k % 5 == 0)) for k in range(40)] + [(None, 1, 0), (3, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(0, "one two three"), (1, None), (2, ""), (3, passage_of(hard_rows()))], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame(hard_vectors(), "vec_id long, embedding array<float>, label int, entity long, copies int").repartition(3).write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
@@ -38,4 +59,6 @@ def empty(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at
