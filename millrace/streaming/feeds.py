@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.book import FOLDED, Book
 
@@ -61,21 +62,28 @@ def batch_health(events: DataFrame, by: str = "kind") -> DataFrame:
     return d.groupBy(by).agg(F.count(F.lit(1)).alias("messages"), F.max("gap").alias("largest_gap"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-def drain(stream: DataFrame, mode: str, keep: str) -> DataFrame:
-    """Runs a stream over all that is there and reads the sink back: the table in the shared folder
-    holds each micro-batch's rows with its number."""
+def sunk(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over all that is there and reads the sink back: a table in the shared folder that
+    holds each micro-batch's rows with its number (epoch). A batch that is repeated after a failure
+    replaces its own folder, so its rows are there once."""
     spark = stream.sparkSession
     at = f"{_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(df: DataFrame, epoch: int) -> None:
-        df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{at}/rows")
+        df.write.mode("overwrite").parquet(f"{at}/rows/epoch={epoch}")
 
     q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").foreachBatch(put).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    rows = spark.read.parquet(f"{at}/rows")
+    schema = StructType([*stream.schema, StructField("epoch", IntegerType())])
+    return spark.read.schema(schema).option("basePath", f"{at}/rows").parquet(f"{at}/rows") if _is_dir(spark, f"{at}/rows") else spark.createDataFrame([], schema)
+
+
+def drain(stream: DataFrame, mode: str, keep: str) -> DataFrame:
+    """The last row of each key of a stream that is run over all that is there."""
+    rows = sunk(stream, mode)
     last = rows.groupBy(keep).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (keep, "epoch")]), "epoch").alias("r"))
     return last.select(keep, "r.*")
 
@@ -103,7 +111,8 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) ->
 def _is_dir(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
 def subscription_window(markets: DataFrame, now: int, before: int = 30, after: int = 60) -> DataFrame:
