@@ -7,6 +7,8 @@ a batch are hashed at once.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -17,12 +19,14 @@ VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 #: Upper-case A-Z hash as lower-case.
 VALUE_LOWER = VALUE.copy()
 VALUE_LOWER[65:91] = VALUE[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Separators of words: space and bytes 9 to 13.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-#: Bytes of a long text that are hashed together.
-BLOCK = 1 << 18
+#: Bytes of a long text that are hashed together; more where distinct words count.
+BLOCK, WIDE = 1 << 18, 1 << 20
 
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
@@ -126,30 +130,53 @@ def word_spans(b: np.ndarray, cut: np.ndarray, between: np.ndarray = IS_SPACE) -
     return np.flatnonzero(first & word), np.flatnonzero(last & word) + 1
 
 
-def words(data: np.ndarray, off: np.ndarray, value: np.ndarray = VALUE_LOWER, between: np.ndarray = IS_SPACE):
+def spelled(b: np.ndarray, start: np.ndarray, end: np.ndarray, kind: pa.DataType = pa.binary()) -> pa.Array:
+    """The words between starts and ends, in order and apart, with A-Z lowered."""
+    edge = np.zeros(len(b) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    low = LOWER[b[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]]
+    off = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(off), pa.py_buffer(low)])
+
+
+def digests(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2 of each word: no words are known that share them. The polynomial hashes above are
+    linear in the bytes, so that long words can be made to agree; they serve where that costs nothing but
+    a candidate or a feature. Each distinct word is hashed once."""
+    word = spelled(b, start, end).dictionary_encode()
+    each = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in word.dictionary.to_pylist()])
+    return np.frombuffer(each, np.uint64)[word.indices.to_numpy()]
+
+
+def polynomial(value: np.ndarray):
+    return lambda b, start, end: span_hash(prefix(b, value), start, end)
+
+
+def words(data: np.ndarray, off: np.ndarray, hashed=polynomial(VALUE_LOWER), between: np.ndarray = IS_SPACE, block: int = BLOCK):
     """Yields (first text, last text + 1, word hashes, words up to each text) for runs of texts. A text
-    of more than BLOCK bytes is hashed in blocks that end between words."""
-    for i, j in chunks(off):
-        if j == i + 1 and off[j] - off[i] > 2 * BLOCK:
+    of more than two blocks is hashed in blocks that end between words. hashed: (bytes, starts, ends) to hashes."""
+    for i, j in chunks(off, block):
+        if j == i + 1 and off[j] - off[i] > 2 * block:
             b, at, h = data[off[i] : off[j]], 0, []
             while at < len(b):
-                to = min(len(b), at + BLOCK)
+                to = min(len(b), at + block)
                 while to < len(b):  # no separator in a block: the word goes on
-                    gap = np.flatnonzero(between[b[to : to + BLOCK]])
-                    to = min(len(b), to + (int(gap[0]) if len(gap) else BLOCK))
+                    gap = np.flatnonzero(between[b[to : to + block]])
+                    to = min(len(b), to + (int(gap[0]) if len(gap) else block))
                     if len(gap):
                         break
                 part = b[at:to]
                 start, end = word_spans(part, np.array([0, len(part)]), between)
                 if len(start):
-                    h.append(span_hash(prefix(part, value), start, end))
+                    h.append(hashed(part, start, end))
                 at = to
             h = np.concatenate([np.zeros(0, np.uint64), *h])
             yield i, j, h, np.array([0, len(h)])
             continue
         b, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
         start, end = word_spans(b, cut, between)
-        h = span_hash(prefix(b, value), start, end) if len(start) else np.zeros(0, np.uint64)
+        h = hashed(b, start, end) if len(start) else np.zeros(0, np.uint64)
         yield i, j, h, np.searchsorted(start, cut)
 
 

@@ -11,7 +11,8 @@
    least as their bitmaps in bits. Pairs that pass form a graph, of which a spanning forest is kept.
 4. Each component of that graph holds every link of its members. Its texts are brought together
    once and links are tested by intersecting sorted arrays, in order of size, skipping pairs that
-   are connected already.
+   are connected already. These arrays number the shingles by their bytes, not by hashes. Words
+   are hashed by 64 bits of BLAKE2 before that.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing (its component is its own id); a text of fewer words than the shingle has one shingle;
@@ -77,13 +78,34 @@ def fold(b: bytes, bits: int) -> np.ndarray:
 
 def sets(data: np.ndarray, off: np.ndarray, n: int):
     """Ascending distinct shingle hashes of each text."""
-    for i, j, h, at in H.words(data, off):
+    for i, j, h, at in H.words(data, off, H.digests, block=H.WIDE):
         s, owner = H.shingles(h, at, n)
         cut = np.searchsorted(owner, np.arange(j - i + 1))
         for k in range(j - i):
             yield np.unique(s[cut[k] : cut[k + 1]])
 
 
+def exact_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
+    """Ascending distinct shingles of each text as numbers that stand for their words' bytes within these texts:
+    no hashes, so unlike shingles have unlike numbers."""
+    start, end = H.word_spans(data, off)
+    word = H.spelled(data, start, end).dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    at = np.searchsorted(start, off)
+    count = np.diff(at)
+    text = np.repeat(np.arange(len(count)), count)
+    left = at[1:][text] - np.arange(len(word))  # words up to the text's end
+    run = word
+    for d in range(1, n):  # a text of fewer words is followed by 0s
+        after = np.zeros(len(word), np.int64)
+        after[: max(0, len(word) - d)] = word[d:]
+        after[left <= d] = 0
+        run = np.unique(run * (int(word.max(initial=0)) + 1) + after, return_inverse=True)[1].astype(np.int64)
+    full = (left >= n) | ((count[text] < n) & (left == count[text]))
+    cut = np.searchsorted(np.flatnonzero(full), at)
+    run = run[full].astype(np.uint64)
+    return [np.unique(run[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def entity_of(h: np.ndarray) -> int:
     """Identity of a set: a hash of all its members, whatever their order."""
     return int(H.mix(H.mix(h.copy()).sum(keepdims=True) + np.uint64(len(h)))[0].view(np.int64))
@@ -271,7 +293,7 @@ def _exact(n: int, percent: int):
     def run(t: pa.Table) -> pa.Table:
         comp, entity = t.column("component").to_numpy(), t.column("entity").to_numpy()
         data, off = H.buffers(t.column("text"))
-        arrays = list(sets(data, off, n))
+        arrays = exact_sets(data, off, n)
         size = np.array([len(x) for x in arrays])
         label = entity.copy()
         order = np.lexsort((entity, size, comp))
@@ -279,7 +301,7 @@ def _exact(n: int, percent: int):
         for k, end in zip(start, [*start[1:], len(order)], strict=True):
             m = order[k:end]
             s = size[m]
-            maps = [bitmap(arrays[x]) for x in m]
+            maps = [bitmap(H.mix(arrays[x].copy())) for x in m]
             w = 8 * min(map(len, maps))
             b, u = np.stack([fold(x, w) for x in maps]), Sets(len(m))
             for i in range(len(m)):

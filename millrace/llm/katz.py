@@ -210,7 +210,7 @@ def chunks(docs: DataFrame, words: int, tokens: int = CHUNK) -> DataFrame:
         for b in batches:
             data, off = H.buffers(b.column("text"))
             row, doc, out_of = (b.column(c).to_pylist() for c in (ROW, "doc_id", "held_out"))
-            for i, j, h, at in H.words(data, off):
+            for i, j, h, at in H.words(data, off, H.digests, block=H.WIDE):
                 for k in range(i, j):
                     w = np.append(h[at[k - i] : at[k - i + 1]], END)
                     for s in range(0, len(w), tokens):

@@ -45,16 +45,13 @@ BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?"]] = BREAK[10:14] = True
 GAP = BREAK.copy()
 GAP[[9, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """The words of texts, the text of each, and which words end a piece."""
     start, end = H.word_spans(data, off, GAP)
     text = np.searchsorted(off, start, side="right") - 1
-    low = LOWER[data[~GAP[data]]]
-    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)), pa.py_buffer(low))
+    words = H.spelled(data, start, end, pa.string())
     breaks = np.concatenate([[0], np.cumsum(BREAK[data])])
     last = np.ones(len(start), bool)
     if len(start):
