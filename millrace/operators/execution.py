@@ -53,16 +53,27 @@ def walk(ladder: DataFrame, rules: Rules, fee_rate: Column | None = None) -> Dat
     return d.groupBy("condition_id").agg(*sums)
 
 
-def evaluate(decisions: DataFrame, ladder: DataFrame, model: DataFrame, rules: Rules, probability: Column | None = None, forced_side: Column | None = None, model_keys: tuple[str, ...] = ("bin",)) -> DataFrame:
-    """decisions with side, status and money of each market. model: (bin, probability_up, support,
-    persistence), a row per bin, or per model_keys, such as fold and bin. The side follows from signal asks alone; unfilled markets earn 0."""
-    r = rules
+WALKED = [f"{name}_{s}" for s in ("up", "down") for name in ("shares", "cost", "fee")]
+
+
+def walked_decisions(decisions: DataFrame, ladder: DataFrame, rules: Rules) -> DataFrame:
+    """Decisions with what each side's ladder gives for the target: shares, cost and fee. Model, gates and extra cost
+    do not matter yet, so several evaluations can share one walk."""
     if "fee_rate" in decisions.columns:  # a market's own rate is charged level by level
         rates = decisions.groupBy("condition_id").agg(F.max("fee_rate").alias("market_rate"))
-        walked = walk(ladder.join(rates, "condition_id"), r, F.coalesce("market_rate", F.lit(r.fee_rate)))
+        walked = walk(ladder.join(rates, "condition_id"), rules, F.coalesce("market_rate", F.lit(rules.fee_rate)))
     else:
-        walked = walk(ladder, r)
-    d = decisions.join(walked, "condition_id", "left").withColumn("bin", S.state_bin(F.col("mid_up"), list(r.edges)))
+        walked = walk(ladder, rules)
+    return decisions.join(walked, "condition_id", "left")
+
+
+def evaluate(decisions: DataFrame, ladder: DataFrame, model: DataFrame, rules: Rules, probability: Column | None = None, forced_side: Column | None = None, model_keys: tuple[str, ...] = ("bin",), show_gates: bool = False) -> DataFrame:
+    """decisions with side, status and money of each market. model: (bin, probability_up, support,
+    persistence), a row per bin, or per model_keys, such as fold and bin. The side follows from signal asks alone; unfilled markets earn 0.
+    ladder: None where the decisions come from `walked_decisions`. show_gates adds each gate as a column, apart from the cascade."""
+    r = rules
+    d = decisions if ladder is None else walked_decisions(decisions, ladder, r)
+    d = d.withColumn("bin", S.state_bin(F.col("mid_up"), list(r.edges)))
     d = d.join(F.broadcast(model), list(model_keys), "left")  # as many rows as bins (and folds)
     rate = F.coalesce("fee_rate", F.lit(r.fee_rate)) if "fee_rate" in decisions.columns else r.fee_rate
     p = F.col("probability_up") if probability is None else probability
@@ -98,4 +109,13 @@ def evaluate(decisions: DataFrame, ladder: DataFrame, model: DataFrame, rules: R
     d = d.withColumn("gross_pnl", money(F.coalesce(F.col("fill_shares") * S.settlement(F.col("side"), F.col("outcome_up")), F.lit(0.0)) - F.col("fill_cost")))
     d = d.withColumn("net_pnl", F.col("gross_pnl") - F.col("platform_fee") - F.col("extra_cost"))
     added = ["bin", "probability", "support", "persistence", "side", "signal_ask", "net_edge", "status", "filled", "fill_shares", "fill_cost", "fill_vwap", "platform_fee", "extra_cost", "gross_pnl", "net_pnl"]
-    return d.select(*[c for c in decisions.columns if c not in added], *added)
+    if show_gates:
+        yes = lambda c: ~no(c)
+        favorite = F.col("side") == F.when(F.col("mid_down") > F.col("mid_up"), 1).otherwise(0)
+        shown = {
+            "valid": F.col("snapshot_valid"), "support": yes(F.col("support") >= r.minimum_support) if r.support_gate else F.lit(True), "range": yes(F.col("signal_ask").between(r.minimum_ask, r.maximum_ask)), "persistence": yes(F.col("persistence") >= r.minimum_persistence) if r.persistence_gate else F.lit(True),
+            "edge": yes(F.col("net_edge") >= r.minimum_net_edge) if r.edge_gate else F.lit(True), "executable": yes(F.col("chosen_shares") > 0), "decided": ~F.col("tie"), "favorite": yes(favorite) if r.require_favorite else F.lit(True),
+        }
+        d = d.withColumns({f"gate_{k}": c for k, c in shown.items()})
+        added += [f"gate_{k}" for k in shown]
+    return d.select(*[c for c in decisions.columns if c not in added and c not in WALKED], *added)

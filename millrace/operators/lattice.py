@@ -99,7 +99,10 @@ def _walk(lattice: Lattice, by: list[str]):
     most = [a.most for a in lattice.axes]
 
     def run(t: pa.Table) -> pa.Table:
-        order = np.lexsort((t.column("condition_id").to_numpy(), t.column("market_start_s").to_numpy()))
+        ids, starts = t.column("condition_id").to_numpy(), t.column("market_start_s").to_numpy()
+        order = np.lexsort((ids, starts))
+        if len(order) > 1 and ((np.diff(ids[order]) == 0) & (np.diff(starts[order]) == 0)).any():
+            raise ValueError("the order of trades is not strict: a market stands twice at one time")
         pnl = t.column("net_pnl").to_numpy()[order]
         at = np.stack([t.column(c).to_numpy()[order] for c in lattice.at()], 1)
         s, hi, lo, fall, seen = (np.zeros(len(cells)) for _ in range(5))
@@ -122,7 +125,8 @@ def _walk(lattice: Lattice, by: list[str]):
 
 
 def drawdowns(trades: DataFrame, by: list[str], lattice: Lattice, bucket_s: int) -> DataFrame:
-    """(by, cell_id, max_drawdown) of the cells that have trades. trades: condition_id, market_start_s, net_pnl and the axes' columns."""
+    """(by, cell_id, replay_pnl, max_drawdown) of the cells that have trades: the last running sum and the largest fall.
+    trades: condition_id, market_start_s, net_pnl and the axes' columns; two of one market and time are an error."""
     p = lattice.placed(trades).select(*by, F.floor(F.col("market_start_s") / bucket_s).cast("long").alias("bucket"), "market_start_s", "condition_id", "net_pnl", *lattice.at())
     kinds = {f.name: f.dataType.simpleString() for f in p.schema}
     part = "struct<sum:double,hi:double,lo:double,fall:double>"
@@ -137,10 +141,11 @@ def drawdowns(trades: DataFrame, by: list[str], lattice: Lattice, bucket_s: int)
 
     # As many parts a cell as there are buckets in the period.
     parts = walked.groupBy(*by, "cell_id").agg(F.array_sort(F.collect_list(F.struct("bucket", "part"))).alias("parts"))
-    return parts.select(*by, "cell_id", F.aggregate("parts", zero, merge)["fall"].alias("max_drawdown"))
+    walked = parts.select(*by, "cell_id", F.aggregate("parts", zero, merge).alias("w"))
+    return walked.select(*by, "cell_id", F.col("w.sum").alias("replay_pnl"), F.col("w.fall").alias("max_drawdown"))
 
 
 def metrics(trades: DataFrame, keys: DataFrame, lattice: Lattice, values: dict[str, Column], bucket_s: int) -> DataFrame:
-    """Sums and drawdown of every cell."""
+    """Sums and drawdown of every cell, and the profit that its replay in order gives (replay_pnl)."""
     fall = drawdowns(trades, keys.columns, lattice, bucket_s)
-    return sums(trades, keys, lattice, values).join(fall, [*keys.columns, "cell_id"], "left").na.fill(0.0, ["max_drawdown"])
+    return sums(trades, keys, lattice, values).join(fall, [*keys.columns, "cell_id"], "left").na.fill(0.0, ["replay_pnl", "max_drawdown"])

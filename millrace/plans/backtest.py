@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import execution, metrics, models, splits
 from ..operators.execution import Rules
 from ..sources import views
+from ..sources.scratch import kept
 
 RULES = Rules(minimum_net_edge=0.02, minimum_support=5)
 
@@ -41,13 +42,15 @@ def variants(spark: SparkSession, sf_dir: str, rules: Rules = RULES) -> DataFram
     matrix = models.transitions(valid, S.state_bin(F.col("previous_mid_up"), edges), S.state_bin(F.col("mid_up"), edges), len(edges) - 1)
     literal = model.drop("probability_up").join(models.literal_one_step(matrix, edges).withColumnRenamed("expected_mid", "probability_up"), "bin")
     favorite = F.when(F.col("mid_down") > F.col("mid_up"), 1).otherwise(0)
+    # One walk for all: the ladder's use depends on neither model nor gates nor extra cost.
+    test = kept(execution.walked_decisions(test, ladder, rules))
     out = None
     for cost, extra in COSTS.items():
         r = rules.but(extra_cost=extra)
         runs = {
-            "terminal_lookup": execution.evaluate(test, ladder, model, r),
-            "literal_one_step": execution.evaluate(test, ladder, literal, r),
-            "range_only": execution.evaluate(test, ladder, model, r.but(support_gate=False, persistence_gate=False, edge_gate=False), forced_side=favorite),
+            "terminal_lookup": execution.evaluate(test, None, model, r),
+            "literal_one_step": execution.evaluate(test, None, literal, r),
+            "range_only": execution.evaluate(test, None, model, r.but(support_gate=False, persistence_gate=False, edge_gate=False), forced_side=favorite),
         }
         for name, d in runs.items():
             d = d.withColumns({"variant": F.lit(name), "cost": F.lit(cost)})

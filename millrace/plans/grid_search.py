@@ -11,6 +11,8 @@ from ..operators import execution, models, search, splits
 from ..operators.execution import Rules
 from ..operators.search import Grid
 from ..sources import views
+from ..sources.scratch import kept
+from . import invariants
 
 GRID = Grid(minimum_ask=(0.01, 0.02, 0.05, 0.1), maximum_ask=(0.05, 0.1, 0.2, 0.3, 0.5, 0.95), minimum_persistence=(0.0, 0.05, 0.1, 0.2, 0.4), minimum_edge=(-0.05, 0.0, 0.02, 0.05, 0.1))
 OPEN = Rules(minimum_support=0, minimum_persistence=0.0, minimum_ask=0.0, maximum_ask=1.0, minimum_net_edge=float("-inf"))
@@ -49,12 +51,13 @@ YEAR = 31_536_000
 FOLDS = check_folds([Fold(k, 694_224_000, 694_224_000 + (3 + k) * YEAR, 694_224_000 + (3 + k) * YEAR, 694_224_000 + (4 + k) * YEAR) for k in range(3)])
 
 
-def fold_results(spark: SparkSession, sf_dir: str, folds: list[Fold] | None = None) -> DataFrame:
+def fold_results(spark: SparkSession, sf_dir: str, folds: list[Fold] | None = None, extra: float = 0.01) -> DataFrame:
     """Open-gate results of each fold's validation markets, with stress_pnl and first_half. Books are
-    walked once for all folds; each fold has its own model, fitted on its training rows."""
+    walked once for all folds; each fold has its own model, fitted on its training rows. The results are kept, and
+    fail as they are written if gates and fills differ or stress (extra cost a share) improves a trade."""
     folds = folds or FOLDS
     ladder = views.depth(spark, sf_dir)
-    decisions = views.markets(spark, sf_dir).join(views.tops(ladder), "condition_id").cache()
+    decisions = kept(execution.walked_decisions(views.markets(spark, sf_dir).join(views.tops(ladder), "condition_id"), ladder, OPEN))
     model = None
     for f in folds:
         train = decisions.where((F.col("market_start_s") >= f.train_start_s) & (F.col("market_start_s") < f.train_end_s))
@@ -62,8 +65,10 @@ def fold_results(spark: SparkSession, sf_dir: str, folds: list[Fold] | None = No
         model = m if model is None else model.unionByName(m)
     rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(f.fold_id).alias("fold_id"), F.lit(f.validation_start_s).alias("validation_start_s"), F.lit(f.validation_end_s).alias("validation_end_s")) for f in folds))).alias("f")).select("f.*")
     markets = splits.folds(decisions, rows, "market_start_s")
-    d = execution.evaluate(markets, ladder, model, OPEN, model_keys=("fold_id", "bin"))
-    d = d.withColumn("stress_pnl", F.when(F.col("filled"), F.col("net_pnl") - 0.01 * F.col("fill_shares")).otherwise(0.0))
+    d = execution.evaluate(markets, None, model, OPEN, model_keys=("fold_id", "bin"), show_gates=True)
+    d = d.withColumn("stress_pnl", F.when(F.col("filled"), F.col("net_pnl") - extra * F.col("fill_shares")).otherwise(0.0))
+    d = invariants.upheld(d, "fold results", gates=invariants.all_gates(), stress=invariants.same_under_stress())
+    d = d.drop(*(c for c in d.columns if c.startswith("gate_")))
     return splits.first_half(d, markets, ["fold_id"], ["market_start_s", "condition_id"])
 
 
@@ -73,7 +78,7 @@ def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per cell; kept, since neighbours join it to itself."""
-    return search.pool(fold_metrics(spark, sf_dir), ["cell_id", *search.AXES, "minimum_ask", "maximum_ask", "minimum_persistence", "minimum_edge"]).cache()
+    return kept(search.pool(fold_metrics(spark, sf_dir), ["cell_id", *search.AXES, "minimum_ask", "maximum_ask", "minimum_persistence", "minimum_edge"]))
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:

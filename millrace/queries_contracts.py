@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import book, metrics, snapshots, splits
-from .plans import backtest, invariants
+from .plans import backtest
 from .queries import _CUTOFF, DAY, END, ORACLE_SQL, QUERIES, START, query, sql
 from .sources import requests, views
 
@@ -110,17 +110,6 @@ def holdout_metrics(spark, sf_dir):
     return metrics.holdout(splits.first_half(d, d, ["split"], ["market_start_s", "condition_id"]), ["split"])
 
 
-@query("q_replay_equals", sql("SELECT split, count(*) FILTER (filled) AS fills, sum(net_pnl) AS net_pnl, TRUE AS agrees FROM result GROUP BY 1", "result", doubles="net_pnl"))
-def replay_equals(spark, sf_dir):
-    """Replays the filled trades in strict order and compares with the sums of the whole evaluation."""
-    d = backtest.evaluated(spark, sf_dir)
-    trades = d.where("filled")
-    replay = metrics.running(trades, "net_pnl", "market_start_s", "condition_id", ["split"]).groupBy("split").agg(F.count(F.lit(1)).alias("fills"), F.max_by("cum", F.struct("market_start_s", "condition_id")).alias("net_pnl"))
-    whole = d.groupBy("split").agg(F.count_if("filled").alias("fills"), F.sum("net_pnl").alias("net_pnl"))
-    bad = invariants.disagreements(replay, whole, ["split"], ["fills"], ["net_pnl"], 1e-6).select("split").withColumn("bad", F.lit(True))
-    return whole.join(bad, "split", "left").select("split", "fills", "net_pnl", F.col("bad").isNull().alias("agrees"))
-
-
 @query("q_status_dense", sql("SELECT a.split, CAST(a.status AS INT) AS status, coalesce(b.n, 0) AS markets FROM (SELECT split, range AS status FROM (SELECT DISTINCT split FROM result), range(9)) a LEFT JOIN (SELECT split, status, count(*) AS n FROM result GROUP BY 1, 2) b USING (split, status)", "result"))
 def status_dense(spark, sf_dir):
     d = backtest.evaluated(spark, sf_dir).groupBy("split").agg(*(F.count_if(F.col("status") == k).alias(f"s{k}") for k in range(9)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import lattice, quantiles
+from .operators import lattice, metrics, quantiles, search
 from .operators.lattice import Axis, Lattice
-from .plans import backtest, grid_search
+from .plans import backtest, grid_search, invariants
 from .queries import _GRID, DAY, ORACLE_SQL, PIECES, _eval, query, sql
 from .sources import views
 from .sources.scratch import kept
@@ -123,3 +124,25 @@ def grid_metrics(spark, sf_dir):
 def exact_quantiles(spark, sf_dir):
     wanted = {"p10": ("usdc_size", 0.1), "p50": ("usdc_size", 0.5), "p90": ("usdc_size", 0.9), "median_price": ("price", 0.5)}
     return quantiles.quantiles(views.activity(spark, sf_dir), ["activity_type"], wanted)
+
+
+_BEST = """best AS (SELECT fold_id, cell_id, fills, net_pnl, minimum_ask, maximum_ask, minimum_persistence, minimum_edge FROM (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY round(net_pnl, 6) DESC, cell_id) AS r FROM grid) WHERE r = 1)"""
+PIECES["best"] = (("grid",), _BEST)
+
+
+@query("q_replay_equals", sql("""SELECT b.fold_id, b.cell_id, b.fills, b.net_pnl, coalesce(r.fills, 0) AS replay_fills, coalesce(r.net_pnl, 0) AS replay_pnl, b.fills = coalesce(r.fills, 0) AND abs(b.net_pnl - coalesce(r.net_pnl, 0)) <= 1e-9 AS agrees FROM best b LEFT JOIN (SELECT fold_id, count(*) AS fills, arg_max(cum, (market_start_s, condition_id)) AS net_pnl
+  FROM (SELECT x.fold_id, x.market_start_s, x.condition_id, sum(x.net_pnl) OVER (PARTITION BY x.fold_id ORDER BY x.market_start_s, x.condition_id) AS cum FROM folds x JOIN best c ON c.fold_id = x.fold_id AND x.signal_ask >= c.minimum_ask AND x.signal_ask <= c.maximum_ask AND x.fill_vwap <= c.maximum_ask AND x.persistence >= c.minimum_persistence AND x.net_edge >= c.minimum_edge WHERE x.filled) GROUP BY 1) r USING (fold_id)""", "best", doubles="net_pnl replay_pnl"))
+def replay_equals(spark, sf_dir):
+    """The best cell of each fold, replayed trade by trade in strict order, against what the grid gave it."""
+    d = kept(grid_search.fold_results(spark, sf_dir))
+    grid = search.grid_metrics(d, _GRID, ["fold_id"])
+    order = [F.desc(F.round("net_pnl", 6)), F.asc("cell_id")]
+    best = kept(grid.withColumn("r", F.row_number().over(Window.partitionBy("fold_id").orderBy(*order))).where("r = 1").select("fold_id", "cell_id", "fills", "net_pnl", "minimum_ask", "maximum_ask", "minimum_persistence", "minimum_edge"))
+    cell = F.broadcast(best.drop("fills", "net_pnl"))  # a row a fold
+    trades = d.where("filled").join(cell, "fold_id").where("signal_ask >= minimum_ask AND greatest(signal_ask, fill_vwap) <= maximum_ask AND persistence >= minimum_persistence AND net_edge >= minimum_edge")
+    trades = invariants.strict_order(trades, ["fold_id", "market_start_s", "condition_id"])
+    path = metrics.running(trades, "net_pnl", "market_start_s", "condition_id", ["fold_id"])
+    replay = path.groupBy("fold_id").agg(F.count(F.lit(1)).alias("replay_fills"), F.max_by("cum", F.struct("market_start_s", "condition_id")).alias("replay_pnl"))
+    both = best.join(replay, "fold_id", "left").na.fill(0, ["replay_fills", "replay_pnl"])
+    agrees = (F.col("fills") == F.col("replay_fills")) & (F.abs(F.col("net_pnl") - F.col("replay_pnl")) <= 1e-9)
+    return both.select("fold_id", "cell_id", "fills", "net_pnl", "replay_fills", "replay_pnl", agrees.alias("agrees"))
