@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import execution, models, search, splits
@@ -89,3 +89,45 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.desc("passed"), F.desc(F.round("median_pnl", 6)), F.desc(F.round("net_pnl", 6)), F.asc("cell_id")]
     return search.select_cells(gated(spark, sf_dir), order, top=25, near=10, n_gates=8)
+
+
+@dataclass(frozen=True)
+class WalkForwardGates:
+    """Limits of a walk-forward selection."""
+
+    fold_fills: int = 5
+    fold_fraction: float = 0.001
+    pooled_fills: int = 20
+    pooled_fraction: float = 0.001
+    pooled_most: float = 0.9
+    profit_factor: float = 1.0
+    positive_folds: int = 2
+    positive_stress_folds: int = 1
+    fold_drawdown: float = 250.0
+    neighbour_fraction: float = 0.3
+    neighbour_folds: int = 1
+
+
+def walkforward_gated(folds: DataFrame, markets: DataFrame, cells: DataFrame, g: WalkForwardGates) -> DataFrame:
+    """Each cell with what the folds gave it and its twelve gates. folds: (fold_id, cell_id, sums, max_drawdown); markets:
+    (fold_id, markets), a row a fold; cells: (cell_id, axes)."""
+    f = folds.join(F.broadcast(markets), "fold_id")
+    exposed = F.col("fills") >= F.greatest(F.lit(g.fold_fills), F.ceil(F.col("markets") * g.fold_fraction))
+    per = f.groupBy("cell_id").agg(F.every(exposed).alias("exposed"), F.every(F.col("max_drawdown") <= g.fold_drawdown).alias("bounded"), F.min("net_pnl").alias("minimum_fold_pnl"), F.sum("markets").alias("markets"))
+    p = kept(search.pool(folds, ["cell_id"]).join(per, "cell_id").join(F.broadcast(cells), "cell_id"))
+    p = search.neighbour_floor(p).withColumn("fill_fraction", F.col("fills") / F.col("markets"))
+    return search.gates(
+        p, fold_exposure=F.col("exposed"), least_exposure=F.col("fills") >= F.greatest(F.lit(g.pooled_fills), F.ceil(F.col("markets") * g.pooled_fraction)), most_exposure=F.col("fills") <= F.floor(F.col("markets") * g.pooled_most), profit=F.col("net_pnl") > 0, factor=F.col("profit_factor") >= g.profit_factor,
+        folds=F.col("positive_folds") >= g.positive_folds, stress=F.col("stress_pnl") > 0, stress_folds=F.col("positive_stress_folds") >= g.positive_stress_folds, drawdown=F.col("bounded"), floor=F.col("floor_pnl") > 0, floor_fraction=F.col("floor_pnl") >= g.neighbour_fraction * F.col("net_pnl"), floor_folds=F.col("floor_folds") >= g.neighbour_folds,
+    )
+
+
+def walkforward_selected(gated: DataFrame, top: int, near: int) -> DataFrame:
+    """The best eligible cells, in order of folds with a profit, worst fold, stress and profit, fewest fills; and the nearest misses, in order
+    of gates passed first. kind and place."""
+    r = lambda c: F.round(c, 6)
+    best = [F.desc("positive_folds"), F.desc(r("minimum_fold_pnl")), F.desc(r("stress_pnl")), F.desc(r("net_pnl")), F.asc(r("fill_fraction")), F.asc("cell_id")]
+    close = [F.desc("passed"), F.desc("positive_stress_folds"), F.desc("positive_folds"), F.desc(r("stress_pnl")), F.desc(r("net_pnl")), F.asc(r("fill_fraction")), F.asc("cell_id")]
+    w = Window.partitionBy("eligible")  # cells of a configured grid
+    d = gated.withColumn("place", F.when(F.col("eligible"), F.row_number().over(w.orderBy(*best))).otherwise(F.row_number().over(w.orderBy(*close))))
+    return d.withColumn("kind", F.when(F.col("eligible"), "eligible").otherwise("near_miss")).where(F.col("place") <= F.when(F.col("eligible"), top).otherwise(near))

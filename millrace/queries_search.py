@@ -146,3 +146,24 @@ def replay_equals(spark, sf_dir):
     both = best.join(replay, "fold_id", "left").na.fill(0, ["replay_fills", "replay_pnl"])
     agrees = (F.col("fills") == F.col("replay_fills")) & (F.abs(F.col("net_pnl") - F.col("replay_pnl")) <= 1e-9)
     return both.select("fold_id", "cell_id", "fills", "net_pnl", "replay_fills", "replay_pnl", agrees.alias("agrees"))
+
+
+G = grid_search.WalkForwardGates()
+PIECES["gates12"] = (("grid", "floor"), f"""wg AS ({_FALL}), wm AS (SELECT fold_id, count(*) AS markets FROM folds GROUP BY 1),
+wp AS (SELECT cell_id, bool_and(fills >= greatest({G.fold_fills}, ceil(markets * CAST({G.fold_fraction} AS DOUBLE)))) AS exposed, bool_and(max_drawdown <= {G.fold_drawdown}) AS bounded, min(net_pnl) AS minimum_fold_pnl, CAST(sum(markets) AS BIGINT) AS markets FROM wg JOIN wm USING (fold_id) GROUP BY 1),
+wx AS (SELECT f.*, exposed, bounded, minimum_fold_pnl, markets, f.fills / markets AS fill_fraction FROM floors f JOIN wp USING (cell_id)),
+wq AS (SELECT *, CAST(exposed AS INT) + CAST(fills >= greatest({G.pooled_fills}, ceil(markets * CAST({G.pooled_fraction} AS DOUBLE))) AS INT) + CAST(fills <= floor(markets * CAST({G.pooled_most} AS DOUBLE)) AS INT) + CAST(net_pnl > 0 AS INT) + CAST(profit_factor >= {G.profit_factor} AS INT) + CAST(positive_folds >= {G.positive_folds} AS INT)
+  + CAST(stress_pnl > 0 AS INT) + CAST(positive_stress_folds >= {G.positive_stress_folds} AS INT) + CAST(bounded AS INT) + CAST(floor_pnl > 0 AS INT) + CAST(floor_pnl >= CAST({G.neighbour_fraction} AS DOUBLE) * net_pnl AS INT) + CAST(floor_folds >= {G.neighbour_folds} AS INT) AS passed FROM wx)""")
+
+
+@query("q_walkforward_gates", sql("""SELECT cell_id, kind, CAST(place AS INT) AS place, CAST(passed AS INT) AS passed, positive_folds, positive_stress_folds, minimum_fold_pnl, stress_pnl, net_pnl, fill_fraction FROM (
+  SELECT *, 'eligible' AS kind, row_number() OVER (ORDER BY positive_folds DESC, round(minimum_fold_pnl, 6) DESC, round(stress_pnl, 6) DESC, round(net_pnl, 6) DESC, round(fill_fraction, 6), cell_id) AS place FROM wq WHERE passed = 12
+  UNION ALL SELECT *, 'near_miss', row_number() OVER (ORDER BY passed DESC, positive_stress_folds DESC, positive_folds DESC, round(stress_pnl, 6) DESC, round(net_pnl, 6) DESC, round(fill_fraction, 6), cell_id) FROM wq WHERE passed < 12) WHERE place <= 20""", "gates12", doubles="minimum_fold_pnl stress_pnl net_pnl fill_fraction"))
+def walkforward_gates(spark, sf_dir):
+    """Twelve gates over pooled folds, and the selection in its order, beside the nearest misses in theirs."""
+    d = kept(grid_search.fold_results(spark, sf_dir).withColumn("high_ask", F.greatest("signal_ask", "fill_vwap")))
+    folds = spark.createDataFrame([(f.fold_id,) for f in grid_search.FOLDS], "fold_id int")
+    m = kept(lattice.metrics(d.where("filled"), folds, fold_lattice(), {n: f(n) for n, f in VALUES.items()}, BUCKET))
+    markets = d.groupBy("fold_id").agg(F.count(F.lit(1)).alias("markets"))
+    gated = grid_search.walkforward_gated(m, markets, _GRID.cells(spark).select("cell_id", *search.AXES), G)
+    return grid_search.walkforward_selected(gated, 20, 20).select("cell_id", "kind", "place", "passed", "positive_folds", "positive_stress_folds", "minimum_fold_pnl", "stress_pnl", "net_pnl", "fill_fraction")
