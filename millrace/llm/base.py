@@ -14,6 +14,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +134,25 @@ def slices(b: pa.RecordBatch, rows: int = 256):
         yield b.slice(i, rows)
 
 
+def squeezed(docs: DataFrame, *others: str) -> DataFrame:
+    """(row id, others, text compressed): half of what a shuffle of texts would move."""
+    names = [ROW, *others, "z"]
+
+    @released
+    def run(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for b in (c for whole in batches for c in slices(whole)):
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array([z.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary())], names)
+
+    return docs.select(*names[:-1], "text").mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", z binary")
+
+
+def unsqueezed(column: pa.ChunkedArray) -> pa.Array:
+    """The texts of a column of `squeezed`."""
+    z = zstandard.ZstdDecompressor()
+    return pa.array([z.decompress(x) if x else b"" for x in column.to_pylist()], pa.binary())
+
+
 def fixed(df: DataFrame, name: str = "docs") -> DataFrame:
     """df as it is where it only reads files, whose rows keep their order and so their ids; otherwise a
     stored copy, so that a stage that is computed again cannot number rows anew."""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import ROW, documents, dropped, fixed, groups_for, keyed_text, released, released_group, ship, stored, text_bytes
+from .base import ROW, documents, dropped, fixed, groups_for, keyed_text, released, released_group, ship, squeezed, stored, text_bytes, unsqueezed
 from .components import components
 
 #: Parts beyond the most that can differ.
@@ -292,7 +292,7 @@ def _exact(n: int, percent: int):
     @released_group
     def run(t: pa.Table) -> pa.Table:
         comp, entity = t.column("component").to_numpy(), t.column("entity").to_numpy()
-        data, off = H.buffers(t.column("text"))
+        data, off = H.buffers(unsqueezed(t.column("z")))
         arrays = exact_sets(data, off, n)
         size = np.array([len(x) for x in arrays])
         label = entity.copy()
@@ -331,8 +331,8 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     edges = met.groupBy("group").applyInArrow(lambda t: _tiles(percent)(t), "a long, b long")
     comp = components(edges)
     reps = comp.join(maps.select("entity", ROW), comp["id"] == maps["entity"]).select(ROW, "entity", "component")
-    texts = docs.select(ROW, "text").join(reps, ROW)
-    dealt = texts.select(F.pmod(F.xxhash64("component"), F.lit(text_groups)).alias("group"), "component", "entity", "text")
+    texts = squeezed(docs.select(ROW, "text")).join(reps, ROW)  # half of what plain texts would move
+    dealt = texts.select(F.pmod(F.xxhash64("component"), F.lit(text_groups)).alias("group"), "component", "entity", "z")
     labels = stored(dealt.groupBy("group").applyInArrow(lambda t: _exact(n, percent)(t), "entity long, label long"), "labels")
     found = doc.join(labels, "entity", "left").select(ROW, "doc_id", "size", F.coalesce("label", "entity").alias("label"))
     least = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))

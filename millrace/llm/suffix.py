@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import ROW, documents, dropped, fixed, groups_for, keyed_text, released, released_group, ship, slices, stored
+from .base import ROW, documents, dropped, fixed, groups_for, keyed_text, released, released_group, ship, slices, squeezed, stored
 
 LENGTH = 200
 #: Segments of a batch that is built together, groups whole.
@@ -222,19 +222,6 @@ def _emit_segments(docs: DataFrame, length: int) -> DataFrame:
     return docs.select(ROW, "text").mapInArrow(run, f"{ROW} long, start int, size short, place short, anchor long, seg long")
 
 
-def _squeezed(docs: DataFrame, *others: str) -> DataFrame:
-    """(row id, others, text compressed): half of what a shuffle of texts would move."""
-    names = [ROW, *others, "z"]
-
-    @released
-    def run(batches):
-        z = zstandard.ZstdCompressor(level=1)
-        for b in (c for whole in batches for c in slices(whole)):
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array([z.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary())], names)
-
-    return docs.select(*names[:-1], "text").mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", z binary")
-
-
 def _cut_out(length: int):
     """Bytes of the wanted segments of each text, by the group that they are built in."""
     _, gram, flank = shape(length)
@@ -304,7 +291,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     tasks = groups_for(mixed.count(), TASK_SEGMENTS)
     want = F.struct("anchor", "seg", (F.col("n") == 1).alias("once"), "start", "size", "place", (F.col("kinds") > SPLIT).alias("split"))
     wanted = mixed.groupBy(ROW).agg(F.collect_list(want).alias("wanted"))
-    pieces = _squeezed(docs).join(wanted, ROW).select("z", "wanted").mapInArrow(_cut_out(length), "build long, anchor long, seg long, once boolean, bytes binary")
+    pieces = squeezed(docs).join(wanted, ROW).select("z", "wanted").mapInArrow(_cut_out(length), "build long, anchor long, seg long, once boolean, bytes binary")
     dealt = pieces.groupBy(F.pmod(F.xxhash64("build"), F.lit(tasks)).alias("task"))
     run = _build_group(length)
     built = dealt.applyInArrow(lambda t: run(t.drop_columns(["task"]) if "task" in t.column_names else t), "anchor long, seg long, from int, to int")
@@ -351,7 +338,7 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True))], names)
 
-    return _squeezed(docs, "doc_id").join(spans(docs), ROW, "left").select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return squeezed(docs, "doc_id").join(spans(docs), ROW, "left").select("doc_id", "z", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = LENGTH) -> DataFrame:
