@@ -9,10 +9,10 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from millrace.queries import QUERIES  # noqa: E402
+from millrace.catalog import QUERIES  # noqa: E402
 from millrace.session import session  # noqa: E402
 
-HEADLINE = ["q_backtest_summary", "q_gate_cascade", "q_grid_metrics", "q_plateau", "q_selection_topk", "q_variants_costs", "q_fak_depth_walk", "q_asof_conditional_agg", "q_asof_backward_topk", "q_lookup_model", "q_transition_matrix", "q_rolling_24h", "q_capital_ledger", "q_window_metrics", "q_book_depth_declarative", "q_book_fold_exact"]
+HEADLINE = ["q_backtest_summary", "q_gate_cascade", "q_grid_metrics", "q_plateau", "q_selection_topk", "q_variants_costs", "q_fak_depth_walk", "q_asof_conditional_agg", "q_asof_backward_topk", "q_lookup_model", "q_transition_matrix", "q_rolling_24h", "q_capital_ledger", "q_window_metrics", "q_book_depth_declarative", "q_book_fold_exact", "q_regime_variants", "q_grid_5d", "q_grid_uniform", "q_replay_depth"]
 
 
 def main() -> None:

@@ -14,26 +14,29 @@ class ModelFitError(ValueError):
     """The training rows cannot carry a model."""
 
 
-def lookup_model(train: DataFrame, edges: list[float], terminal_alpha: float = 20.0, transition_alpha: float = 1.0) -> DataFrame:
-    """(bin, probability_up, support, persistence) over all bins, from valid labelled rows.
+def lookup_model(train: DataFrame, edges: list[float], terminal_alpha: float = 20.0, transition_alpha: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """(by, bin, probability_up, support, persistence) over all bins, from valid labelled rows: a model of each key, such as a fold.
 
     p = (wins + alpha * prior) / (support + alpha). Rows are summed to pairs of bins once; all
-    further steps work on bins squared."""
+    further steps work on bins squared of a few keys. A key without such rows has no model."""
+    by = by or []
     n = len(edges) - 1
     spark = train.sparkSession
     rows = train.where(F.col("snapshot_valid") & F.col("outcome_up").between(0, 1))
-    pairs = rows.groupBy(S.state_bin(F.col("previous_mid_up"), edges).alias("prev_bin"), S.state_bin(F.col("mid_up"), edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("outcome_up").alias("wins"))
+    pairs = rows.groupBy(*by, S.state_bin(F.col("previous_mid_up"), edges).alias("prev_bin"), S.state_bin(F.col("mid_up"), edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("outcome_up").alias("wins"))
     bins = spark.range(n).select(F.col("id").cast("int").alias("bin"))
-    all_rows = pairs.agg(F.sum("n").alias("all_n"), F.sum("wins").alias("all_wins"))
-    per = pairs.groupBy("bin").agg(F.sum("n").alias("support"), F.sum("wins").alias("wins"))
-    stay = pairs.where("prev_bin = bin").select("bin", F.col("n").alias("stay"))
-    leave = pairs.groupBy(F.col("prev_bin").alias("bin")).agg(F.sum("n").alias("leave"))
-    d = bins.join(F.broadcast(per), "bin", "left").join(F.broadcast(stay), "bin", "left").join(F.broadcast(leave), "bin", "left").join(F.broadcast(all_rows))
+    all_rows = pairs.groupBy(*by).agg(F.sum("n").alias("all_n"), F.sum("wins").alias("all_wins"))
+    per = pairs.groupBy(*by, "bin").agg(F.sum("n").alias("support"), F.sum("wins").alias("wins"))
+    stay = pairs.where("prev_bin = bin").select(*by, "bin", F.col("n").alias("stay"))
+    leave = pairs.groupBy(*by, F.col("prev_bin").alias("bin")).agg(F.sum("n").alias("leave"))
+    d, keys = bins.join(F.broadcast(all_rows)), [*by, "bin"]  # a row a key
+    for part in (per, stay, leave):
+        d = d.join(F.broadcast(part), keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     a, b = terminal_alpha, transition_alpha
     prior = F.col("all_wins") / F.col("all_n")
     return d.select(
-        "bin", ((zero("wins") + a * prior) / (zero("support") + a)).alias("probability_up"), zero("support").cast("long").alias("support"), ((zero("stay") + b) / (zero("leave") + b * n)).alias("persistence")
+        *keys, ((zero("wins") + a * prior) / (zero("support") + a)).alias("probability_up"), zero("support").cast("long").alias("support"), ((zero("stay") + b) / (zero("leave") + b * n)).alias("persistence")
     )
 
 

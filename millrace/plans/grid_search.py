@@ -58,11 +58,8 @@ def fold_results(spark: SparkSession, sf_dir: str, folds: list[Fold] | None = No
     folds = folds or FOLDS
     ladder = views.depth(spark, sf_dir)
     decisions = kept(execution.walked_decisions(views.markets(spark, sf_dir).join(views.tops(ladder), "condition_id"), ladder, OPEN))
-    model = None
-    for f in folds:
-        train = decisions.where((F.col("market_start_s") >= f.train_start_s) & (F.col("market_start_s") < f.train_end_s))
-        m = models.lookup_model(train, list(OPEN.edges)).withColumn("fold_id", F.lit(f.fold_id))
-        model = m if model is None else model.unionByName(m)
+    windows = spark.createDataFrame([(f.fold_id, f.train_start_s, f.train_end_s) for f in folds], "fold_id int, train_start_s long, train_end_s long")
+    model = models.lookup_model(splits.folds(decisions, windows, "market_start_s", "train"), list(OPEN.edges), by=["fold_id"])
     rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(f.fold_id).alias("fold_id"), F.lit(f.validation_start_s).alias("validation_start_s"), F.lit(f.validation_end_s).alias("validation_end_s")) for f in folds))).alias("f")).select("f.*")
     markets = splits.folds(decisions, rows, "market_start_s")
     d = execution.evaluate(markets, None, model, OPEN, model_keys=("fold_id", "bin"), show_gates=True)

@@ -14,6 +14,7 @@ from ..functions import scalars as S
 from ..operators import execution, joins, metrics, models, splits
 from ..operators.execution import Rules
 from ..sources import views
+from ..sources.scratch import kept
 from .grid_search import FOLDS, Fold
 
 DAY = 86_400
@@ -47,7 +48,7 @@ def forecasts(spark: SparkSession, sf_dir: str, folds: list[Fold] | None = None)
     and all variants evaluated in one plan, so books are walked once."""
     folds = folds or FOLDS
     ladder = views.depth(spark, sf_dir)
-    d = with_features(spark, sf_dir, views.markets(spark, sf_dir).join(views.tops(ladder), "condition_id")).cache()
+    d = kept(with_features(spark, sf_dir, views.markets(spark, sf_dir).join(views.tops(ladder), "condition_id")))
     windows = spark.createDataFrame([(f.fold_id, f.train_start_s, f.train_end_s, f.validation_start_s, f.validation_end_s) for f in folds], "fold_id int, train_start_s long, train_end_s long, validation_start_s long, validation_end_s long")
     train, test = (splits.folds(d, windows, "market_start_s", part) for part in ("train", "validation"))
     ends = F.create_map(*(F.lit(x) for f in folds for x in (f.fold_id, f.train_end_s)))[F.col("fold_id")]
@@ -55,11 +56,7 @@ def forecasts(spark: SparkSession, sf_dir: str, folds: list[Fold] | None = None)
 
     def lookup(edges: list[float]) -> DataFrame:
         """A lookup model of each fold: a row per fold and bin."""
-        out = None
-        for f in folds:
-            m = models.lookup_model(train.where(F.col("fold_id") == f.fold_id), edges).withColumn("fold_id", F.lit(f.fold_id))
-            out = m if out is None else out.unionByName(m)
-        return out
+        return models.lookup_model(train, edges, by=["fold_id"])
 
     fine = S.uniform_edges(40)
     bins = lookup(fine).select("fold_id", F.col("bin").alias("fine_bin"), F.col("probability_up").alias("fine_probability"))
