@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .replay import scan
+
 ORDER = ("t", "event_id")
 
 
@@ -32,22 +34,22 @@ def token_state(events: DataFrame) -> DataFrame:
     return events.groupBy("token").agg(last("tick_size", "price").alias("tick_size"), last("resolved", "size").alias("winner"), F.count_if(F.col("kind") == "tick_size").alias("changes"))
 
 
-def depth_at(events: DataFrame, cutoff) -> DataFrame:
-    """(token, side, price, size) at a cutoff. events: token, t, event_id, kind (snapshot: one bid level;
-    bid and ask: level writes; best_bid and best_ask: hints), price, size. Rows before a token's
-    first snapshot do not count."""
-    e = events.where(F.col("t") <= cutoff).withColumn("o", F.struct(*ORDER))
-    w = Window.partitionBy("token")
-    e = e.withColumn("start", F.max(F.when(F.col("kind") == "snapshot", F.col("o"))).over(w)).where(F.col("o") >= F.col("start"))
-    side = F.when(F.col("kind").isin("snapshot", "bid", "best_bid"), "bid").otherwise("ask")
-    hint = F.col("kind").isin("best_bid", "best_ask")
-    e = e.withColumns({"side": side, "hint": F.when(hint, F.col("price"))})
-    later = Window.partitionBy("token", "side").orderBy(*(F.desc(c) for c in ORDER)).rowsBetween(Window.unboundedPreceding, 0)
-    limit = F.when(F.col("side") == "bid", F.min("hint").over(later)).otherwise(F.max("hint").over(later))
-    e = e.withColumn("limit", limit).where(~hint)
-    last = e.groupBy("token", "side", "price").agg(F.max_by(F.struct("size", "limit"), "o").alias("r")).select("token", "side", "price", "r.*")
-    inside = F.when(F.col("side") == "bid", F.col("price") <= F.col("limit")).otherwise(F.col("price") >= F.col("limit"))
-    return last.where((F.col("size") > 0) & F.coalesce(inside, F.lit(True))).drop("limit")
+def depth_at(events: DataFrame, *cutoffs: int, segment_us: int = 3_600_000_000) -> DataFrame:
+    """(token, side, price, size) at a cutoff, with the cutoff at several. events: token, t (microseconds), event_id, kind (snapshot:
+    one bid level; bid and ask: level writes; best_bid and best_ask: hints), price, size. Rows before a token's first snapshot do not
+    count. One pass over segments of time, however many cutoffs and however hot a token (`replay.scan`)."""
+    e = events.where((F.col("t") <= max(cutoffs)) & F.col("t").isNotNull() & F.col("kind").isNotNull())
+    price, null = F.col("price"), F.lit(None).cast("double")
+    item = lambda side, tick, size, hint, after, starts: F.struct(F.lit(side).alias("side"), tick.alias("tick"), size.alias("size"), hint.alias("hint"), F.lit(after).alias("after"), F.lit(starts).alias("starts"))
+    no_size = F.lit(None).cast("long")
+    write = lambda side: F.array(item(side, price, F.col("size"), null, 0, False))
+    hint = lambda side: F.array(item(side, null, no_size, price, 1, False))
+    start = F.array(item("bid", price, F.col("size"), null, 0, True), item("ask", null, no_size, null, 0, True))
+    kind = F.col("kind")
+    items = F.when(kind == "snapshot", start).when(kind == "bid", write("bid")).when(kind == "ask", write("ask")).when(kind == "best_bid", hint("bid")).when(kind == "best_ask", hint("ask"))
+    i = e.select("token", "t", F.struct(*ORDER).alias("o"), F.lit(0).alias("place"), F.explode(items).alias("i")).select("token", "i.side", "t", "o", "place", "i.tick", "i.size", "i.hint", "i.after", "i.starts")
+    d = scan(i, ["token", "side"], "t", sorted(cutoffs), segment_us, F.col("side") == "bid")
+    return d.select(*(["cutoff"] if len(cutoffs) > 1 else []), "token", "side", F.col("tick").alias("price"), "size")
 
 
 class Book:

@@ -76,39 +76,44 @@ def _writes(rows: DataFrame, scale: int) -> DataFrame:
     return rows.select("condition_id", "receive_ms", "source_ms", "source_row", "o", F.explode(items).alias("i")).select("condition_id", "receive_ms", "o", F.struct("source_ms", "source_row", "i.place").alias("place"), "i.token", "i.side", "i.tick", "i.size", "i.starts")
 
 
+def scan(items: DataFrame, keys: list[str], time: str, cutoffs: list[int], segment: int, bid: Column) -> DataFrame:
+    """(cutoff, keys, tick, size) of the levels that stand at each of the ascending cutoffs. items: keys (a token and a side), the time and
+    o, the order; a write has tick, size and place (its order among those of one o); a hint has hint and after = 1; a
+    start of the side has starts."""
+    k = len(cutoffs)
+    times = F.array(*(F.lit(c).cast("long") for c in cutoffs))
+    bucket = F.size(F.filter(times, lambda c: c < F.col(time)))
+    both = items.withColumns({"bucket": bucket, "segment": F.floor(F.col(time) / segment).cast("long") * (k + 1) + bucket})
+    tightest = lambda w=None: F.when(bid, F.min("hint").over(w) if w is not None else F.min("hint")).otherwise(F.max("hint").over(w) if w is not None else F.max("hint"))
+    later = Window.partitionBy(*keys, "segment").orderBy(F.desc("o"), F.desc("after")).rowsBetween(Window.unboundedPreceding, 0)
+    local = both.withColumn("limit", tightest(later))
+    kept = local.where("tick IS NOT NULL").groupBy(*keys, "tick", "segment", "bucket").agg(F.max_by(F.struct("size", "o", "limit"), F.struct("o", "place")).alias("w"))
+    # What a segment does to the levels of earlier ones.
+    parts = both.groupBy(*keys, "segment", "bucket").agg(F.min("hint").alias("low"), F.max("hint").alias("high"), F.max(F.when(F.col("starts"), F.col("o"))).alias("start"))
+    parts = parts.withColumn("hint", F.when(bid, F.col("low")).otherwise(F.col("high"))).withColumn("k", F.explode(F.sequence(F.col("bucket"), F.lit(k - 1))))
+    after = Window.partitionBy(*keys, "k").orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys, "k")
+    parts = parts.select(*keys, "segment", "k", tightest(after).alias("cut"), F.max("start").over(whole).alias("start"))
+    # A segment's row of a level stands at the cutoffs from its own to the one before the level's next row.
+    following = F.lead("bucket").over(Window.partitionBy(*keys, "tick").orderBy("segment"))
+    stands = kept.withColumn("until", F.coalesce(following, F.lit(k)) - 1).where("until >= bucket").select(*keys, "tick", "segment", "w.*", F.explode(F.sequence(F.col("bucket"), F.col("until"))).alias("k"))
+    met = stands.join(parts, [*keys, "segment", "k"]).where(F.col("o") >= F.col("start"))
+    inside = lambda c: F.when(bid, F.col("tick") <= F.col(c)).otherwise(F.col("tick") >= F.col(c))
+    alive = (F.col("size") > 0) & F.coalesce(inside("limit"), F.lit(True)) & F.coalesce(inside("cut"), F.lit(True))
+    return met.where(alive).select(F.element_at(times, (F.col("k") + 1).cast("int")).alias("cutoff"), *keys, "tick", "size")
+
+
 def depth_at(rows: DataFrame, cutoffs_ms: list[int], scale: int = 1000, segment_ms: int = SEGMENT_MS) -> DataFrame:
     """(cutoff, condition_id, token, side, tick, size) of all levels at each of the ascending cutoffs (a configured list)."""
     if not cutoffs_ms or any(b <= a for a, b in zip(cutoffs_ms, cutoffs_ms[1:], strict=False)):
         raise ValueError("cutoffs must ascend")
-    k = len(cutoffs_ms)
-    times = F.array(*(F.lit(c).cast("long") for c in cutoffs_ms))
     r = ordered(rows.where(F.col("receive_ms") <= cutoffs_ms[-1]))
     r = r.join(firsts(r), "condition_id").where(F.col("o") >= F.col("first_o"))
     both = _writes(r, scale).select(*LEVEL, "receive_ms", "o", F.lit(0).alias("after"), "place", "tick", "size", "starts", F.lit(None).cast("long").alias("hint"))
     none = F.lit(None).cast(both.schema["place"].dataType)
     h = _hints(r).select(*LEVEL, "receive_ms", "o", F.lit(1).alias("after"), none.alias("place"), F.lit(None).cast("long").alias("tick"), F.lit(None).cast("double").alias("size"), F.lit(False).alias("starts"), "hint")
     both = both.unionByName(h)
-    bucket = F.size(F.filter(times, lambda c: c < F.col("receive_ms")))
-    segment = F.floor(F.col("receive_ms") / segment_ms).cast("long") * (k + 1) + bucket
-    both = both.withColumns({"bucket": bucket, "segment": segment})
-    bid = F.col("side") == "BUY"
-    tightest = lambda w=None: F.when(bid, F.min("hint").over(w) if w is not None else F.min("hint")).otherwise(F.max("hint").over(w) if w is not None else F.max("hint"))
-    later = Window.partitionBy(*LEVEL, "segment").orderBy(F.desc("o"), F.desc("after")).rowsBetween(Window.unboundedPreceding, 0)
-    local = both.withColumn("limit", tightest(later))
-    kept = local.where("tick IS NOT NULL").groupBy(*LEVEL, "tick", "segment", "bucket").agg(F.max_by(F.struct("size", "o", "limit"), F.struct("o", "place")).alias("w"))
-    # What a segment does to the levels of earlier ones.
-    parts = both.groupBy(*LEVEL, "segment", "bucket").agg(F.min("hint").alias("low"), F.max("hint").alias("high"), F.max(F.when(F.col("starts"), F.col("o"))).alias("start"))
-    parts = parts.withColumn("hint", F.when(bid, F.col("low")).otherwise(F.col("high"))).withColumn("k", F.explode(F.sequence(F.col("bucket"), F.lit(k - 1))))
-    after = Window.partitionBy(*LEVEL, "k").orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*LEVEL, "k")
-    parts = parts.select(*LEVEL, "segment", "k", tightest(after).alias("cut"), F.max("start").over(whole).alias("start"))
-    # A segment's row of a level stands at the cutoffs from its own to the one before the level's next row.
-    following = F.lead("bucket").over(Window.partitionBy(*LEVEL, "tick").orderBy("segment"))
-    stands = kept.withColumn("until", F.coalesce(following, F.lit(k)) - 1).where("until >= bucket").select(*LEVEL, "tick", "segment", "w.*", F.explode(F.sequence(F.col("bucket"), F.col("until"))).alias("k"))
-    met = stands.join(parts, [*LEVEL, "segment", "k"]).where(F.col("o") >= F.col("start"))
-    inside = lambda c: F.when(bid, F.col("tick") <= F.col(c)).otherwise(F.col("tick") >= F.col(c))
-    alive = (F.col("size") > 0) & F.coalesce(inside("limit"), F.lit(True)) & F.coalesce(inside("cut"), F.lit(True))
-    return met.where(alive).select(F.element_at(times, (F.col("k") + 1).cast("int")).alias("cutoff"), *LEVEL, "tick", "size")
+    return scan(both, LEVEL, "receive_ms", cutoffs_ms, segment_ms, F.col("side") == "BUY")
 
 
 def counts_at(rows: DataFrame, cutoffs_ms: list[int]) -> DataFrame:

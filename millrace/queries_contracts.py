@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import book, metrics, snapshots, splits
 from .plans import backtest
-from .queries import _CUTOFF, DAY, END, ORACLE_SQL, QUERIES, START, query, sql
+from .queries import _CUTOFF, DAY, ORACLE_SQL, QUERIES, query, sql
 from .sources import requests, views
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -72,11 +72,7 @@ _CUTOFFS = [_CUTOFF + k * 5 * DAY * 1_000_000 for k in (-2, -1, 0, 1, 2)]
 
 @query("q_book_many_cutoffs", " UNION ALL ".join(f"SELECT CAST({c} AS BIGINT) AS cutoff, * FROM ({ORACLE_SQL['q_book_depth_declarative'].replace(str(_CUTOFF), str(c))})" for c in _CUTOFFS))
 def book_many_cutoffs(spark, sf_dir):
-    events, out = views.book_events(spark, sf_dir), None
-    for c in _CUTOFFS:  # a configured handful
-        d = book.depth_at(events, c).withColumn("cutoff", F.lit(c).cast("long"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return book.depth_at(views.book_events(spark, sf_dir), *_CUTOFFS)
 
 
 @query("q_token_state", sql("SELECT token, arg_max(price, (t, event_id)) FILTER (kind = 'best_bid') AS tick_size, arg_max(size, (t, event_id)) FILTER (kind = 'best_ask') AS winner, count(*) FILTER (kind = 'best_bid') AS changes FROM book GROUP BY 1", "book"))
@@ -86,9 +82,13 @@ def token_state(spark, sf_dir):
     return book.token_state(e.withColumn("kind", kind))
 
 
-@query("q_request_plan", f"SELECT i AS index, CASE WHEN i < n THEN {START} + i * 3600 ELSE {END + 1} - 3660 END AS start_s, CASE WHEN i < n THEN {START} + i * 3600 ELSE {END + 1} - 3660 END + 3600 AS end_s FROM (SELECT range AS i, ({END + 1} - {START}) // 3600 - 1 AS n FROM range(({END + 1} - {START}) // 3600))")
+@query("q_request_plan", """WITH b AS (SELECT CAST(floor(epoch(min(ts))) AS BIGINT) // 3600 * 3600 AS a, (CAST(floor(epoch(max(ts))) AS BIGINT) // 3600 + 1) * 3600 AS z FROM events)
+  SELECT i AS index, CASE WHEN i < n THEN a + i * 3600 ELSE z - 3660 END AS start_s, CASE WHEN i < n THEN a + i * 3600 ELSE z - 3660 END + 3600 AS end_s FROM (SELECT a, z, (z - a) // 3600 - 1 AS n, unnest(range((z - a) // 3600)) AS i FROM b)""")
 def request_plan(spark, sf_dir):
-    return requests.request_plan(spark, START, END + 1, 3600)
+    """The requests that cover the time of the events, whose ends come from the table."""
+    t = views._epoch("ts")
+    b = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.min(t).alias("a"), F.max(t).alias("z")).first()
+    return requests.request_plan(spark, b["a"] // 3600 * 3600, (b["z"] // 3600 + 1) * 3600, 3600)
 
 
 @query("q_turnover", sql("""SELECT split, fills, cash_turnover, net_pnl, max_drawdown, fills / greatest(days, CAST(1 AS DOUBLE) / 288) AS fills_per_day, CASE WHEN cash_turnover <> 0 THEN net_pnl / cash_turnover END AS return_on_turnover,

@@ -55,16 +55,23 @@ def archive_bodies(df: DataFrame, path: str, body: str = "body") -> None:
 
 
 def upsert(df: DataFrame, path: str, keys: list[str]) -> None:
-    """The table at path with the rows of df in place of those of equal keys. The whole new table is written
-    beside the old one first, then takes its name; readers find one of the two."""
+    """The table at path with the rows of df in place of those of equal keys; of equal keys in df the row that is greatest in its other
+    columns counts. The new table is written beside the old one, which then goes to `<path>.old`; for a moment no table has
+    the name, and if the job ends there the next call takes the old one back first."""
     spark = df.sparkSession
-    out, there = df.dropDuplicates(keys), _exists(spark, path)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
+    if _exists(spark, old):
+        if _exists(spark, path):
+            files.delete(place(old), True)
+        else:
+            files.rename(place(old), place(path))
+    there, others = _exists(spark, path), [c for c in df.columns if c not in keys]
+    out = df.groupBy(*keys).agg(F.max(F.struct(*others)).alias("r")).select(*keys, "r.*") if others else df.distinct()
     if there:
         out = out.unionByName(spark.read.parquet(path).join(df.select(*keys), keys, "left_anti"), allowMissingColumns=True)
-    part, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
     out.write.parquet(part)
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if there:
         files.rename(place(path), place(old))
     files.rename(place(part), place(path))

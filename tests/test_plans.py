@@ -86,3 +86,16 @@ def test_early_batches_are_whole(spark):
         early.checked(early.batch(spark.createDataFrame(good("a"), TICK), labels.unionByName(labels)), declared)
     empty = early.batch(spark.createDataFrame([], TICK), labels)
     assert early.checked(empty, declared.where("false"))[0].count() == 0
+
+
+def test_upsert_takes_the_old_table_back_and_picks_the_greatest_row(spark, tmp_path):
+    from millrace.sources import sinks
+
+    at = f"{tmp_path}/t"
+    row = lambda *r: spark.createDataFrame(list(r), "k int, v int, w string")
+    get = lambda: sorted(tuple(x) for x in spark.read.parquet(at).collect())
+    sinks.upsert(row((1, 5, "a"), (1, 7, "b"), (1, 7, "c"), (2, 1, "x")), at, ["k"])
+    assert get() == [(1, 7, "c"), (2, 1, "x")]
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a job that ended between the renames
+    sinks.upsert(row((2, 9, "y"), (3, 0, "z")), at, ["k"])
+    assert get() == [(1, 7, "c"), (2, 9, "y"), (3, 0, "z")] and not (tmp_path / "t.old").exists()
