@@ -13,12 +13,17 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hashing as H
+
 ROW = "__row"
+#: Bits of a filter: 4 MB at any size of the input.
+FILTER_BITS = 1 << 25
 #: Removes the shuffle files of a finished command.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -134,14 +139,36 @@ def slices(b: pa.RecordBatch, rows: int = 256):
         yield b.slice(i, rows)
 
 
-def squeezed(docs: DataFrame, *others: str) -> DataFrame:
-    """(row id, others, text compressed): half of what a shuffle of texts would move."""
+def filter_of(rows: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """A bit filter from (cell, mask) rows: at most size / 64 rows come to the driver, whatever the input."""
+    t = rows.groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[t.column("cell").to_numpy()] = t.column("mask").to_numpy().view(np.uint64)
+    return bits
+
+
+def row_filter(rows: DataFrame) -> np.ndarray:
+    """The filter of a table's row ids."""
+
+    @released
+    def run(batches):
+        for b in batches:
+            yield H.cells(H.mix(b.column(ROW).to_numpy().view(np.uint64).copy()), FILTER_BITS)
+
+    return filter_of(rows.select(ROW).mapInArrow(run, "cell int, mask long"))
+
+
+def squeezed(docs: DataFrame, *others: str, only: np.ndarray | None = None) -> DataFrame:
+    """(row id, others, text compressed): half of what a shuffle of texts would move. only: a filter of row ids; it leaves
+    out most of the rows that a join would drop, and none of the others."""
     names = [ROW, *others, "z"]
 
     @released
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in (c for whole in batches for c in slices(whole)):
+            if only is not None:
+                b = b.filter(pa.array(H.passes(only, H.mix(b.column(ROW).to_numpy().view(np.uint64).copy()))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array([z.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary())], names)
 
     return docs.select(*names[:-1], "text").mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", z binary")

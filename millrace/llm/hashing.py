@@ -96,6 +96,23 @@ def chunks(off: np.ndarray, size: int = 1 << 18):
         i = j
 
 
+def bits_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Two bits of a filter of size bits for each hash."""
+    return np.concatenate([h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size)]).astype(np.int64).reshape(2, -1)
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a filter (uint64 cells): all that are, and some others."""
+    a, b = bits_of(h, 64 * len(bits))
+    return ((bits[a >> 6] >> (a & 63).astype(np.uint64)) & (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def cells(h: np.ndarray, size: int) -> pa.RecordBatch:
+    """(cell, mask) rows that set the bits of hashes."""
+    at = bits_of(h, size).ravel()
+    return pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["cell", "mask"])
+
+
 def parts_of_batch(b: pa.RecordBatch, column: str, size: int):
     """Slices of a batch whose texts have about size bytes together; a longer text is one alone."""
     at = b.schema.get_field_index(column)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import ROW, documents, dropped, fixed, groups_for, keyed_text, released, released_group, ship, squeezed, stored, text_bytes, unsqueezed
+from .base import ROW, documents, dropped, fixed, groups_for, keyed_text, released, released_group, row_filter, ship, squeezed, stored, text_bytes, unsqueezed
 from .components import components
 
 #: Parts beyond the most that can differ.
@@ -40,6 +40,8 @@ SPARE = 3
 FLUSH = 1_000_000
 #: Text bytes for each group that tile keys are dealt into, and for each group of components.
 TILE_BYTES, TEXT_BYTES = 16 << 20, 24 << 20
+#: Compressed bytes of text whose shingles are numbered together, where a component is not larger.
+PART_BYTES = 512 << 10
 
 
 def band_of(size: int, percent: int) -> int:
@@ -288,30 +290,46 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _connect(comp: np.ndarray, entity: np.ndarray, arrays: list[np.ndarray], percent: int) -> np.ndarray:
+    """The label of each entity: the first one of those that it is linked with, within its component."""
+    size = np.array([len(x) for x in arrays])
+    label = entity.copy()
+    order = np.lexsort((entity, size, comp))
+    start = np.flatnonzero(np.r_[True, np.diff(comp[order]) != 0])
+    for k, end in zip(start, [*start[1:], len(order)], strict=True):
+        m = order[k:end]
+        s = size[m]
+        maps = [bitmap(H.mix(arrays[x].copy())) for x in m]
+        w = 8 * min(map(len, maps))
+        b, u = np.stack([fold(x, w) for x in maps]), Sets(len(m))
+        for i in range(len(m)):
+            j = i + 1 + np.flatnonzero(u.roots()[i + 1 :] != u.root[i])
+            j = j[s[j] * percent <= 100 * s[i]]
+            if len(j):
+                for q in j[passes(b[i], int(s[i]), b[j], s[j], percent)]:
+                    if u.find(i) != u.find(q) and linked(arrays[m[i]], arrays[m[q]], percent):
+                        u.join(i, q)
+        label[m] = entity[m][u.roots()]
+    return label
+
+
 def _exact(n: int, percent: int):
+    """Components of a group are independent: whole ones are taken together up to PART_BYTES of compressed text."""
+
     @released_group
     def run(t: pa.Table) -> pa.Table:
+        t = t.select(["component", "entity", "z"]).sort_by("component").combine_chunks()
         comp, entity = t.column("component").to_numpy(), t.column("entity").to_numpy()
-        data, off = H.buffers(unsqueezed(t.column("z")))
-        arrays = exact_sets(data, off, n)
-        size = np.array([len(x) for x in arrays])
-        label = entity.copy()
-        order = np.lexsort((entity, size, comp))
-        start = np.flatnonzero(np.r_[True, np.diff(comp[order]) != 0])
-        for k, end in zip(start, [*start[1:], len(order)], strict=True):
-            m = order[k:end]
-            s = size[m]
-            maps = [bitmap(H.mix(arrays[x].copy())) for x in m]
-            w = 8 * min(map(len, maps))
-            b, u = np.stack([fold(x, w) for x in maps]), Sets(len(m))
-            for i in range(len(m)):
-                j = i + 1 + np.flatnonzero(u.roots()[i + 1 :] != u.root[i])
-                j = j[s[j] * percent <= 100 * s[i]]
-                if len(j):
-                    for q in j[passes(b[i], int(s[i]), b[j], s[j], percent)]:
-                        if u.find(i) != u.find(q) and linked(arrays[m[i]], arrays[m[q]], percent):
-                            u.join(i, q)
-            label[m] = entity[m][u.roots()]
+        upto = np.cumsum(pa.compute.binary_length(t.column("z")).to_numpy())
+        ends = np.flatnonzero(np.r_[comp[1:] != comp[:-1], True]) + 1
+        label, lo = entity.copy(), 0
+        while lo < len(comp):
+            most = (upto[lo - 1] if lo else 0) + PART_BYTES
+            whole = ends[(ends > lo) & (upto[ends - 1] <= most)]
+            hi = int(whole[-1]) if len(whole) else int(ends[ends > lo][0])
+            data, off = H.buffers(unsqueezed(t.column("z").slice(lo, hi - lo)))
+            label[lo:hi] = _connect(comp[lo:hi], entity[lo:hi], exact_sets(data, off, n), percent)
+            lo = hi
         return pa.table({"entity": pa.array(entity), "label": pa.array(label)})
 
     return run
@@ -331,7 +349,7 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     edges = met.groupBy("group").applyInArrow(lambda t: _tiles(percent)(t), "a long, b long")
     comp = components(edges)
     reps = comp.join(maps.select("entity", ROW), comp["id"] == maps["entity"]).select(ROW, "entity", "component")
-    texts = squeezed(docs.select(ROW, "text")).join(reps, ROW)  # half of what plain texts would move
+    texts = squeezed(docs.select(ROW, "text"), only=row_filter(reps)).join(reps, ROW)
     dealt = texts.select(F.pmod(F.xxhash64("component"), F.lit(text_groups)).alias("group"), "component", "entity", "z")
     labels = stored(dealt.groupBy("group").applyInArrow(lambda t: _exact(n, percent)(t), "entity long, label long"), "labels")
     found = doc.join(labels, "entity", "left").select(ROW, "doc_id", "size", F.coalesce("label", "entity").alias("label"))

@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .base import documents, groups_for, released, stored, text_bytes
+from .base import FILTER_BITS, documents, filter_of, groups_for, released, stored, text_bytes
 
 #: Bytes of text that one suffix array spans, and words at most of a longer text.
 SHARD, SHARD_WORDS = 4 << 20, 1_000_000
-#: Bits of the filter of a level: 4 MB; bytes of text for each partition that counts are merged in.
-FILTER_BITS, MERGE_BYTES = 1 << 25, 4 << 20
+#: Bytes of text for each partition that counts are merged in.
+MERGE_BYTES = 4 << 20
 #: Parts of a language that are ranked apart first.
 SALTS = 64
 UNKNOWN = "und"
@@ -109,16 +109,6 @@ def intervals(ids: np.ndarray, last: np.ndarray, own: int, n: int) -> tuple[np.n
     return order[start[whole]], count[whole]
 
 
-def bits_of(h: np.ndarray, size: int) -> np.ndarray:
-    """Two bits of a filter of size bits for each hash."""
-    return np.concatenate([h % np.uint64(size), (h >> np.uint64(32)) % np.uint64(size)]).astype(np.int64).reshape(2, -1)
-
-
-def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = bits_of(h, 64 * len(bits))
-    return ((bits[a >> 6] >> (a & 63).astype(np.uint64)) & (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-
-
 def hash_strings(a: pa.Array) -> np.ndarray:
     data, off = H.buffers(a)
     return H.span_hash(H.prefix(data), off[:-1], off[1:])
@@ -143,8 +133,7 @@ def _bits(size: int):
             n = len(word[0]) if len(b) else 0  # all phrases of a level have as many words
             h = hash_strings(word.flatten()) if n else np.zeros(0, np.uint64)
             lang = np.repeat(hash_strings(b.column("lang")), n)
-            at = bits_of(run_hash_rows(H.mix(h ^ lang).reshape(len(b), n)) if n else h, size).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["cell", "mask"])
+            yield H.cells(run_hash_rows(H.mix(h ^ lang).reshape(len(b), n)) if n else h, size)
 
     return run
 
@@ -158,10 +147,7 @@ def run_hash_rows(h: np.ndarray) -> np.ndarray:
 
 def bit_filter(frequent: DataFrame) -> np.ndarray:
     """The filter of (lang, phrase): at most FILTER_BITS / 64 rows come to the driver, whatever the input."""
-    rows = frequent.select("lang", "phrase").mapInArrow(_bits(FILTER_BITS), "cell int, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[rows.column("cell").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
-    return bits
+    return filter_of(frequent.select("lang", "phrase").mapInArrow(_bits(FILTER_BITS), "cell int, mask long"), FILTER_BITS)
 
 
 def possible(h: np.ndarray, last: np.ndarray, n: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +156,7 @@ def possible(h: np.ndarray, last: np.ndarray, n: int, bits: np.ndarray) -> tuple
     size = len(h)
     inside = np.zeros(size + 1, bool)  # a run of n - 1 words starts here, within a piece, and passes
     run = run_hash(h, n - 1)
-    inside[: len(run)] = passes(bits, run)
+    inside[: len(run)] = H.passes(bits, run)
     for k in range(n - 2):
         inside[: len(run)] &= ~last[k : k + len(run)]
     start = np.flatnonzero(inside[:-1] & inside[1:] & ~last)  # and one starts after it
