@@ -7,7 +7,8 @@ resemblance, containment and distinct shingle counts.
 Words are lower-cased runs between bytes 9-13 and 32. A text of fewer than five words (but some)
 has one shingle, of all its words; a text without words, and a null one, has an empty sketch.
 Two empty sketches resemble each other fully, an empty and another one not at all. Equal texts
-have equal sketches. Repeated rows are kept; only the named columns are, so none can clash; an
+have equal sketches. A very long text is sketched whole, and only hashes of the lowest part of the
+range are sorted. Repeated rows are kept; only the named columns are, so none can clash; an
 empty table gives an empty table.
 """
 

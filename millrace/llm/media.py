@@ -4,7 +4,8 @@
 here has 8-bit RGB samples, WIDTH pixels a row, so a payload is a whole number of 192-byte rows.
 
 Defined results: a null text is empty; an empty text becomes one row of spaces; equal payloads
-give equal media and features; a damaged chunk raises ValueError; input columns other than those
+give equal media and features; a damaged chunk raises ValueError; a very long
+text is one image, with the payload held a few times in its task; input columns other than those
 named are dropped, so none can clash; an empty table gives an empty table.
 """
 

@@ -9,7 +9,8 @@
 3. Ranks are counted through over the parts (a table of parts x lengths), and the piece of a
    length with rank r takes the r-th place that the plan has for that length.
 
-Defined results: a null or empty text is its end token alone; repeated rows are packed each;
+Defined results: a null or empty text is its end token alone; repeated rows are packed each; a very long text
+is cut into as many pieces as it needs, its ids made in one task;
 no rows give no pieces; other columns are dropped, so none can clash.
 """
 

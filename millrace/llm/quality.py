@@ -9,7 +9,7 @@ It is fitted on the driver, on at most SAMPLE labelled rows (those of the smalle
 ids); each executor scores whole texts.
 
 Defined results: a null text is empty; an empty text has no features and gets the grades of score
-0; no labels give every row tail 1 (all are kept); repeated rows are scored each; of several
+0; a very long text counts whole, its words hashed in blocks; no labels give every row tail 1 (all are kept); repeated rows are scored each; of several
 labels of one id the least grade counts, of several texts of one id the one whose features come
 first as bytes; an empty table gives an empty table.
 """

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import ROW, documents, keyed_text, stored
+from .base import ROW, documents, fixed, keyed_text, stored, with_row
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes that stand between words: all of ASCII but letters and digits.
@@ -101,8 +101,9 @@ def ranked(scored: DataFrame, percent: int) -> DataFrame:
 
 def resample(docs: DataFrame, target: DataFrame, least: int = 1, most: int = 1, buckets: int = 10_000, seed: int = 2024, percent: int = 10, min_words: int = 20) -> DataFrame:
     """(row id, doc_id, n_features, weight, score, rank) of (row id, doc_id, text) against target texts."""
+    docs = fixed(docs)  # read more than once: row ids must stay
     own = features(docs, ROW, least, most)
-    gain = gains(own, features(target.select("text", F.lit(0).alias("key")), "key", least, most), buckets)
+    gain = gains(own, features(with_row(target.select("text")), ROW, least, most), buckets)
     met = own.select(ROW, bucket(F.col("feature"), buckets).alias("bucket")).join(F.broadcast(gain), "bucket")
     sums = met.groupBy(ROW).agg(F.count(F.lit(1)).alias("n_features"), F.sum("gain").alias("total"))
     rows = docs.select(ROW, "doc_id", F.size(words(F.col("text"))).alias("n_words")).join(sums, ROW, "left")

@@ -16,7 +16,8 @@ An anchor of more than SPLIT distinct segments is split by what stands to its le
 right: of two equal windows, FLANK bytes on one side at least agree.
 
 Defined results: a null text is empty, nothing is removed from it; matches never cross texts;
-texts shorter than LENGTH lose nothing; of equal rows each loses the bytes that it shares; other
+texts shorter than LENGTH lose nothing; of equal rows each loses the bytes that it shares; a
+very long text is cut into segments in one task, with some 50 bytes held for each of its own; other
 columns are dropped, so none can clash; an empty table gives an empty table.
 """
 
