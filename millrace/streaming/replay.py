@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ORDER = ("receive_ms", "source_ms", "source_row")
 LEVELS = "condition_id long, token string, side string, tick long, size double"
 
 
 class Market(StatefulProcessor):
-    """Both books of a market. Rows of a micro-batch are taken in order of receive time; a batch holds whole
-    milliseconds of a market, so that no group of changes is cut in two."""
+    """Both books of a market. Rows of a micro-batch come in order of receive time and are taken one by one, so a task holds
+    a market's levels and one group of changes; a batch holds whole milliseconds of a market, so that no group is cut in two."""
 
     def __init__(self, scale: int):
         self.scale = scale
@@ -34,7 +36,12 @@ class Market(StatefulProcessor):
             books[token][side, tick] = size
         before = {(t, *k): s for t, b in books.items() for k, s in b.items()}
         group: list[Row] = []
-        for r in sorted(rows, key=lambda r: (r["receive_ms"], r["source_ms"], r["source_row"])):
+        last = None
+        for r in rows:
+            at = tuple(r[c] for c in ORDER)
+            if last is not None and at < last:
+                raise ValueError(f"rows of market {key[0]} are not in order: {at} after {last}")
+            last = at
             change = r["event_type"] == "price_change"
             if group and (not change or r["receive_ms"] != group[0]["receive_ms"]):
                 self._change(books, group)
@@ -91,4 +98,10 @@ def levels(rows: DataFrame, scale: int = 1000) -> DataFrame:
     """All levels of a market after each micro-batch in which it had rows, and a row with a null side for each of
     its tokens. rows: a stream as `operators.replay` takes."""
     known = rows.where("event_type IS NOT NULL AND receive_ms IS NOT NULL AND token IS NOT NULL")
+    book = F.col("event_type") == "book"
+    known = known.withColumns({c: F.when(book, F.col(c)) for c in ("bids", "asks")})  # no other row uses them
+    # Spark sorts each micro-batch, on disk where it is large. Its check refuses any sort of a stream: it can't tell that this one is
+    # within a batch. Order holds across batches as rows arrive, and the processor fails on rows that come out of order.
+    known.sparkSession.conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
+    known = known.repartition("condition_id").sortWithinPartitions("condition_id", *ORDER)
     return known.groupBy("condition_id").transformWithState(Market(scale), LEVELS, "Update", "None")

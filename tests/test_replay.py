@@ -155,3 +155,46 @@ def test_gaps_of_a_log(spark):
     df = spark.createDataFrame([(x,) for x in [*have, 5]], "sequence long")
     assert sorted(tuple(r) for r in replay.gaps(df).collect()) == [(5, 3), (n - 1, 7), (n + 3, n + 1), (3 * n + 7, n + 4)]
     assert [tuple(r) for r in replay.gaps(df.where("sequence > 4 AND sequence < 7")).collect()] == [(5, 0)]
+
+
+class _Held(dict):
+    """A map state in memory."""
+
+    def iterator(self):
+        return iter([(k, v) for k, v in self.items()])
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    def removeKey(self, k):
+        self.pop(k, None)
+
+
+def test_a_stream_holds_one_group_of_changes_not_a_markets_rows():
+    import weakref
+
+    from millrace.streaming import replay as streams
+
+    class R(dict):
+        __hash__ = object.__hash__
+        __eq__ = object.__eq__
+
+    alive, most = weakref.WeakSet(), [0]
+    names = [f.split()[0] for f in streams.LEVELS.split(", ")]
+
+    def rows(times):
+        for k, ms in enumerate(times):
+            r = R(token="a", other_token="b", side="BUY", tick=k % 9, size=1.0, best_bid=None, best_ask=None, bids=[], asks=[], receive_ms=ms, source_ms=ms, source_row=k, event_type="price_change" if k else "book")
+            alive.add(r)
+            most[0] = max(most[0], len(alive))
+            yield r
+
+    def run(times):
+        m = streams.Market(100)
+        m.levels, m.tokens = _Held(), _Held()
+        return [tuple(r[c] for c in names) for r in m.handleInputRows((1,), rows(times), None)]
+
+    assert {r[3] for r in run([k // 5 for k in range(3000)])} == {None, *range(9)}
+    assert most[0] < 20
+    with pytest.raises(ValueError, match="not in order"):
+        run([1, 3, 2])
