@@ -167,3 +167,46 @@ def test_processing_time_timers_fire_without_new_rows(spark, files, tmp_path):
         for q in running:
             q.stop()
     assert ("a", True) in stale and {(1, 1), (1, 2)} <= due and not any(c == 2 for c, _ in due)
+
+
+def test_a_watch_calls_its_store_only_for_what_changes():
+    from millrace.streaming.reference import ResolutionWatch
+
+    calls, held = [], {}
+
+    class Store:
+        def exists(self):
+            calls.append("exists")
+            return "v" in held
+
+        def get(self):
+            calls.append("get")
+            return held.get("v")
+
+        def update(self, v):
+            calls.append("update")
+            held["v"] = v
+
+        def listTimers(self):
+            calls.append("list")
+            return iter([7])
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+
+        def registerTimer(self, at):
+            calls.append(f"at {at}")
+
+    w = ResolutionWatch(10, 10, 1)
+    w.handle = w.state = Store()
+
+    def run(end, resolved):
+        calls.clear()
+        assert list(w.handleInputRows((1,), iter([{"end_ms": end, "resolved": resolved}]), None)) == []
+        return list(calls)
+
+    assert run(100, False) == ["get", "update", "at 110"]
+    assert run(None, False) == ["get"]
+    assert run(200, False) == ["get", "update", "list", "delete", "at 210"]
+    assert run(None, True) == ["get", "update", "list", "delete"]
+    assert run(None, True) == ["get"]
