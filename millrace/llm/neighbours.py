@@ -1,16 +1,19 @@
-"""Embedding near-dedup by spherical-cap filters: structured random product codes, joined on filters, verified.
+"""Embedding near-dedup by spherical-cap filters: structured random product codes, list-decoded, joined on filters, verified.
 
 1. Equal vectors are one entity with a number of copies, so copies never meet as pairs.
 2. A filter is a direction: one codeword of each of `blocks` blocks of the (randomly rotated) dimensions.
-   A vector passes every filter whose inner product with it reaches `alpha`. All of them are
-   found by list decoding, block by block, without visiting the others.
-3. alpha and the number of codes follow from the number of vectors, the dimension and the cosine (`plan`): a
-   filter holds BUCKET unrelated vectors on average at any size. Filters of one product code fail together, so
-   independent codes are added until random pairs at the cosine itself share a filter in all but 2 cases of 1000.
-   Pairs above the cosine share more.
-4. Entities are joined on the filters that two or more of them pass. Members of a filter are dealt into chunks
-   of CHUNK; each two chunks are a tile, so a hot filter is spread over tasks and none is cut short.
-5. In a tile all cosines are one product of matrices. A pair counts in the first filter that both pass
+   A vector passes a filter whose inner product with it reaches `alpha`. All of them are found by list
+   decoding, block by block, without visiting the others; the `keep` nearest ones are used.
+3. The number of filters follows from the number of vectors, so that a filter has about MEMBERS members at any size;
+   alpha and `keep` follow from the dimension and the cosine (`plan`): random pairs at the cosine itself share a kept
+   filter in all but 2 cases of 1000. Pairs above the cosine share more.
+4. Entities meet in their filters as sketches, a byte a component with the sketch's own error, an entity once in each
+   group of filters. An entity stays in a filter if a pair of it may reach the cosine within the errors, and if that
+   filter is the first that both have kept: no link is lost, and unrelated members go before vectors move.
+   Filters of more than SKETCHES members are spread over tasks in tiles of chunks.
+5. What stays is joined with its vectors. Members of a filter are dealt into chunks of CHUNK; each two chunks are
+   a tile, so a hot filter is spread over tasks and none is cut short.
+6. In a tile all cosines are one product of matrices. A pair counts in the first filter that both stayed in
    and nowhere else, so links are exact without a list of pairs; a spanning forest of a tile's links
    goes to the components.
 
@@ -32,17 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ROW, dropped, groups_for, released, released_group, ship, stored, with_row
+from . import hashing as H
+from .base import ROW, dropped, groups_for, released, released_group, row_filter, ship, stored, with_row
 from .components import components
 
-#: Unrelated vectors that pass a filter, on average; filters of one code that a vector passes, on average.
-BUCKET, PASSED = 0.25, 60
-#: Codewords of a block at most, dimensions of a block at least, codes at most.
-WORDS, LEAST_DIMS, CODES = 8192, 8, 16
-#: Random pairs at the bound that codes are added for, until MISSED of them at most share no filter.
+#: Members of a filter on average; filters at least; filters that a vector passes, of which the nearest are kept.
+MEMBERS, LEAST_FILTERS, PASSED = 2048, 64, 60
+#: Codewords of a block at most, dimensions of a block at least.
+WORDS, LEAST_DIMS = 8192, 8
+#: Random pairs at the bound that filters are kept for, until MISSED of them at most share no filter.
 PAIRS, MISSED = 1000, 2
 #: Members of a chunk, vectors decoded at once, bytes of a group of tiles.
 CHUNK, DECODE, GROUP_BYTES = 512, 256, 16 << 20
+#: Members of a chunk of sketches, sketches compared at once with a chunk, pairs whose filters are compared at once.
+SKETCHES, BLOCK, SLICE = 8192, 512, 1 << 18
 
 
 class Plan(NamedTuple):
@@ -52,6 +58,7 @@ class Plan(NamedTuple):
     blocks: int
     words: int
     codes: int
+    keep: int = 0  # the nearest filters of a vector that count; 0: all that reach alpha
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -78,22 +85,35 @@ def pairs_at(d: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=64)
 def plan(n: int, d: int, cosine: float) -> Plan:
-    """Filters for n vectors of d dimensions: caps of the size that leaves BUCKET unrelated vectors each, and as
-    many independent codes as pairs at the bound need. Where few dimensions would need too many codes, caps widen."""
-    blocks = max(1, min(d // LEAST_DIMS, math.ceil(math.log(PASSED * n / BUCKET) / math.log(WORDS))))
-    share = min(0.25, max(BUCKET / n, PASSED / WORDS**blocks))
-    words = max(2, min(WORDS, math.ceil((PASSED / share) ** (1 / blocks))))
-    alpha, whole, (a, b) = cap(d, share), words**blocks, pairs_at(d, cosine)
-    while alpha > 0:
-        seen = np.zeros(PAIRS, bool)
-        for codes in range(1, CODES + 1):
-            one = Plan(alpha, blocks, words, 1)
-            found = [np.concatenate([(lo + at) * whole + name % whole for lo in range(0, PAIRS, DECODE) for at, name in [decode(x[lo : lo + DECODE], one, codes - 1)]]) for x in (a, b)]
-            seen[np.intersect1d(*found) // whole] = True
-            if PAIRS - seen.sum() <= MISSED:
-                return Plan(alpha, blocks, words, codes)
+    """Filters for n vectors of d dimensions: as many as leave about MEMBERS members each, and as many kept by a
+    vector as pairs at the bound need. Where too few pass, caps widen."""
+    filters = max(LEAST_FILTERS, math.ceil(8 * n / MEMBERS))
+    blocks = max(1, min(d // LEAST_DIMS, math.ceil(math.log(filters) / math.log(WORDS))))
+    words = math.ceil(filters ** (1 / blocks))
+    alpha, (a, b) = cap(d, min(0.5, PASSED / words**blocks)), pairs_at(d, cosine)
+    while True:
+        one = Plan(alpha, blocks, words, 1)
+        worse = np.sort([_shared(x, y) for x, y in zip(_nearest(a, one), _nearest(b, one), strict=True)])
+        keep = worse[PAIRS - MISSED - 1]
+        if keep < words**blocks or alpha < -1:
+            return Plan(alpha, blocks, words, 1, int(min(keep, words**blocks - 1)) + 1)
         alpha -= 0.02
-    return Plan(0.0, blocks, words, CODES)
+
+
+def _nearest(x: np.ndarray, plan: Plan) -> list[np.ndarray]:
+    """The filters of each unit vector, nearest first."""
+    out = []
+    for lo in range(0, len(x), DECODE):
+        at, name, gain = _decoded(x[lo : lo + DECODE], plan, 0)
+        name = name[np.lexsort((name, -gain, at))]
+        out += np.split(name, np.cumsum(np.bincount(at, minlength=len(x[lo : lo + DECODE])))[:-1])
+    return out
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The least place up to which two lists share a filter; very large if they share none."""
+    _, i, j = np.intersect1d(a, b, return_indices=True)
+    return int(np.maximum(i, j).min()) if len(i) else 1 << 40
 
 
 @lru_cache(maxsize=32)
@@ -109,7 +129,19 @@ def code(d: int, blocks: int, size: int, number: int) -> tuple[np.ndarray, list[
 
 
 def decode(x: np.ndarray, plan: Plan, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, filter) of every filter of a code with an inner product of alpha or more with a unit vector."""
+    """(vector, filter) of every filter of a code with an inner product of alpha or more with a unit vector, or of
+    the nearest of them."""
+    at, name, gain = _decoded(x, plan, number)
+    if plan.keep:
+        order = np.lexsort((name, -gain, at))
+        at, name = at[order], name[order]
+        near = np.arange(len(at)) - np.searchsorted(at, at) < plan.keep
+        at, name = at[near], name[near]
+    return at, name
+
+
+def _decoded(x: np.ndarray, plan: Plan, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, filter, inner product) of every filter of a code that reaches alpha."""
     rotation, words = code(x.shape[1], plan.blocks, plan.words, number)
     parts = np.array_split(x @ rotation, np.cumsum([w.shape[1] for w in words])[:-1], axis=1)
     gain = [p @ w.T for p, w in zip(parts, words, strict=True)]
@@ -129,7 +161,7 @@ def decode(x: np.ndarray, plan: Plan, number: int = 0) -> tuple[np.ndarray, np.n
         at, total, name = np.repeat(at, n), np.repeat(total, n), np.repeat(name, n)
         total = total + 4.0 * at - key[step]
         name = name * plan.words + word[step]
-    return at, name
+    return at, name, total
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -139,6 +171,13 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def sketch(x: np.ndarray) -> list[bytes]:
+    """Unit vectors in a byte a component, each followed by its error: the distance from what its bytes point at."""
+    q = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    error = np.linalg.norm(x - unit(q.astype(np.float64)), axis=1).astype(np.float32) + np.float32(1e-6)
+    return [a.tobytes() + e.tobytes() for a, e in zip(q, error, strict=True)]
+
+
 def _decode(plans: dict[int, Plan]):
     @released
     def run(batches):
@@ -149,9 +188,116 @@ def _decode(plans: dict[int, Plan]):
                 for lo in range(0, len(rows), DECODE):
                     part = b.take(pa.array(rows[lo : lo + DECODE]))
                     x = unit(matrix(part.column("vec")))
-                    for number in range(plans[int(d)].codes):
-                        at, name = decode(x, plans[int(d)], number)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), pa.array(name), part.column("entity").take(pa.array(at))], names=["dim", "filter", "entity"])
+                    at, name = decode(x, plans[int(d)])
+                    order = np.lexsort((name, at))
+                    cut = np.searchsorted(at[order], np.arange(len(x) + 1))
+                    filters = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(name[order].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column("dim"), part.column("entity"), filters, pa.array(sketch(x), pa.binary())], names=["dim", "entity", "filters", "sketch"])
+
+    return run
+
+
+def _first(lists: np.ndarray, i: np.ndarray, j: np.ndarray, name: int) -> np.ndarray:
+    """Whether a filter is the lowest that the lists of rows i and j share; lists are padded with -1."""
+    a, b = lists[i], lists[j]
+    early = np.zeros(len(i), bool)
+    for c in range(a.shape[1]):
+        early |= (a[:, c] >= 0) & (a[:, c] < name) & (b == a[:, c, None]).any(axis=1)
+    return ~early
+
+
+def _may_link(q: np.ndarray, error: np.ndarray, lists: np.ndarray, name: int, cosine: float, side: np.ndarray | None) -> np.ndarray:
+    """Which members of a filter have a pair there that may reach the cosine; side: only pairs across the two sides count."""
+    stays = np.zeros(len(q), bool)
+    for lo in range(0, len(q), BLOCK):
+        near = q[lo : lo + BLOCK] @ q[lo:].T >= (cosine - error[lo : lo + BLOCK])[:, None] - error[lo:][None, :]
+        near &= np.arange(len(q) - lo)[None, :] > np.arange(len(near))[:, None]
+        if side is not None:
+            near &= side[lo : lo + BLOCK][:, None] != side[lo:][None, :]
+        i, j = np.nonzero(near)
+        for k in range(0, len(i), SLICE):
+            a, b = i[k : k + SLICE] + lo, j[k : k + SLICE] + lo
+            some = ~(stays[a] & stays[b])
+            a, b = a[some], b[some]
+            first = _first(lists, a, b, name)
+            stays[a[first]] = stays[b[first]] = True
+    return stays
+
+
+def group_of(filters: np.ndarray, groups: int) -> np.ndarray:
+    return (H.mix(filters.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+def _deal(groups: int, hot: dict[tuple[int, int], int]):
+    """Sends each sketch once to each group of its filters, and to the tiles of hot ones (group -1 - filter, tile
+    left * 2**15 + right)."""
+
+    @released
+    def run(batches):
+        for b in batches:
+            column, dims = b.column("filters"), b.column("dim").to_numpy()
+            count, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(b)), count)
+            chunks = np.array([hot.get((d, f), 0) for d, f in zip(dims[owner].tolist(), flat.tolist(), strict=True)] if hot else np.zeros(len(flat)), np.int64)
+            cold = chunks == 0
+            once = np.unique(owner[cold] * groups + group_of(flat[cold], groups))
+            at, group = once // groups, once % groups
+            tile, chunk = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            if not cold.all():
+                o, f, n = owner[~cold], flat[~cold], chunks[~cold]
+                own = (H.mix(b.column("entity").to_numpy().view(np.uint64)[o]) % n.astype(np.uint64)).astype(np.int64)
+                o, f, own, n = (np.repeat(x, n) for x in (o, f, own, n))
+                other = np.arange(len(o)) - np.searchsorted(o * (1 << 31) + f, o * (1 << 31) + f)
+                at, group, chunk = np.concatenate([at, o]), np.concatenate([group, -1 - f]), np.concatenate([chunk, own])
+                tile = np.concatenate([tile, np.minimum(own, other) << 15 | np.maximum(own, other)])
+            rows = b.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(tile.astype(np.int32)), pa.array(chunk.astype(np.int32)), *(rows.column(c) for c in ("dim", "entity", "filters", "sketch"))], names=["group", "tile", "chunk", "dim", "entity", "filters", "sketch"])
+
+    return run
+
+
+def _sift(cosine: float, groups: int, hot: dict[tuple[int, int], int]):
+    """(dim, entity, filter) of the members that stay, of a group of filters, or of a tile of a hot one."""
+
+    @released_group
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        entity, chunk = t.column("entity").to_numpy(), t.column("chunk").to_numpy()
+        d, group, tile = (t.column(c)[0].as_py() for c in ("dim", "group", "tile"))
+        raw = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(t), d + 4)
+        q = unit(raw[:, :d].view(np.int8).astype(np.float32))
+        error = np.ascontiguousarray(raw[:, d:]).view(np.float32).ravel()
+        column = t.column("filters").combine_chunks()
+        count, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(t)), count)
+        lists = np.full((len(t), int(count.max(initial=1))), -1, np.int32)
+        lists[owner, np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)] = flat
+        if group < 0:
+            found = [(-1 - group, np.arange(len(t)), chunk if tile >> 15 != tile & 0x7FFF else None)]
+        else:
+            here = np.flatnonzero(group_of(flat, groups) == group)
+            order = here[np.argsort(flat[here], kind="stable")]
+            start = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
+            found = [(int(flat[order[k]]), owner[order[k:end]], None) for k, end in zip(start, [*start[1:], len(order)], strict=True)]
+            found = [x for x in found if (d, x[0]) not in hot]
+        names, who = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for name, m, side in found:
+            stays = entity[m[_may_link(q[m], error[m], lists[m], name, cosine, side)]]
+            names.append(np.full(len(stays), name, np.int64))
+            who.append(stays)
+        names, who = np.concatenate(names), np.concatenate(who)
+        return pa.table({"dim": pa.array(np.full(len(who), d, np.int32)), "entity": pa.array(who), "filter": pa.array(names)})
+
+    return run
+
+
+def _only(bits: np.ndarray):
+    """Leaves out most entities that a filter of row ids does not hold."""
+
+    @released
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(H.passes(bits, H.mix(b.column("entity").to_numpy().view(np.uint64).copy()))))
 
     return run
 
@@ -245,16 +391,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of (row id, vec_id, vec), a row each."""
     usable = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     # Equal text is equal numbers: shortest forms that read back exactly.
-    rows = vectors.select(ROW, "vec_id", "vec", F.when(F.coalesce(usable, F.lit(False)), F.sha2(F.col("vec").cast("string"), 256)).alias("same"))
+    same = F.unhex(F.substring(F.sha2(F.col("vec").cast("string"), 256), 1, 32))
+    rows = vectors.select(ROW, "vec_id", "vec", F.when(F.coalesce(usable, F.lit(False)), same).alias("same"))
     entities = stored(rows.where("same is not null").groupBy("same").agg(F.min(ROW).alias("entity"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.any_value("vec").alias("vec")).withColumn("dim", F.size("vec")), "entities")
     sizes = {r["dim"]: r["count"] for r in entities.groupBy("dim").count().collect()}  # a row a length
     plans = {d: plan(n, d, cosine) for d, n in sizes.items()}
-    passed = stored(entities.select("dim", "entity", "vec").mapInArrow(_decode(plans), "dim int, filter long, entity long"), "passed")
-    met = passed.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dim", "filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    hits = stored(passed.join(met, ["dim", "filter"]).select("entity", "filter", "chunks"), "hits")
+    passed = stored(entities.select("dim", "entity", "vec").mapInArrow(_decode(plans), "dim int, entity long, filters array<int>, sketch binary"), "passed")
+    many = passed.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").count().where(F.col("count") > SKETCHES)
+    hot = {(r["dim"], r["filter"]): -(-r["count"] // SKETCHES) for r in many.collect()}  # a row for more than SKETCHES members
+    groups = groups_for(sum(n * plans[d].keep * (d + 40) for d, n in sizes.items()), GROUP_BYTES)
+    dealt = passed.mapInArrow(_deal(groups, hot), "group long, tile int, chunk int, dim int, entity long, filters array<int>, sketch binary")
+    sifted = stored(dealt.groupBy("group", "tile", "dim").applyInArrow(_sift(cosine, groups, hot), "dim int, entity long, filter long").distinct(), "sifted")
+    met = sifted.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).select("dim", "filter", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    hits = stored(sifted.join(met, ["dim", "filter"]).select("entity", "filter", "chunks"), "hits")
     size = hits.agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0] * (8 * max(sizes, default=0) + 600)
     lists = hits.groupBy("entity").agg(F.collect_list(F.struct("filter", "chunks")).alias("hits"))  # as long as a vector's list
-    members = entities.join(lists, "entity").select("dim", "entity", "copies", "vec", F.transform("hits", lambda h: h["filter"]).alias("filters"), F.explode("hits").alias("hit"))
+    near = entities.select("dim", "entity", "copies", "vec")
+    near = near.mapInArrow(_only(row_filter(hits.select(F.col("entity").alias(ROW)))), near.schema)
+    members = near.join(lists, "entity").select("dim", "entity", "copies", "vec", F.transform("hits", lambda h: h["filter"]).alias("filters"), F.explode("hits").alias("hit"))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("entity"), F.col("hit.chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("hit.chunks") - 1)))
     tile = members.select("dim", F.col("hit.filter").alias("filter"), F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "entity", "copies", "vec", "filters")
     group = F.pmod(F.xxhash64("dim", "filter", "left", "right"), F.lit(groups_for(size, GROUP_BYTES)))
@@ -264,7 +418,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     who = entities.select("same", "entity", "copies", "least").join(counts, "entity", "left").join(comp.withColumnRenamed("id", "entity"), "entity", "left").withColumn("component", F.coalesce("component", "entity"))
     least = who.groupBy("component").agg(F.min("least").alias("component_id"))
     of = stored(who.join(least, "component").select("same", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "classes")
-    for table in (passed, hits, found, comp, entities):
+    for table in (passed, sifted, hits, found, comp, entities):
         dropped(table)
     every = rows.select("vec_id", "same").join(of, "same", "left")
     component = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))

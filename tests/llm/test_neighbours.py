@@ -101,3 +101,31 @@ def test_a_tie_at_the_bound_is_decided_by_exact_sums():
     b = np.array([0.9, np.sqrt(1 - 0.81)])
     x = np.array([[1.0, 0.0], b])
     assert neighbours.links(x, 0.9)[0, 1] == (neighbours.exact_cosine(x[0], x[1]) >= 0.9)
+
+
+@pytest.mark.parametrize("most", [8192, 11])
+def test_sketches_lose_no_link(spark, most, monkeypatch):
+    """Groups around the bound, in filters that are whole and in tiles of hot ones."""
+    monkeypatch.setattr(neighbours, "SKETCHES", most)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    r = np.random.default_rng(6)
+    centre = r.standard_normal((5, 24))
+    v = np.concatenate([r.standard_normal((200, 24)), *(c + r.standard_normal((30, 24)) * s for c, s in zip(centre, (0.05, 0.2, 0.32, 0.34, 0.4), strict=True))])
+    assert run(spark, list(enumerate(v))) == brute(list(enumerate(v)))
+
+
+def test_sketch_errors_bound_the_cosine():
+    r = np.random.default_rng(7)
+    x = neighbours.unit(r.standard_normal((200, 40)) * r.exponential(1, (200, 40)) ** 3)
+    raw = neighbours.sketch(x)
+    q = neighbours.unit(np.array([np.frombuffer(b[:40], np.int8) for b in raw], np.float64))
+    e = np.array([np.frombuffer(b[40:], np.float32)[0] for b in raw], np.float64)
+    assert (np.abs(q @ q.T - x @ x.T) <= e[:, None] + e[None, :]).all()
+
+
+@pytest.mark.parametrize("n", [2_000, 50_000, 600_000])
+def test_filters_of_a_vector_stay_few(n):
+    """What is shuffled follows from the filters of a vector: 180 of them at 50,000 vectors filled the disk."""
+    plan = neighbours.plan(n, 64, 0.9)
+    at, _ = neighbours.decode(neighbours.unit(np.random.default_rng(n).standard_normal((300, 64))), plan)
+    assert plan.codes * len(at) / 300 <= 12
