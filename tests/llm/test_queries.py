@@ -496,3 +496,44 @@ def test_pipeline_stages(spark, hard):
     packed = corpus_pipeline.pack(spark, docs, hard)
     assert packed.groupBy("doc_id").count().count() > 0
     assert corpus_pipeline.run(spark, hard).count() > 0
+
+
+@pytest.mark.parametrize("shard", [10_000, 150])
+def test_toxicity_learns_from_every_labelled_row(spark, shard, monkeypatch):
+    """Every row trains the net or places its cuts, in one shard and in many."""
+    monkeypatch.setattr(toxicity, "SHARD", shard)
+    r = np.random.default_rng(3)
+    plain = ["w%d" % k for k in range(60)]
+    rows = []
+    for k in range(700):
+        w = list(r.choice(plain, 12))
+        if k % 2:
+            w[int(r.integers(12))] = "vile"
+        rows.append((k, "en", " ".join(w), k % 2))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, toxic int").repartition(3)
+    seen = []
+    real = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda rows, n, share: seen.append((rows.count(), n)) or real(rows, n, share))
+    placed = []
+    place = toxicity.place
+    monkeypatch.setattr(toxicity, "place", lambda net, z, label, lang, count: placed.append(int(count.sum())) or place(net, z, label, lang, count))
+    net = toxicity.learn(df.select("doc_id", "lang", "text"), df.select("doc_id", "toxic"))
+    back = sum(zlib.crc32(b"calibrate%d" % k) % 5 == 0 for k in range(700))
+    assert seen == [(700 - back, 700 - back)] and placed == [back]
+    got = toxicity.score(df.select("doc_id", "text", "toxic"), net).collect()
+    assert np.mean([(x["score"] >= 0.7) == (x["toxic"] == 1) for x in got]) > 0.95
+
+
+def test_toxicity_has_no_bound_on_rows(spark):
+    """More rows of a class than the 2,500 that an earlier form fitted on."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("some "), F.when(F.col("id") % 2 == 1, "vile").otherwise("kind")).alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = toxicity._labelled(df.select("doc_id", "lang", "text"), df.select("doc_id", "toxic"))
+    assert rows.count() == 6000 and rows.where("back").count() == sum(zlib.crc32(b"calibrate%d" % k) % 5 == 0 for k in range(6000))
+
+
+def test_cuts_of_counted_logits():
+    r = np.random.default_rng(8)
+    z, label = np.round(r.standard_normal(3000), 1), (r.random(3000) < 0.3).astype(float)
+    z += label
+    key, count = np.unique(np.stack([z, label]), axis=1, return_counts=True)
+    assert toxicity.best_cut(z, label) == toxicity.best_cut(key[0], key[1], count=count)
