@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Pairs of adjacent symbols wait in an agenda ordered by score, then place; the best is merged and
-its neighbours join the agenda. No piece of the vocabulary has the space mark after another
+its neighbours join the agenda (a heap; in a part of at most SHORT characters the pairs' costs in their order, of which the
+least is taken). No piece of the vocabulary has the space mark after another
 character, so no merge crosses into a space mark: a text is cut before each run of marks and every
 cut part is encoded by itself and kept. Parts not met before are checked against the sentencepiece
 library, Arrow batch by Arrow batch; a difference raises.
@@ -14,8 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
-from itertools import filterfalse
+from itertools import filterfalse, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,8 @@ from .base import documents, keyed_text, released, tokenizer_path
 MARK = "▁"
 #: Parts kept by a Python worker; beyond it the store is emptied and fills again.
 KEEP = 1_000_000
+#: Longest part whose agenda is a plain list.
+SHORT = 48
 
 
 class Vocabulary:
@@ -37,6 +41,7 @@ class Vocabulary:
         special = {i for i in n if lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i)}
         self.id = {self.piece[i]: i for i in n if i not in special}
         self.score = {self.piece[i]: lib.get_score(i) for i in n if i not in special}
+        self.cost = {x: -s for x, s in self.score.items()}
         self.byte = {int(self.piece[i][3:5], 16): i for i in n if lib.is_byte(i)}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.shown = [p.replace(MARK, " ") for p in self.piece]
@@ -46,7 +51,39 @@ class Vocabulary:
 
     def encode_part(self, text: str) -> list[int]:
         """Ids of one part, its spaces already marks."""
-        known, score = self.id, self.score
+        known = self.id
+        out: list[int] = []
+        for x in self.merged(text) if len(text) <= SHORT else self.merged_by_heap(text):
+            i = known.get(x)
+            if i is not None:
+                out.append(i)
+            elif self.byte:
+                out += [self.byte[b] for b in x.encode()]
+            else:
+                out.append(self.unknown)
+        return out
+
+    def merged(self, text: str) -> list[str]:
+        """Symbols left when no pair of neighbours is a piece."""
+        cost, none = self.cost.get, math.inf
+        sym = list(text)
+        agenda = [cost(a + b, none) for a, b in pairwise(text)]
+        while agenda:
+            least = min(agenda)
+            if least == none:
+                break
+            i = agenda.index(least)
+            del agenda[i]
+            sym[i] = x = sym[i] + sym.pop(i + 1)
+            if i < len(agenda):
+                agenda[i] = cost(x + sym[i + 1], none)
+            if i:
+                agenda[i - 1] = cost(sym[i - 1] + x, none)
+        return sym
+
+    def merged_by_heap(self, text: str) -> list[str]:
+        """The same for parts of any length, in n log n steps."""
+        score = self.score
         sym: list[str] = list(text)
         n = len(sym)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -73,18 +110,7 @@ class Vocabulary:
                 s = score.get(sym[k] + sym[i])
                 if s is not None:
                     heapq.heappush(agenda, (-s, k, i, len(sym[k]) + len(sym[i])))
-        out: list[int] = []
-        for x in sym:
-            if not x:
-                continue
-            i = known.get(x)
-            if i is not None:
-                out.append(i)
-            elif self.byte:
-                out += [self.byte[b] for b in x.encode()]
-            else:
-                out.append(self.unknown)
-        return out
+        return [x for x in sym if x]
 
     def decode_part(self, ids: list[int]) -> str:
         """Text of the ids of a part; marks become spaces, runs of byte pieces their text."""

@@ -537,3 +537,14 @@ def test_cuts_of_counted_logits():
     z += label
     key, count = np.unique(np.stack([z, label]), axis=1, return_counts=True)
     assert toxicity.best_cut(z, label) == toxicity.best_cut(key[0], key[1], count=count)
+
+
+def test_both_agendas_merge_alike():
+    from millrace.llm.sentence import MARK, SHORT, Vocabulary
+
+    v, r = Vocabulary(public_tokenizers.path("piece_bpe_32k.model")), random.Random(4)
+    for k in range(3000):
+        x = MARK + "".join(r.choice(["a", "aa", "an", "e", "the", "ing", "s", "1", "é", "日", "🎉", ".", MARK]) for _ in range(r.randint(0, 30)))
+        assert v.merged(x) == v.merged_by_heap(x)
+    long = "ab" * SHORT
+    assert v.encode_part(MARK + long) == v.lib.encode(long)
