@@ -371,8 +371,22 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, n: int = 5, percent
     found = join(d.select(ROW, "doc_id", F.coalesce("text", F.lit("")).alias("text")), n, percent)
     group = F.struct(F.when(F.col("label").isNull(), F.col(ROW)).otherwise(F.lit(-1)), "label")
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("r"))
-    keep = first.select(F.col(f"r.{ROW}").alias(ROW))
-    return d.join(keep, ROW, "left_semi").select("doc.*")
+    keep = stored(first.select(F.col(f"r.{ROW}").alias(ROW)), "kept")
+    bits = row_filter(found.join(keep, ROW, "left_anti"))
+    # Rows that surely stay do not move; only what the filter of dropped ids holds is joined, exactly.
+    sure, unsure = (d.select(ROW, "doc").mapInArrow(_dropped(bits, held), d.select(ROW, "doc").schema) for held in (False, True))
+    return sure.select("doc.*").unionByName(unsure.join(keep, ROW, "left_semi").select("doc.*"))
+
+
+def _dropped(bits: np.ndarray, held: bool):
+    """Rows whose ids the filter holds, or the others."""
+
+    @released
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(H.passes(bits, H.mix(b.column(ROW).to_numpy().view(np.uint64).copy())) == held))
+
+    return run
 
 
 #: op9_jaccard in SQL: all pairs that share a shingle, and the closure of their links.

@@ -548,3 +548,16 @@ def test_both_agendas_merge_alike():
         assert v.merged(x) == v.merged_by_heap(x)
     long = "ab" * SHORT
     assert v.encode_part(MARK + long) == v.lib.encode(long)
+
+
+def test_rows_that_surely_stay_are_not_joined(spark, monkeypatch):
+    """Near-copy removal joins only rows whose ids the filter of dropped rows holds."""
+    parts = []
+    real = jaccard._dropped
+    monkeypatch.setattr(jaccard, "_dropped", lambda bits, held: parts.append((bits, held)) or real(bits, held))
+    texts = [f"a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:9])), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in jaccard.stage(spark, df, "").collect()) == list(range(300))
+    rows = df.select(F.col("doc_id").alias("__row"))
+    counts = {held: rows.mapInArrow(real(bits, held), "__row long").count() for bits, held in parts}
+    assert sum(counts.values()) == 309 and sum(int(x).bit_count() for x in parts[0][0]) <= 18
