@@ -6,9 +6,14 @@ everything. `state_bin` alone treats a missing value as the last bin.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Edges up to which comparisons are chained.
+CHAIN = 9
+
 
 def missing(c: Column) -> Column:
     """NaN and infinities as NULL."""
@@ -20,9 +25,18 @@ def uniform_edges(n: int) -> list[float]:
     return [k / n for k in range(n)] + [1.000001]
 
 
+def passed(value: Column, edges: Sequence[float], at: bool = False) -> Column:
+    """How many edges lie below the value (at: or equal it). Many are counted in an array: a long chain of comparisons makes a
+    method that the JVM never compiles, with all that stands beside it."""
+    over = lambda e: value >= e if at else value > e
+    if len(edges) > CHAIN:
+        return F.coalesce(F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), over)), F.lit(0))
+    return sum((F.when(over(e), 1).otherwise(0) for e in edges), F.lit(0))
+
+
 def state_bin(value: Column, edges: list[float]) -> Column:
     """Right-closed bins: how many inner edges lie below the value."""
-    inside = sum((F.when(value > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
+    inside = passed(value, edges[1:-1])
     return F.when(value.isNull() | F.isnan(value), len(edges) - 2).otherwise(inside).cast("int")
 
 
