@@ -14,11 +14,13 @@ RULES = Rules(minimum_net_edge=0.02, minimum_support=5)
 
 
 def evaluated(spark: SparkSession, sf_dir: str, rules: Rules = RULES) -> DataFrame:
-    """Every market of the sample views with its split and result; the model sees train rows only."""
+    """Every market of the sample views with its split and result; the model sees train rows only. Books are read and
+    walked once."""
     ladder = views.depth(spark, sf_dir)
-    decisions = splits.atomic(views.markets(spark, sf_dir).join(views.tops(ladder), "condition_id"), "market_start_s")
+    walked = kept(execution.walked_decisions(views.markets(spark, sf_dir).join(views.tops(ladder), "condition_id"), ladder, rules))
+    decisions = splits.atomic(walked, "market_start_s")
     model = models.lookup_model(decisions.where(F.col("split") == "train"), list(rules.edges))
-    return execution.evaluate(decisions, ladder, model, rules)
+    return execution.evaluate(decisions, None, model, rules)
 
 
 def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 from millrace.functions import scalars as S
-from millrace.operators import models
+from millrace.operators import lattice, models
+from millrace.operators.lattice import Axis, Lattice
 from pyspark.sql import functions as F
 
 
@@ -51,3 +52,33 @@ def test_many_edges_are_counted_like_few(spark, at):
     d = spark.createDataFrame([(v,) for v in values], "v double").select("v", S.passed(F.col("v"), edges, at).alias("n"))
     for r in d.collect():
         assert r["n"] == (0 if r["v"] is None else sum(r["v"] >= e if at else r["v"] > e for e in edges))
+
+
+def test_one_bucket_of_trades_is_walked_in_pieces(spark, monkeypatch):
+    grid = Lattice((Axis("lo", "ask", (0.1, 0.3, 0.5)), Axis("edge", "edge", (0.0, 0.1))))
+    calls, stretch = spark.sparkContext.accumulator(0), lattice._stretch
+
+    def counted(*a):
+        calls.add(1)
+        stretch(*a)
+
+    monkeypatch.setattr(lattice, "_stretch", counted)
+    r = random.Random(2)
+    rows = [(1, k, 7, r.random(), r.random() - 0.3, r.gauss(0, 1)) for k in range(500)]
+    d = spark.createDataFrame(rows, "fold int, condition_id long, market_start_s long, ask double, edge double, net_pnl double")
+    got = {x["cell_id"]: x["max_drawdown"] for x in lattice.drawdowns(d, ["fold"], grid, 1000).collect()}
+    cum = peak = fall = 0.0
+    for x in rows:
+        if x[3] >= 0.1 and x[4] >= 0.0:
+            cum += x[5]
+            peak = max(peak, cum)
+            fall = max(fall, peak - cum)
+    assert got[0] == pytest.approx(fall) and calls.value > 4
+
+
+def test_cells_that_pass_the_same_trades_are_one_class():
+    grid = Lattice((Axis("lo", "ask", tuple(range(20))), Axis("hi", "high", tuple(range(15)), most=True), Axis("edge", "edge", tuple(range(9)))), ("lo", "hi"))
+    cells, places = grid.indices(), np.random.default_rng(3).integers(0, [20, 15, 9], (6, 3))
+    passing, of = lattice._classes(cells, places, [False, True, False])
+    direct = (cells[:, 0] <= places[:, :1]) & (cells[:, 1] >= places[:, 1:2]) & (cells[:, 2] <= places[:, 2:])
+    assert (passing[:, of] == direct).all() and passing.shape[1] <= 64 < len(cells)
