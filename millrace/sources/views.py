@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 86_400
+#: Lines of books that a task groups.
+ROWS = 250_000
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +24,13 @@ def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ask ladder: a row per market, side (0 up, 1 down) and price."""
+    """Ask ladder: a row per market, side (0 up, 1 down) and price. Markets are dealt to as many tasks as keep each at about
+    ROWS lines, so that a task's tables stay the same size on any input; what is grouped by market then needs no other shuffle."""
     side = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
     price = F.greatest(F.floor(F.col("l_extendedprice") / 1100), F.lit(1)).cast("double") / 100
     rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("condition_id"), side.alias("side"), price.alias("price"), F.col("l_quantity").alias("size"))
-    return rows.groupBy("condition_id", "side", "price").agg(F.sum("size").alias("size"))
+    n = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+    return rows.repartition(n, "condition_id").groupBy("condition_id", "side", "price").agg(F.sum("size").alias("size"))
 
 
 def tops(ladder: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from millrace.functions import scalars as S
 from millrace.operators import lattice, models
 from millrace.operators.lattice import Axis, Lattice
+from millrace.sources import views
 from pyspark.sql import functions as F
 
 
@@ -82,3 +83,14 @@ def test_cells_that_pass_the_same_trades_are_one_class():
     passing, of = lattice._classes(cells, places, [False, True, False])
     direct = (cells[:, 0] <= places[:, :1]) & (cells[:, 1] >= places[:, 1:2]) & (cells[:, 2] <= places[:, 2:])
     assert (passing[:, of] == direct).all() and passing.shape[1] <= 64 < len(cells)
+
+
+def test_books_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(tuple(r) for r in views.depth(spark, sf).collect())
+    monkeypatch.setattr(views, "ROWS", 500)
+    d = views.depth(spark, sf).withColumn("task", F.spark_partition_id())
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert d.rdd.getNumPartitions() == -(-lines // 500) > spark.sparkContext.defaultParallelism
+    assert d.groupBy("condition_id").agg(F.countDistinct("task").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert sorted(tuple(r) for r in d.drop("task").collect()) == whole
